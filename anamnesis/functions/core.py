@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The white space that the reference's trimming and `\s` cover. Java's `\s` is
 # ASCII only, so patterns that face user text spell the class out.
-SPACE_CLASS = r"[\s   -     　﻿]"
+SPACE_CLASS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def as_column(value: Column | str) -> Column:

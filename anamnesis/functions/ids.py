@@ -43,7 +43,7 @@ def chunk_key_memory(key: Column | str) -> Column:
 
 def chunk_key_index(key: Column | str) -> Column:
     tail = F.regexp_extract(as_column(key), r"#([^#]*)$", 1)
-    return F.coalesce(F.expr("1") * tail.try_cast("int"), F.lit(0))
+    return F.coalesce(tail.try_cast("int"), F.lit(0))
 
 
 def text_sha256(text: Column | str) -> Column:

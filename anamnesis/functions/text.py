@@ -57,7 +57,7 @@ def trigrams(text: Column | str) -> Column:
 
 
 # Direction marks that chat exports sprinkle into lines, and mark-up forms.
-DIRECTION_MARKS = r"[‎‏‪-‮]"
+DIRECTION_MARKS = r"[\u200e\u200f\u202a-\u202e]"
 LABELLED_LINK = r"<([^>|]+)\|([^>]+)>"
 BARE_LINK = r"<(https?:[^>|]+)>"
 

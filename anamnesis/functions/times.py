@@ -9,7 +9,7 @@ from anamnesis.functions.core import as_column
 
 # Date and time layouts of plain-text chat exports.
 DATE_PATTERN = r"(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})"
-TIME_PATTERN = r"(\d{1,2}):(\d{2})(?::(\d{2}))?[\s ]?([APap][Mm])?"
+TIME_PATTERN = r"(\d{1,2}):(\d{2})(?::(\d{2}))?[\s\u202f]?([APap][Mm])?"
 DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
 
 
