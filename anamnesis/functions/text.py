@@ -47,13 +47,13 @@ def ascii_lower(text: Column | str) -> Column:
 def trigrams(text: Column | str) -> Column:
     """Distinct three-character windows of the folded text."""
 
-    def windows(folded: Column) -> Column:
-        last = F.char_length(folded) - (TRIGRAM_SIZE - 1)
-        return F.when(last < 1, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.transform(
-                F.sequence(F.lit(1), last), lambda i: F.substring(folded, i, F.lit(TRIGRAM_SIZE)))))
+    def windows(chars: Column) -> Column:
+        # The text becomes an array of characters once, so each window is a constant-time lookup.
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (TRIGRAM_SIZE - 1), F.lit(0)))
+        return F.array_distinct(F.transform(
+            starts, lambda c, i: F.concat(c, *[F.get(chars, i + j) for j in range(1, TRIGRAM_SIZE)])))
 
-    return bind(ascii_lower(text), windows)
+    return bind(F.split(ascii_lower(text), ""), windows)
 
 
 # Direction marks that chat exports sprinkle into lines, and mark-up forms.

@@ -18,10 +18,16 @@ from anamnesis.operators.sizing import attach
 SPLIT = ["path", "block"]
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, block, pos, line): `pos` orders the lines of one split, `block` the splits of a file."""
+def read_lines(spark: SparkSession, path: str | Sequence[str], names: str | None = None) -> DataFrame:
+    """(path, block, pos, line): `pos` orders the lines of one split, `block` the splits of a file.
+
+    `names` keeps files by a glob on their name.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(paths)
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
+    raw = reader.text(paths)
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -43,6 +49,11 @@ def running_count(rows: DataFrame, flag: Column, out: str) -> DataFrame:
             .drop("_flag", "_local", "_offset"))
 
 
+def plain_path(path: Column | str) -> Column:
+    """One spelling of a file URL, whichever source reported it."""
+    return F.regexp_replace(F.col(path) if isinstance(path, str) else path, "^file:/+", "file:/")
+
+
 def base_name(path: Column | str, extension: str = "") -> Column:
     name = F.regexp_extract(F.col(path) if isinstance(path, str) else path, r"([^/]+)/*$", 1)
     return F.regexp_replace(name, extension, "") if extension else name

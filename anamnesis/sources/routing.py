@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.functions.text import strip_marks
 from anamnesis.operators.sizing import attach
-from anamnesis.sources.lines import base_name, read_lines, running_count
+from anamnesis.sources.lines import base_name, plain_path, read_lines
 from anamnesis.sources.transcripts import (
     AGENT_JSONL,
     BRACKETED_LINE,
@@ -39,12 +39,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return found.where(shallow)
 
 
-def _first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, chat_text): whether one of the first lines opens a chat message."""
-    numbered = running_count(read_lines(spark, paths), F.lit(True), "line_no").where(F.col("line_no") <= SNIFFED_LINES)
+def sniff_chat_text(lines: DataFrame) -> DataFrame:
+    """(path, chat_text): whether one of a file's first lines opens a chat message.
+
+    The first lines lie in the first split, where consecutive lines have consecutive positions.
+    """
+    head = lines.where("block = 0")
+    first = head.groupBy("path").agg(F.min("pos").alias("_first"))
     line = strip_marks("line")
-    return numbered.groupBy("path").agg(
-        F.coalesce(F.bool_or(line.rlike(BRACKETED_LINE) | line.rlike(DASHED_LINE)), F.lit(False)).alias("chat_text"))
+    opens = line.rlike(BRACKETED_LINE) | line.rlike(DASHED_LINE)
+    return (attach(head, first, "path").where(F.col("pos") - F.col("_first") < SNIFFED_LINES)
+            .groupBy("path").agg(F.coalesce(F.bool_or(opens), F.lit(False)).alias("chat_text")))
 
 
 def route_files(files: DataFrame, sniffed: DataFrame | None = None) -> DataFrame:
@@ -76,9 +81,6 @@ def route_files(files: DataFrame, sniffed: DataFrame | None = None) -> DataFrame
 
 def route_tree(spark: SparkSession, root: str) -> DataFrame:
     """List a tree and route it, sniffing the first lines of its `.txt` files."""
-    files = list_files(spark, root)
-    texts = files.where(F.lower(base_name("path")).endswith(".txt"))
-    if texts.isEmpty():
-        return route_files(files)
-    sniffed = _first_lines(spark, [r["path"] for r in texts.select("path").toLocalIterator()])
-    return route_files(files, sniffed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")))
+    sniffed = sniff_chat_text(read_lines(spark, root, "*.[tT][xX][tT]"))
+    return route_files(list_files(spark, root).withColumn("path", plain_path("path")),
+                       sniffed.withColumn("path", plain_path("path")))

@@ -39,7 +39,7 @@ PARTS_SESSIONS = "opencode"
 
 # Lines of a plain-text chat export.
 LINE_DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}"
-LINE_TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[\s ]?[APap][Mm])?"
+LINE_TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[\s\u202f]?[APap][Mm])?"
 BRACKETED_LINE = rf"(?s)^\[({LINE_DATE}),\s*({LINE_TIME})\]\s*(.*)$"
 DASHED_LINE = rf"(?s)^({LINE_DATE}),\s*({LINE_TIME})\s-\s(.*)$"
 ENCRYPTION_BANNER = r"(?i)^messages and calls are end-to-end encrypted"
