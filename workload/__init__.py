@@ -1 +1,15 @@
 """How the given tables play the roles of a store, and the queries registered on them."""
+
+from __future__ import annotations
+
+import importlib
+
+from workload.registry import ENTRIES, Entry
+
+MODULES = ("retrieval",)
+
+
+def all_entries() -> dict[str, Entry]:
+    for name in MODULES:
+        importlib.import_module(f"workload.{name}")
+    return ENTRIES
