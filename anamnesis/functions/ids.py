@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from anamnesis.constants import ID_PATTERN
-from anamnesis.functions.core import as_column, bind
+from anamnesis.functions.core import as_column, bind, iso_millis
 
 
 def is_valid_id(value: Column | str) -> Column:
@@ -50,6 +50,7 @@ def text_sha256(text: Column | str) -> Column:
     return F.sha2(as_column(text), 256)
 
 
-def content_etag(*parts: Column | str) -> Column:
-    """Version token of a row: MD5 over its serialised content."""
-    return F.md5(F.to_json(F.struct(*[as_column(p) for p in parts])))
+def content_etag(text: Column | str, tags: Column | str, updated_at: Column | str) -> Column:
+    """Version token of a memory: MD5 over its text, tags and time."""
+    parts = (as_column(text), F.array_join(as_column(tags), ","), iso_millis(updated_at))
+    return F.md5(F.concat_ws("|", *parts))

@@ -14,7 +14,7 @@ from anamnesis.constants import BM25_B, BM25_K1
 from anamnesis.functions.text import term_counts, tokenize
 from anamnesis.operators.kernels import BestRows, TermScores
 from anamnesis.operators.ranking import top_k
-from anamnesis.operators.sizing import SALTS, attach, fits_broadcast, salt_of, with_every_salt
+from anamnesis.operators.sizing import SALTS, attach, fits_broadcast, salt_of, salted_join, with_every_salt
 
 SCORE_DECIMALS = 6
 SCORE_CELLS = 2_000_000  # documents x queries scored at a time inside a task
@@ -182,7 +182,7 @@ def bm25_per_haystack(questions: DataFrame, haystack: DataFrame, k: int) -> Data
     df = matched.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = (df.join(corpus, "query_id")
                .select("query_id", "term", "avgdl", _idf(F.col("df"), F.col("n_docs")).alias("idf")))
-    scored = (attach(matched, weights, ["query_id", "term"])
+    scored = (salted_join(matched, weights, ["query_id", "term"])
               .groupBy("query_id", "memory_id")
               .agg(F.round(F.sum(F.col("idf") * _saturation(F.col("tf"), F.col("doc_len"), F.col("avgdl"))),
                            SCORE_DECIMALS).alias("score")))

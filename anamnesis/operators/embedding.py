@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from anamnesis.constants import MODEL_BATCH_TEXTS
 from anamnesis.functions.ids import text_sha256
 from anamnesis.operators.sizing import attach
+from anamnesis.session import cut_lineage
 
 # Function words that carry no topic in the stand-in embedding.
 STOPWORDS = (
@@ -177,8 +178,12 @@ def new_cache_rows(rows: DataFrame, embedder: Embedder, cache: DataFrame | None,
 
 def embed_distinct(rows: DataFrame, embedder: Embedder, cache: DataFrame | None = None,
                    text: str = "text", out: str = "vector") -> DataFrame:
-    """Embed each distinct text once, then give every row its vector; copies cost one encoding."""
-    fresh = new_cache_rows(rows, embedder, cache, text).select("text_sha256", "vector")
+    """Embed each distinct text once, then give every row its vector; copies cost one encoding.
+
+    The new vectors are materialised before they are joined: an encoder must not run again
+    because a later step measures or retries.
+    """
+    fresh = cut_lineage(new_cache_rows(rows, embedder, cache, text).select("text_sha256", "vector"))
     usable = usable_cache(cache, embedder)
     vectors = (fresh if usable is None else fresh.unionByName(usable)).withColumnRenamed("vector", out)
     keyed = rows.withColumn("text_sha256", text_sha256(text))

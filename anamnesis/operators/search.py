@@ -14,7 +14,6 @@ from anamnesis.constants import (
     SNIPPET_CONTEXT,
     SNIPPETS_PER_MEMORY,
     SNIPPETS_PER_PATTERN,
-    TRIGRAM_SIZE,
 )
 from anamnesis.functions import matching as M
 from anamnesis.functions.text import ascii_lower, trigrams
@@ -122,17 +121,17 @@ def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: Data
 
     Every pattern is a literal of the plan, so its regex compiles once per task and all
     patterns of a block share one scan. Blocks beyond the first cost one more scan each.
-    `candidates` (memory_id, pattern_ids) limits which patterns are tried on which memory.
+    `candidates` (memory_id, pattern_ids) limits which patterns are tried on which memory; both
+    sides of that join hold a memory_id once, so it is even.
     """
     rows = memories.select("memory_id", "updated_at", "text")
     if candidates is not None:
-        rows = attach(rows, candidates, "memory_id")
+        rows = rows.join(candidates, "memory_id")
     result = None
     for start in range(0, len(patterns), PATTERNS_PER_SCAN):
         block = patterns[start:start + PATTERNS_PER_SCAN]
         lowered = rows.withColumn("lower", ascii_lower("text"))
-        gates = [None if candidates is None or p.regex or len(p.pattern) < TRIGRAM_SIZE
-                 else F.array_contains("pattern_ids", p.pattern_id) for p in block]
+        gates = [None if candidates is None else F.array_contains("pattern_ids", p.pattern_id) for p in block]
         hits = F.filter(F.array(*[_hit(p, F.col("text"), F.col("lower"), g) for p, g in zip(block, gates)]),
                         lambda h: h.isNotNull())
         found = (lowered.select("memory_id", "updated_at", F.explode(hits).alias("h"))

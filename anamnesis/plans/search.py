@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,16 @@ def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None =
     runnable = [p for p in requests if early[p.pattern_id] is None and searcher != "none"]
     texts = meta_filter(memories, wanted)
 
-    candidates = None
-    if searcher == "trigram" and all(not p.regex and len(p.pattern) >= TRIGRAM_SIZE for p in runnable) and runnable:
-        literals = spark.createDataFrame([(p.pattern_id, p.pattern) for p in runnable],
+    indexed = [p for p in runnable if searcher == "trigram" and not p.regex and len(p.pattern) >= TRIGRAM_SIZE]
+    scanned = [p for p in runnable if p not in indexed]
+    parts = [find_hits(texts, scanned)] if scanned else []
+    if indexed:
+        literals = spark.createDataFrame([(p.pattern_id, p.pattern) for p in indexed],
                                          "pattern_id string, pattern string")
         pairs = trigram_join(literals, trigram_index(texts) if index is None else index)
         candidates = pairs.groupBy("memory_id").agg(F.collect_set("pattern_id").alias("pattern_ids"))
-    hits = find_hits(texts, runnable, candidates) if runnable else spark.createDataFrame([], HITS_SCHEMA)
+        parts.append(find_hits(texts, indexed, candidates))
+    hits = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS_SCHEMA)
 
     filtered_out = F.lit(False)
     if wanted is not None and wanted.active:

@@ -14,6 +14,7 @@ from anamnesis.operators.fusion import best_memories, collapse_chunks, fetch_dep
 from anamnesis.operators.knn import knn_join
 from anamnesis.operators.ranking import leg_ranks, top_k
 from anamnesis.plans.recall import recall_hybrid, recall_semantic
+from anamnesis.session import cut_lineage
 from workload import frames as W
 from workload import sqltext as Q
 from workload.registry import query
@@ -35,7 +36,8 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return embed_distinct(W.document_chunks(spark, sf), EMBEDDER)
+    """Chunks with their vectors, materialised once as the stored chunk table would be."""
+    return cut_lineage(embed_distinct(W.document_chunks(spark, sf), EMBEDDER))
 
 
 def embedded_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +199,7 @@ def top_k_all(spark: SparkSession, sf: str) -> DataFrame:
        warm AS (SELECT query_id FROM dense WHERE rank = 1 AND distance < 0.8 UNION SELECT query_id FROM sparse)
        SELECT query_id, count(*) AS hits FROM fused WHERE query_id IN (SELECT query_id FROM warm) GROUP BY 1""")
 def cold_gate_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Page addresses as queries against the turns: most of them are cold."""
+    """Page addresses as queries against the turns."""
     asked = W.load(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("query_id"),
                                               F.col("url").alias("query_text"))
     queries = embed_column(asked, EMBEDDER, "query_text", "query_vector")
