@@ -6,7 +6,7 @@ import importlib
 
 from workload.registry import ENTRIES, Entry
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "tables", "text")
 
 
 def all_entries() -> dict[str, Entry]:
