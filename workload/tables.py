@@ -227,8 +227,8 @@ def concat_tags_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("assemble_sessions",
-       f"""WITH {Q.TURNS}, timed AS (SELECT *, CASE WHEN role <> 'system' THEN created_at END AS at FROM turns),
-       s AS (SELECT conversation_id, coalesce(arg_min(at, turn_index) FILTER (WHERE at IS NOT NULL),
+       f"""WITH {Q.TURNS}, timed AS (SELECT *, CASE WHEN role <> 'system' THEN created_at END AS own_time FROM turns),
+       s AS (SELECT conversation_id, coalesce(arg_min(own_time, turn_index) FILTER (WHERE own_time IS NOT NULL),
              min(created_at)) AS session_at FROM timed GROUP BY 1)
        SELECT memory_id, conversation_id, {Q.iso('session_at')} AS session_at FROM timed JOIN s USING (conversation_id)""")
 def assemble_sessions_all(spark: SparkSession, sf: str) -> DataFrame:

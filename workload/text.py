@@ -32,8 +32,8 @@ def ascii_lower_all(spark: SparkSession, sf: str) -> DataFrame:
     return W.load(spark, sf, "documents").select("doc_id", F.md5(T.ascii_lower("text")).alias("lower_md5"))
 
 
-@query("trigrams", f"""WITH d AS (SELECT doc_id, translate(text, {ALPHABETS}) AS f FROM documents),
-       t AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3)))) AS g FROM d)
+@query("trigrams", f"""WITH d AS (SELECT doc_id, string_split(translate(text, {ALPHABETS}), '') AS c FROM documents),
+       t AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i]||c[i+1]||c[i+2]))) AS g FROM d)
        SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS grams_md5 FROM t GROUP BY 1""")
 def trigrams_all(spark: SparkSession, sf: str) -> DataFrame:
     rows = W.load(spark, sf, "documents").select("doc_id", T.trigrams("text").alias("g"))
@@ -154,9 +154,9 @@ def regex_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("snippet",
-       r"""SELECT doc_id, substr(text, greatest(at - 48, 0) + 1, at - greatest(at - 48, 0)) AS before,
-         substr(text, at + 1, 3) AS match, substr(text, at + 4, 48) AS after
-       FROM (SELECT doc_id, text, strpos(text, 'the') - 1 AS at FROM documents WHERE contains(text, 'the'))""")
+       r"""SELECT doc_id, substr(text, greatest(p - 48, 0) + 1, p - greatest(p - 48, 0)) AS before,
+         substr(text, p + 1, 3) AS match, substr(text, p + 4, 48) AS after
+       FROM (SELECT doc_id, text, strpos(text, 'the') - 1 AS p FROM documents WHERE contains(text, 'the'))""")
 def snippet_all(spark: SparkSession, sf: str) -> DataFrame:
     docs = W.load(spark, sf, "documents").where(F.contains("text", F.lit("the")))
     return docs.select("doc_id", snippet(F.col("text"), F.locate("the", "text") - 1, F.lit(3), 48).alias("s")).select(
