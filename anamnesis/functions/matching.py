@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from anamnesis.constants import MATCHES_PER_MEMORY
-from anamnesis.functions.text import ascii_lower
 
 # Two noncharacters frame each match while positions are counted.
 OPEN, CLOSE = chr(0xFDD0), chr(0xFDD1)
@@ -17,10 +16,6 @@ def quote_literal(needle: str) -> str:
     return "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in needle)
 
 
-def literal_pattern(needle: str, ignore_case: bool) -> str:
-    return quote_literal(fold(needle) if ignore_case else needle)
-
-
 def fold(text: str) -> str:
     """ASCII-only lower case, as `ascii_lower` does for columns."""
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
@@ -31,16 +26,16 @@ def regex_pattern(pattern: str, ignore_case: bool) -> str:
     return f"(?{'diu' if ignore_case else 'd'}){pattern}"
 
 
-def literal_count(text: Column, needle: str, ignore_case: bool) -> Column:
+def literal_count(haystack: Column, needle: Column) -> Column:
     """Non-overlapping occurrences, left to right."""
-    folded, wanted = (ascii_lower(text), fold(needle)) if ignore_case else (text, needle)
-    return ((F.char_length(folded) - F.char_length(F.replace(folded, F.lit(wanted)))) / len(wanted)).cast("int")
+    removed = F.char_length(haystack) - F.char_length(F.replace(haystack, needle))
+    return (removed / F.char_length(needle)).cast("int")
 
 
-def match_ranges(haystack: Column, pattern: str, limit: int | None = None) -> Column:
+def match_ranges(haystack: Column, pattern: Column, limit: int | None = None) -> Column:
     """(start, length) of each match in order, zero-based, at most `limit` of them."""
     clean = F.translate(haystack, OPEN + CLOSE, chr(0xFFFD) * 2)
-    marked = F.split(F.regexp_replace(clean, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+    marked = F.split(F.regexp_replace(clean, pattern, F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
     count = F.size(marked) - 1
     bounded = count if limit is None else F.least(count, F.lit(limit))
     # Each piece after the first is "match CLOSE rest": one marker too long for its text.
@@ -58,13 +53,13 @@ def match_ranges(haystack: Column, pattern: str, limit: int | None = None) -> Co
     return F.aggregate(pieces, start, step, lambda s: s["out"])
 
 
-def snippet(text: Column, start: Column, length: Column, context: int) -> Column:
+def snippet(text: Column, start: Column, length: Column, context: Column) -> Column:
     """The match with `context` characters on each side, clipped to the text."""
     left = F.greatest(start - context, F.lit(0))
     return F.struct(
         F.substring(text, left + 1, start - left).alias("before"),
         F.substring(text, start + 1, length).alias("match"),
-        F.substring(text, start + length + 1, F.lit(context)).alias("after"))
+        F.substring(text, start + length + 1, context).alias("after"))
 
 
 def capped(count: Column) -> Column:

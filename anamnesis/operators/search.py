@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -20,8 +21,6 @@ from anamnesis.functions.text import ascii_lower, trigrams
 from anamnesis.operators.ranking import top_k
 from anamnesis.operators.sizing import attach, fits_broadcast, salted_join
 
-PATTERNS_PER_SCAN = 64
-
 
 @dataclass(frozen=True)
 class Pattern:
@@ -33,7 +32,7 @@ class Pattern:
 
 
 def read_patterns(patterns: DataFrame) -> list[Pattern]:
-    """The search requests. They become literals of the plan, so their number must be modest."""
+    """The search requests. They become one value of the plan, so their number must be modest."""
     if not fits_broadcast(patterns, max_rows=10_000):
         raise ValueError("too many patterns for one search job: split the request table")
     columns = {"pattern_id", "pattern", "regex", "ignore_case", "context_chars"} & set(patterns.columns)
@@ -94,50 +93,51 @@ def classify(spark: SparkSession, patterns: Sequence[Pattern]) -> dict[str, str
     return status
 
 
-def _hit(p: Pattern, text: Column, lower: Column, gate: Column | None) -> Column:
-    """Struct of one pattern in one text, null without a match."""
-    if p.regex:
-        haystack, java = text, M.regex_pattern(p.pattern, p.ignore_case)
-        found, count = haystack.rlike(java), F.regexp_count(haystack, F.lit(java))
-    else:
-        haystack = lower if p.ignore_case else text
-        wanted = M.fold(p.pattern) if p.ignore_case else p.pattern
-        java = M.quote_literal(wanted)
-        found = F.contains(haystack, F.lit(wanted))
-        count = M.literal_count(haystack, wanted, ignore_case=False)
-    if gate is not None:
-        found = gate & found
-    snippets = F.transform(
-        M.match_ranges(haystack, java, SNIPPETS_PER_MEMORY),
-        lambda r: F.struct(r["start"].alias("start"),
-                           M.snippet(text, r["start"], r["length"], p.context_chars).alias("s")))
-    return F.when(found, F.struct(F.lit(p.pattern_id).alias("pattern_id"),
-                                  M.capped(count).cast("bigint").alias("matches"),
-                                  snippets.alias("snippets")))
+REQUESTS = "array<struct<pattern_id: string, regex: boolean, fold: boolean, needle: string, java: string, context: int>>"
+
+
+def requests_value(patterns: Sequence[Pattern]) -> Column:
+    """Searchable patterns as one constant array: what to look for, and the Java expression
+    that frames it."""
+    rows = []
+    for p in patterns:
+        needle = p.pattern if p.regex or not p.ignore_case else M.fold(p.pattern)
+        java = M.regex_pattern(p.pattern, p.ignore_case) if p.regex else M.quote_literal(needle)
+        rows.append({"pattern_id": p.pattern_id, "regex": p.regex, "fold": p.ignore_case and not p.regex,
+                     "needle": needle, "java": java, "context": p.context_chars})
+    return F.from_json(F.lit(json.dumps(rows)), REQUESTS)
 
 
 def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: DataFrame | None = None) -> DataFrame:
     """(pattern_id, memory_id, updated_at, matches, snippets), one row per pattern and matching memory.
 
-    Every pattern is a literal of the plan, so its regex compiles once per task and all
-    patterns of a block share one scan. Blocks beyond the first cost one more scan each.
-    `candidates` (memory_id, pattern_ids) limits which patterns are tried on which memory; both
-    sides of that join hold a memory_id once, so it is even.
+    The patterns are one constant of the plan, which does not grow with their number; every
+    text is read once for all of them, and only matching pairs leave the row. `candidates`
+    (memory_id, pattern_ids) limits which patterns are tried on which memory; both sides of
+    that join hold a memory_id once, so it is even.
     """
+    requests = requests_value(patterns)
     rows = memories.select("memory_id", "updated_at", "text")
     if candidates is not None:
         rows = rows.join(candidates, "memory_id")
-    result = None
-    for start in range(0, len(patterns), PATTERNS_PER_SCAN):
-        block = patterns[start:start + PATTERNS_PER_SCAN]
-        lowered = rows.withColumn("lower", ascii_lower("text"))
-        gates = [None if candidates is None else F.array_contains("pattern_ids", p.pattern_id) for p in block]
-        hits = F.filter(F.array(*[_hit(p, F.col("text"), F.col("lower"), g) for p, g in zip(block, gates)]),
-                        lambda h: h.isNotNull())
-        found = (lowered.select("memory_id", "updated_at", F.explode(hits).alias("h"))
-                 .select("h.pattern_id", "memory_id", "updated_at", "h.matches", "h.snippets"))
-        result = found if result is None else result.unionByName(found)
-    return result
+    rows = rows.withColumn("lower", ascii_lower("text"))
+
+    def occurs(p: Column) -> Column:
+        return F.when(p["regex"], F.rlike("text", p["java"])).otherwise(
+            F.contains(F.when(p["fold"], F.col("lower")).otherwise(F.col("text")), p["needle"]))
+
+    tried = requests if candidates is None else F.filter(
+        requests, lambda p: F.array_contains("pattern_ids", p["pattern_id"]))
+    found = rows.select("memory_id", "updated_at", "text", "lower", F.explode(F.filter(tried, occurs)).alias("p"))
+    haystack = F.when(F.col("p.fold"), F.col("lower")).otherwise(F.col("text"))
+    count = F.when(F.col("p.regex"), F.regexp_count("text", "p.java")).otherwise(
+        M.literal_count(haystack, F.col("p.needle")))
+    snippets = F.transform(
+        M.match_ranges(haystack, F.col("p.java"), SNIPPETS_PER_MEMORY),
+        lambda r: F.struct(r["start"].alias("start"),
+                           M.snippet(F.col("text"), r["start"], r["length"], F.col("p.context")).alias("s")))
+    return found.select(F.col("p.pattern_id").alias("pattern_id"), "memory_id", "updated_at",
+                        M.capped(count).cast("bigint").alias("matches"), snippets.alias("snippets"))
 
 
 def trigram_index(memories: DataFrame) -> DataFrame:

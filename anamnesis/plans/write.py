@@ -26,6 +26,7 @@ from anamnesis.operators.dedup import near_duplicate_join
 from anamnesis.operators.embedding import Embedder, embed_distinct
 from anamnesis.operators.filters import require_valid_ids, reserved_tag_rule
 from anamnesis.operators.sizing import attach
+from anamnesis.session import cut_lineage
 
 MEMORY_COLUMNS = ["memory_id", "conversation_id", "parent_id", "turn_index", "tags", "text", "created_at",
                   "updated_at", "chunk_count", "etag"]
@@ -114,9 +115,9 @@ def write_batch(rows: DataFrame, memories: DataFrame, chunks: DataFrame, embedde
     """
     judged = split_pieces(reserved_tag_rule(rows, memories, "write"))
     early = F.when(F.size("pieces") == 0, "empty").when(~F.col("reserved_ok"), "reserved")
-    marked = judged.withColumn("early", early)
+    marked = cut_lineage(judged.withColumn("early", early))
     firsts = marked.where("early IS NULL").select("memory_id", "input_order", F.col("pieces")[0].alias("text"))
-    admitted = near_duplicate_join(embed_distinct(firsts, embedder), chunks)
+    admitted = cut_lineage(near_duplicate_join(embed_distinct(firsts, embedder), chunks))
     outcome = F.coalesce("early", F.when(F.col("accepted"), "accepted").otherwise("duplicate"))
     report = marked.select("memory_id", "early").join(admitted, "memory_id", "left").select(
         "memory_id", outcome.alias("outcome"), "similar_id", "similarity")

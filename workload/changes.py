@@ -148,11 +148,11 @@ def document_updates(spark: SparkSession, sf: str) -> DataFrame:
     their tags, the others keep them. System turns are not stored at all."""
     current = stored_documents(spark, sf).select("memory_id", "text", "etag")
     base = labelled(spark, sf).join(current, "memory_id").select(
-        "memory_id", F.upper("text").alias("text"),
+        "memory_id", F.concat(F.lit("First. "), "text").alias("text"),
         F.when(F.col("toxic") == 1, F.array().cast("array<string>")).alias("tags"),
         F.when(F.col("quality") == 1, F.col("etag")).otherwise(F.lit("old")).alias("etag"),
         F.lit(1).cast("bigint").alias("update_order"))
-    again = base.withColumn("text", F.lower("text")).withColumn("update_order", F.lit(2).cast("bigint"))
+    again = base.withColumn("text", F.concat(F.lit("Second. "), "text")).withColumn("update_order", F.lit(2).cast("bigint"))
     missing = W.turns(spark, sf).where("role = 'system'").select(
         "memory_id", "text", F.lit(None).cast("array<string>").alias("tags"), F.lit("none").alias("etag"),
         F.lit(3).cast("bigint").alias("update_order"))
@@ -160,7 +160,7 @@ def document_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("apply_updates",
-       f"""WITH {Q.DOCS} SELECT memory_id, md5(CASE WHEN quality = 1 THEN upper(text) ELSE text END) AS text_md5,
+       f"""WITH {Q.DOCS} SELECT memory_id, md5(CASE WHEN quality = 1 THEN 'First. '||text ELSE text END) AS text_md5,
        array_to_string(CASE WHEN quality = 1 AND toxic = 1 THEN [] ELSE tags END, ',') AS tags,
        CASE WHEN quality = 1 THEN '{NOW}' ELSE {Q.iso('updated_at')} END AS updated_at FROM docs""")
 def apply_updates_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +180,7 @@ def stale_updates_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("update_batch",
-       rf"""{CHUNK_SQL.replace('text FROM documents)', "upper(text) AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")}
+       rf"""{CHUNK_SQL.replace('text FROM documents)', "'First. '||text AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")}
        SELECT memory_id, count(*) AS chunk_count, md5(string_agg(text, ' ' ORDER BY chunk_index)) AS text_md5 FROM chunked GROUP BY 1""")
 def update_batch_all(spark: SparkSession, sf: str) -> DataFrame:
     change = P.update_batch(document_updates(spark, sf), stored_documents(spark, sf), now())
@@ -198,15 +198,15 @@ def delete_batch_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("reconcile",
-       f"""WITH {Q.DOCS} SELECT memory_id, md5(CASE WHEN toxic = 1 THEN upper(text) ELSE text END) AS text_md5
+       f"""WITH {Q.DOCS} SELECT memory_id, md5(CASE WHEN toxic = 1 THEN text||' changed' ELSE text END) AS text_md5
        FROM docs WHERE lang <> 'de'""")
 def reconcile_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The landed snapshot lacks German documents and holds toxic ones in capitals; the store
-    lacks documents without labels."""
+    """The landed snapshot lacks German documents and holds toxic ones changed; the store lacks
+    documents without labels."""
     docs = stored_documents(spark, sf)
     stored = docs.join(labelled(spark, sf), "memory_id", "left_semi")
-    loud = F.when(F.array_contains("tags", "toxic"), F.upper("text")).otherwise(F.col("text"))
-    snapshot = docs.where(~F.array_contains("tags", "lang:de")).withColumn("text", loud)
+    changed = F.when(F.array_contains("tags", "toxic"), F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    snapshot = docs.where(~F.array_contains("tags", "lang:de")).withColumn("text", changed)
     snapshot = snapshot.withColumn("etag", content_etag("text", "tags", "updated_at"))
     change = P.reconcile(snapshot, snapshot.select("memory_id", F.lit(0).alias("chunk_index"), "text"), stored)
     return P.applied(stored, change.memories, change.gone).select("memory_id", F.md5("text").alias("text_md5"))
@@ -333,7 +333,7 @@ def embed_with_cache_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("refresh_indexes",
-       f"""WITH {Q.DOCS}, after AS (SELECT memory_id, CASE WHEN quality = 1 THEN upper(text)||' renewed' ELSE text END AS text
+       f"""WITH {Q.DOCS}, after AS (SELECT memory_id, CASE WHEN quality = 1 THEN text||' renewed text' ELSE text END AS text
          FROM docs WHERE coalesce(toxic, 0) <> 1),
        t AS (SELECT memory_id, {Q.tokens('text')} AS toks FROM after),
        p AS (SELECT memory_id, unnest(toks) AS term FROM t),
@@ -346,7 +346,7 @@ def refresh_indexes_all(spark: SparkSession, sf: str) -> DataFrame:
     flags = labelled(spark, sf)
     gone = flags.where("toxic = 1 OR quality = 1").select("memory_id")
     back = flags.where("quality = 1 AND toxic <> 1").select("memory_id")
-    renewed = chunks.join(back, "memory_id", "left_semi").withColumn("text", F.concat(F.upper("text"), F.lit(" renewed")))
+    renewed = chunks.join(back, "memory_id", "left_semi").withColumn("text", F.concat("text", F.lit(" renewed text")))
     after = refresh_indexes(build_indexes(chunks, docs), chunks, gone, renewed, renewed)
     terms = after["term_stats"].join(after["postings"].groupBy("term").agg(F.sum("tf").alias("b")), "term").select(
         F.lit("term").alias("part"), "term", F.col("df").alias("a"), "b")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.operators import evaluation as E
 from anamnesis.operators.knn import knn_join
-from anamnesis.plans.evaluation import judge_label, judge_prompt, reader_prompts, retrieval_eval
+from anamnesis.plans import evaluation as P
 from workload import frames as W
 from workload import sqltext as Q
 from workload.registry import query
@@ -111,7 +111,7 @@ def judge_agreement_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("judge_label", "SELECT doc_id, contains(lower(text), 'yes') AS label FROM documents")
 def judge_label_all(spark: SparkSession, sf: str) -> DataFrame:
-    return W.load(spark, sf, "documents").select("doc_id", judge_label("text").alias("label"))
+    return W.load(spark, sf, "documents").select("doc_id", P.judge_label("text").alias("label"))
 
 
 @query("seeded_sample")
@@ -168,7 +168,7 @@ def per_haystack_sql() -> str:
 
 @query("retrieval_eval", per_haystack_sql())
 def retrieval_eval_all(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval_eval(*conversation_questions(spark, sf), EMBEDDER)
+    return P.retrieval_eval(*conversation_questions(spark, sf), EMBEDDER)
 
 
 @query("reader_prompts",
@@ -189,17 +189,23 @@ def reader_prompts_all(spark: SparkSession, sf: str) -> DataFrame:
                                F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("turns"))
     questions = sessions.select("question_id", "question", F.lit("2024-02-01").alias("question_date"))
     hits = haystack.select("question_id", "session_id", F.lit(1).alias("rank"))
-    return reader_prompts(questions, haystack, hits).select("question_id", F.md5("prompt").alias("prompt_md5"))
+    return P.reader_prompts(questions, haystack, hits).select("question_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 @query("judge_prompt",
-       """SELECT CAST(doc_id AS VARCHAR) AS question_id, contains(prompt, 'unanswerable') AS abstains, prompt LIKE '%only.' AS closes, n FROM (
-         SELECT doc_id, CASE WHEN toxic = 1 THEN 'unanswerable ' ELSE '' END||'only.' AS prompt, length(text) > 0 AS n
-         FROM labels JOIN documents USING (doc_id))""")
+       f"""WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS question_id, toxic = 1 AS a, lang, text
+         FROM labels JOIN documents USING (doc_id))
+       SELECT question_id, md5(CASE WHEN a THEN {quoted(P.ABSTENTION_RULE)}
+           ELSE {quoted(P.ANSWER_RULE + P.EQUIVALENT_RULE + P.OFF_BY_ONE_RULE)} END
+         ||chr(10)||chr(10)||'Question: '||lang||chr(10)||chr(10)||CASE WHEN a THEN 'Explanation' ELSE 'Correct Answer' END
+         ||': gold'||chr(10)||chr(10)||'Model Response: '||text||chr(10)||chr(10)
+         ||CASE WHEN a THEN {quoted(P.ABSTENTION_QUESTION)} ELSE {quoted(P.CORRECT_QUESTION)} END) AS prompt_md5 FROM r""")
 def judge_prompt_all(spark: SparkSession, sf: str) -> DataFrame:
     records = label_records(spark, sf).select(
         "question_id", F.lit("temporal-reasoning").alias("question_type"), "abstention",
-        F.col("question_type").alias("question"), F.lit("gold").alias("answer"), F.col("text").alias("hypothesis"), "text")
-    return judge_prompt(records).join(records.select("question_id", "text"), "question_id").select(
-        "question_id", F.contains("prompt", F.lit("correctly identifies the question as unanswerable")).alias("abstains"),
-        F.col("prompt").endswith("only.").alias("closes"), F.contains("prompt", "text").alias("n"))
+        F.col("question_type").alias("question"), F.lit("gold").alias("answer"), F.col("text").alias("hypothesis"))
+    return P.judge_prompt(records).select("question_id", F.md5("prompt").alias("prompt_md5"))

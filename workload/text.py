@@ -135,9 +135,9 @@ def clean_markup_all(spark: SparkSession, sf: str) -> DataFrame:
        SELECT doc_id, len(parts) - 1 AS matches,
          CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + 3 * (i - 1) AS BIGINT) AS start FROM p""")
 def literal_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
-    docs = W.load(spark, sf, "documents").select("doc_id", "text", T.ascii_lower("text").alias("f"))
-    rows = docs.select("doc_id", literal_count(F.col("text"), "THE", True).cast("bigint").alias("matches"),
-                       F.explode(match_ranges(F.col("f"), "the")).alias("r"))
+    docs = W.load(spark, sf, "documents").select("doc_id", T.ascii_lower("text").alias("f"))
+    rows = docs.select("doc_id", literal_count(F.col("f"), F.lit("the")).cast("bigint").alias("matches"),
+                       F.explode(match_ranges(F.col("f"), F.lit("the"))).alias("r"))
     return rows.select("doc_id", "matches", F.col("r.start").cast("bigint").alias("start"))
 
 
@@ -147,7 +147,7 @@ def literal_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
 def regex_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
     java = regex_pattern("[A-Z][a-z]+ing|[0-9]{3,}", False)
     docs = W.load(spark, sf, "documents")
-    matched = F.transform(match_ranges(F.col("text"), java),
+    matched = F.transform(match_ranges(F.col("text"), F.lit(java)),
                           lambda r: F.substring("text", r["start"] + 1, r["length"]))
     return docs.select("doc_id", F.regexp_count("text", F.lit(java)).cast("bigint").alias("matches"),
                        F.md5(F.array_join(matched, ",")).alias("matches_md5"))
@@ -159,7 +159,7 @@ def regex_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
        FROM (SELECT doc_id, text, strpos(text, 'the') - 1 AS p FROM documents WHERE contains(text, 'the'))""")
 def snippet_all(spark: SparkSession, sf: str) -> DataFrame:
     docs = W.load(spark, sf, "documents").where(F.contains("text", F.lit("the")))
-    return docs.select("doc_id", snippet(F.col("text"), F.locate("the", "text") - 1, F.lit(3), 48).alias("s")).select(
+    return docs.select("doc_id", snippet(F.col("text"), F.locate("the", "text") - 1, F.lit(3), F.lit(48)).alias("s")).select(
         "doc_id", "s.*")
 
 
