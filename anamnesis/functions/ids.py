@@ -15,7 +15,7 @@ def is_valid_id(value: Column | str) -> Column:
 
 
 def to_uuid(seed: Column | str) -> Column:
-    """Name-based id: SHA-256 of the seed, version nibble 5, RFC 4122 variant nibble."""
+    """Name-based id: SHA-256 of the seed, version nibble 5, RFC 4122 variant nibble. Null stays null."""
 
     def layout(digest: Column) -> Column:
         # The variant nibble keeps its two low bits under a fixed high pair: 8, 9, a or b.
@@ -29,7 +29,8 @@ def to_uuid(seed: Column | str) -> Column:
             F.substring(digest, 21, 12),
         )
 
-    return bind(F.sha2(as_column(seed), 256), layout)
+    value = as_column(seed)
+    return F.when(value.isNotNull(), bind(F.sha2(value, 256), layout))
 
 
 def chunk_key(memory_id: Column | str, chunk_index: Column | str) -> Column:

@@ -87,7 +87,7 @@ def read_envelopes(envelopes: DataFrame, key: bytes,
     def field(name: str) -> Column:
         return variant_string(m, f"$.{name}")
 
-    tags = F.filter(F.transform(variant_list(m, "$.tags"), variant_string), lambda t: t.isNotNull())
+    tags = F.filter(F.transform(variant_list(m, "$.tags"), lambda t: variant_string(t)), lambda t: t.isNotNull())
     listed = F.from_json("chunks_text", "array<struct<text: string, vector: array<float>>>")
     memories = good.select(
         "memory_id", field(names.conversation).alias("conversation_id"), field(names.parent).alias("parent_id"),

@@ -71,7 +71,9 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: str) -> Da
 
 
 def json_rejects(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("_corrupt_record").isNotNull()).select("path", F.col("_corrupt_record").alias("content"))
+    """(path, content) of files that are not JSON; none of their fields could be read."""
+    unread = F.col("_corrupt_record").isNotNull() & F.col(rows.columns[0]).isNull()
+    return rows.where(unread).select("path", F.col("_corrupt_record").alias("content"))
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def read_chat_tree(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         value = entry["value"]
         time = variant_number(value, "$.message.create_time")
         parts = variant_list(value, "$.message.content.parts")
-        joined = trim_space(F.array_join(F.filter(F.transform(parts, variant_string), lambda s: s.isNotNull()), "\n"))
+        joined = trim_space(F.array_join(F.filter(F.transform(parts, lambda p: variant_string(p)), lambda s: s.isNotNull()), "\n"))
         whole = trim_space(variant_string(value, "$.message.content.parts"))
         plain = trim_space(variant_string(value, "$.message.content.text"))
         has_message = F.coalesce(

@@ -45,7 +45,10 @@ def document_id(doc_id="doc_id"):
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as memories: parent is the turn before, time is conv_id hours + turn minutes."""
-    raw = load(spark, sf_dir, "conversations")
+    return turn_rows(load(spark, sf_dir, "conversations"))
+
+
+def turn_rows(raw: DataFrame) -> DataFrame:
     at = minutes_after_epoch(F.col("conv_id") * 60 + F.col("turn"))
     return raw.select(
         turn_id().alias("memory_id"),
