@@ -32,7 +32,7 @@ MATCHES_PER_MEMORY = 100_000
 PREVIEW_LENGTH = 200
 
 # Ids and the tag that only one memory may carry.
-ID_PATTERN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ID_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 RESERVED_TAG = "_index"
 
 # Embedding batches.

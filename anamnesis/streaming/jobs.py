@@ -31,16 +31,17 @@ def _positioned(lines: DataFrame) -> DataFrame:
     return lines.withColumn("pos", F.monotonically_increasing_id())
 
 
-def ingest_turns(store: Store, turns: DataFrame, embedder: Embedder | None = None) -> Change:
-    """One idempotent import into the store. A replayed batch finds its ids stored and adds nothing."""
+def ingest_turns(store: Store, turns: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """One idempotent import into the store; returns turns added and skipped per conversation.
+
+    A replayed batch finds its ids stored and adds nothing.
+    """
     change = ingest(assemble_sessions(turns), store.read("memories"), F.current_timestamp())
     if embedder is not None:
         cache = store.cache()
-        fresh = new_cache_rows(change.chunks, embedder, cache)
-        store.append_cache(fresh)
+        store.append_cache(new_cache_rows(change.chunks, embedder, cache))
         change = Change(change.memories, embed_distinct(change.chunks, embedder, store.cache()), None, change.report)
-    store.apply(change)
-    return change
+    return store.apply(change)
 
 
 def stream_ingest(lines: DataFrame, parse: Parse, store: Store, checkpoint: str,

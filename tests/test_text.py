@@ -150,7 +150,7 @@ def test_odd_times_are_null(spark):
 def test_ids(spark):
     good = values(spark, ["seed", None], to_uuid)
     assert good[1] is None and re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", good[0])
-    assert values(spark, [good[0], good[0].upper(), "../x", None, good[0] + "\n"], is_valid_id)[:4] == [True, False, False, False]
+    assert values(spark, [good[0], good[0].upper(), "../x", None, good[0] + "\n"], is_valid_id) == [True, False, False, False, False]
 
 
 def test_rendering(spark):
