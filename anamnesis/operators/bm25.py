@@ -139,8 +139,10 @@ def bm25_from_index(queries: DataFrame, postings: DataFrame, frequency: DataFram
                     k: int, allowed: DataFrame | None = None) -> DataFrame:
     """`k` best chunks per query from stored postings: only the asked terms are read.
 
-    `postings` clustered by term prunes its files on the asked terms. Hot terms are spread by
-    salt when the query side is too large to broadcast.
+    Stored by memory bucket and sorted by term, `postings` skips row groups without an asked
+    term, and the scores of a chunk add up where its postings lie: the partial aggregate leaves
+    one row per query and chunk to shuffle. Hot terms are spread by salt when the query side is
+    too large to broadcast.
     """
     wanted = query_terms(queries)
     n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))

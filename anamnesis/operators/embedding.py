@@ -57,22 +57,23 @@ class HashedEmbedder:
         words_of = re.compile(r"[^\W_]+")
         stop = frozenset(STOPWORDS)
         size = self.dimensions
-        known: dict[str, np.ndarray] = {}
 
-        def direction(word: str) -> np.ndarray:
-            if word not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                digits = hashlib.sha256(word.encode()).hexdigest()
-                known[word] = np.array([2 * int(d, 16) - 15 for d in digits], dtype=np.int64)
-            return known[word]
+        def directions(words: list[str]) -> np.ndarray:
+            digests = b"".join(hashlib.sha256(w.encode()).digest() for w in words)
+            raw = np.frombuffer(digests, dtype=np.uint8).reshape(len(words), -1)
+            digits = np.stack([raw >> 4, raw & 15], axis=2).reshape(len(words), -1)
+            return 2 * digits.astype(np.int32) - 15
 
         def encode(texts: list[str]) -> np.ndarray:
+            # Each distinct word of the batch is hashed once; a text is then a sum of rows.
+            places: dict[str, int] = {}
+            listed = [[places.setdefault(w, len(places)) for w in words_of.findall(text.lower()) if w not in stop]
+                      for text in texts]
+            table = directions(list(places)) if places else np.zeros((0, size), dtype=np.int32)
             out = np.zeros((len(texts), size))
-            for i, text in enumerate(texts):
-                words = [w for w in words_of.findall(text.lower()) if w not in stop]
+            for i, words in enumerate(listed):
                 if words:
-                    out[i] = np.sum([direction(w) for w in words], axis=0)
+                    out[i] = table[words].sum(axis=0)
             norms = np.sqrt(np.einsum("ij,ij->i", out, out))
             return (out / np.where(norms == 0, 1.0, norms)[:, None]).astype(np.float32)
 

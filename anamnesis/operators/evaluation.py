@@ -73,10 +73,12 @@ def nearest_rank_percentile(rows: DataFrame, groups: Sequence[str], value: str,
               .agg(F.count(F.lit(1)).alias("_n"),
                    F.percentile_approx(value, [low, high], accuracy).alias("_b"))
               .withColumn("_target", F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("_n")))))
-    counted = attach(present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")), bounds, list(groups))
+    counted = attach(present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")), bounds, list(groups),
+                     computed=True)
     below = counted.groupBy(*groups).agg(
         F.coalesce(F.sum(F.when(F.col(value) < F.col("_b")[0], F.col("_c"))), F.lit(0)).alias("_below"))
-    inside = attach(counted.where(F.col(value).between(F.col("_b")[0], F.col("_b")[1])), below, list(groups))
+    inside = attach(counted.where(F.col(value).between(F.col("_b")[0], F.col("_b")[1])), below, list(groups),
+                    computed=True)
 
     running = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (inside.withColumn("_rank", F.col("_below") + F.sum("_c").over(running))

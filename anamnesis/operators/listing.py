@@ -94,7 +94,7 @@ def conversation_entries(memories: DataFrame, conversation_ids: DataFrame | None
     forks = (memories.where(F.coalesce(F.col("parent_id"), F.lit("")) != "")
              .groupBy("conversation_id", "parent_id").count().where("count > 1")
              .select("conversation_id", "parent_id", F.col("parent_id").alias("fork_from")))
-    return (attach(memories, forks, ["conversation_id", "parent_id"], "left")
+    return (attach(memories, forks, ["conversation_id", "parent_id"], "left", computed=True)
             .select("conversation_id", "memory_id", "created_at", "text", "fork_from")
             .orderBy("conversation_id", "created_at", "memory_id"))
 

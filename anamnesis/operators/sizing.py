@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anamnesis.session import cut_lineage
+
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 SALTS = 16
@@ -70,9 +72,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 
 def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner",
-           max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Join `right` onto a possibly skewed `left`: broadcast if measured small, else salted."""
+           max_bytes: int = BROADCAST_MAX_BYTES, computed: bool = False) -> DataFrame:
+    """Join `right` onto a possibly skewed `left`: broadcast if measured small, else salted.
+
+    `computed` marks a right side that is the small result of a heavy plan. It is materialised,
+    so that measuring it and joining it do not run that plan twice.
+    """
     keys = [on] if isinstance(on, str) else list(on)
+    if computed:
+        right = cut_lineage(right)
     if fits_broadcast(right, max_bytes=max_bytes):
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, how)

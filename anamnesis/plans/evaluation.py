@@ -12,6 +12,7 @@ from anamnesis.operators.evaluation import eval_scopes, question_scores, truth_r
 from anamnesis.operators.filters import cold_query_gate, is_abstention
 from anamnesis.operators.fusion import leg_depth, rrf_fuse
 from anamnesis.operators.knn import knn_per_haystack
+from anamnesis.session import cut_lineage
 
 DOC_MODES = ("full", "user-only")
 
@@ -34,8 +35,8 @@ def retrieve_per_question(questions: DataFrame, haystack: DataFrame, retriever:
     if retriever != "hybrid":
         raise ValueError(f"unknown retriever {retriever!r}")
     depth = leg_depth(k)
-    dense = knn_per_haystack(questions, haystack, depth)
-    sparse = bm25_per_haystack(questions, haystack, depth)
+    dense = cut_lineage(knn_per_haystack(questions, haystack, depth))
+    sparse = cut_lineage(bm25_per_haystack(questions, haystack, depth))
     return cold_query_gate(rrf_fuse(k, dense, sparse), dense, sparse)
 
 

@@ -14,6 +14,7 @@ from anamnesis.operators.filters import MetaFilter, allowed_ids, cold_query_gate
 from anamnesis.operators.fusion import best_memories, fetch_depth, leg_depth, recall_rows, rrf_fuse
 from anamnesis.operators.knn import knn_join
 from anamnesis.operators.sizing import fits_broadcast
+from anamnesis.session import cut_lineage
 
 
 def with_query_vectors(queries: DataFrame, embedder: Embedder | None) -> DataFrame:
@@ -31,10 +32,14 @@ def semantic_hits(queries: DataFrame, chunks: DataFrame, depth: int, allowed: Da
 
 
 def hybrid_hits(queries: DataFrame, chunks: DataFrame, depth: int, allowed: DataFrame | None) -> DataFrame:
-    """Dense and lexical legs fused by reciprocal rank, behind the cold-query gate."""
+    """Dense and lexical legs fused by reciprocal rank, behind the cold-query gate.
+
+    Fusion and gate both read the legs, which hold at most queries x depth rows each: they are
+    materialised so that either leg scans the corpus once.
+    """
     depth_per_leg = leg_depth(depth)
-    dense = knn_join(queries, chunks, depth_per_leg, allowed)
-    sparse = bm25_join(queries, chunks, depth_per_leg, allowed)
+    dense = cut_lineage(knn_join(queries, chunks, depth_per_leg, allowed))
+    sparse = cut_lineage(bm25_join(queries, chunks, depth_per_leg, allowed))
     return cold_query_gate(rrf_fuse(depth, dense, sparse), dense, sparse)
 
 

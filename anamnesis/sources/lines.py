@@ -44,7 +44,7 @@ def running_count(rows: DataFrame, flag: Column, out: str) -> DataFrame:
     offsets = totals.select(*SPLIT, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*SPLIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = marked.withColumn("_local", F.sum("_flag").over(inside))
-    return (attach(local, offsets, SPLIT)
+    return (attach(local, offsets, SPLIT, computed=True)
             .withColumn(out, F.col("_local") + F.col("_offset"))
             .drop("_flag", "_local", "_offset"))
 

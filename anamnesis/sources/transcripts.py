@@ -297,7 +297,7 @@ def chat_text_turns(lines: DataFrame) -> DataFrame:
     rest = F.col("start.rest")
     colon = F.locate(": ", rest)
     body = F.array_join(F.concat(F.array(F.substring(rest, colon + 2, F.char_length(rest))), F.col("more.line")), "\n")
-    fields = attach(folded, seeds, "path").where(colon > 0).select(
+    fields = attach(folded, seeds, "path", computed=True).where(colon > 0).select(
         "seed", (F.col("message") - 1).alias("turn_index"),
         trim_space(F.substring(rest, F.lit(1), colon - 1)).alias("sender"), trim_space(body).alias("body"),
         parse_chat_timestamp(F.col("start.date"), F.col("start.time")).alias("created_at"))
@@ -363,7 +363,7 @@ def assemble_sessions(turns: DataFrame) -> DataFrame:
         F.coalesce(F.min_by(F.col("created_at"), F.when(F.col("created_at").isNotNull(),
                                                         F.struct("turn_index", "memory_id"))),
                    F.max("fallback_at")).alias("session_at"))
-    return attach(turns, sessions, "conversation_id")
+    return attach(turns, sessions, "conversation_id", computed=True)
 
 
 FILE_READERS: dict[str, Callable[..., DataFrame]] = {

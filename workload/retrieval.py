@@ -131,8 +131,9 @@ def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_from_postings", f"""WITH {Q.DOCS}, {Q.QUERIES}, {Q.bm25('docs')}
        SELECT query_id, memory_id, score, rank FROM sparse""")
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings are materialised first, as the stored index would be."""
     terms = B.chunk_terms(W.document_chunks(spark, sf))
-    postings = B.build_postings(terms)
+    postings = cut_lineage(B.build_postings(terms).repartition("memory_id").sortWithinPartitions("term"))
     hits = B.bm25_from_index(W.text_queries(spark, sf), postings, B.term_stats(postings), B.corpus_stats(terms), 10)
     return hits_out(hits, "query_id", "memory_id", "score", "rank")
 
