@@ -25,6 +25,23 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rows_of(array: Column, name: str) -> Column:
+    """Explode a computed array; pair it with `is_row`.
+
+    A plain explode makes Spark add a non-empty filter that repeats the array expression. The
+    outer form keeps one evaluation, and `is_row` then drops the row of an empty array.
+    """
+    return F.explode_outer(array).alias(name)
+
+
+def numbered_rows_of(array: Column, position: str, name: str) -> Column:
+    return F.posexplode_outer(array).alias(position, name)
+
+
+def is_row(name: str) -> Column:
+    return F.col(name).isNotNull()
+
+
 def trim_space(value: Column | str) -> Column:
     text = as_column(value)
     return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.constants import BM25_B, BM25_K1
+from anamnesis.functions.core import is_row, rows_of
 from anamnesis.functions.text import term_counts, tokenize
 from anamnesis.operators.kernels import BestRows, TermScores
 from anamnesis.operators.ranking import top_k
@@ -31,7 +32,7 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
 
 def build_postings(terms: DataFrame) -> DataFrame:
     """(term, memory_id, chunk_index, tf, doc_len), straight out of the rows: no shuffle."""
-    return (terms.select(*CHUNK, "doc_len", F.explode("terms").alias("t"))
+    return (terms.select(*CHUNK, "doc_len", rows_of(F.col("terms"), "t")).where(is_row("t"))
             .select("t.term", *CHUNK, "t.tf", "doc_len"))
 
 
@@ -50,7 +51,7 @@ def corpus_stats(terms: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct tokens of each query."""
     return queries.select(F.col("query_id").cast("string").alias("query_id"),
-                          F.explode(F.array_distinct(tokenize("query_text"))).alias("term"))
+                          rows_of(F.array_distinct(tokenize("query_text")), "term")).where(is_row("term"))
 
 
 def _idf(df: Column, n_docs: Column) -> Column:
@@ -75,7 +76,7 @@ def asked_stats(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     statistics come out of the same partial aggregate, whose size is that of the query side.
     """
     marked = tokens.select(F.size("tokens").alias("doc_len"),
-                           F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None))).alias("term"))
+                           rows_of(F.array_append(F.array_distinct("tokens"), F.lit(None)), "term"))
     everything = wanted.select(F.col("term").alias("asked")).distinct().unionByName(
         wanted.sparkSession.createDataFrame([(None,)], "asked string"))
     return (marked.join(F.broadcast(everything), F.col("term").eqNullSafe(F.col("asked")), "left_semi")
@@ -179,7 +180,7 @@ def bm25_per_haystack(questions: DataFrame, haystack: DataFrame, k: int) -> Data
     # Terms nobody asks for drop out inside the row, before anything is exploded or shuffled.
     narrowed = attach(docs, asked, "query_id").select(
         "query_id", "memory_id", "doc_len",
-        F.explode(F.filter("terms", lambda t: F.array_contains("asked", t["term"]))).alias("t"))
+        rows_of(F.filter("terms", lambda t: F.array_contains("asked", t["term"])), "t")).where(is_row("t"))
     matched = narrowed.select("query_id", "memory_id", "doc_len", "t.term", "t.tf")
     df = matched.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = (df.join(corpus, "query_id")

@@ -17,6 +17,7 @@ from anamnesis.constants import (
     SNIPPETS_PER_PATTERN,
 )
 from anamnesis.functions import matching as M
+from anamnesis.functions.core import is_row, rows_of
 from anamnesis.functions.text import ascii_lower, trigrams
 from anamnesis.operators.ranking import top_k
 from anamnesis.operators.sizing import attach, fits_broadcast, salted_join
@@ -93,30 +94,29 @@ def classify(spark: SparkSession, patterns: Sequence[Pattern]) -> dict[str, str
     return status
 
 
-REQUESTS = "array<struct<pattern_id: string, regex: boolean, fold: boolean, needle: string, java: string, context: int>>"
+REQUEST = "pattern_id: string, regex: boolean, fold: boolean, needle: string, java: string, context: int"
 
 
-def requests_value(patterns: Sequence[Pattern]) -> Column:
-    """Searchable patterns as one constant array: what to look for, and the Java expression
-    that frames it."""
+def request_rows(patterns: Sequence[Pattern]) -> list[dict]:
+    """Searchable patterns: what to look for, and the Java expression that frames it."""
     rows = []
     for p in patterns:
         needle = p.pattern if p.regex or not p.ignore_case else M.fold(p.pattern)
         java = M.regex_pattern(p.pattern, p.ignore_case) if p.regex else M.quote_literal(needle)
         rows.append({"pattern_id": p.pattern_id, "regex": p.regex, "fold": p.ignore_case and not p.regex,
                      "needle": needle, "java": java, "context": p.context_chars})
-    return F.from_json(F.lit(json.dumps(rows)), REQUESTS)
+    return rows
 
 
 def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: DataFrame | None = None) -> DataFrame:
-    """(pattern_id, memory_id, updated_at, matches, snippets), one row per pattern and matching memory.
+    """(pattern_id, memory_id, updated_at, matches), one row per pattern and matching memory.
 
     The patterns are one constant of the plan, which does not grow with their number; every
     text is read once for all of them, and only matching pairs leave the row. `candidates`
     (memory_id, pattern_ids) limits which patterns are tried on which memory; both sides of
     that join hold a memory_id once, so it is even.
     """
-    requests = requests_value(patterns)
+    requests = F.from_json(F.lit(json.dumps(request_rows(patterns))), f"array<struct<{REQUEST}>>")
     rows = memories.select("memory_id", "updated_at", "text")
     if candidates is not None:
         rows = rows.join(candidates, "memory_id")
@@ -128,21 +128,16 @@ def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: Data
 
     tried = requests if candidates is None else F.filter(
         requests, lambda p: F.array_contains("pattern_ids", p["pattern_id"]))
-    found = rows.select("memory_id", "updated_at", "text", "lower", F.explode(F.filter(tried, occurs)).alias("p"))
-    haystack = F.when(F.col("p.fold"), F.col("lower")).otherwise(F.col("text"))
+    found = rows.select("memory_id", "updated_at", "text", "lower", rows_of(F.filter(tried, occurs), "p")).where(is_row("p"))
     count = F.when(F.col("p.regex"), F.regexp_count("text", "p.java")).otherwise(
-        M.literal_count(haystack, F.col("p.needle")))
-    snippets = F.transform(
-        M.match_ranges(haystack, F.col("p.java"), SNIPPETS_PER_MEMORY),
-        lambda r: F.struct(r["start"].alias("start"),
-                           M.snippet(F.col("text"), r["start"], r["length"], F.col("p.context")).alias("s")))
+        M.literal_count(F.when(F.col("p.fold"), F.col("lower")).otherwise(F.col("text")), F.col("p.needle")))
     return found.select(F.col("p.pattern_id").alias("pattern_id"), "memory_id", "updated_at",
-                        M.capped(count).cast("bigint").alias("matches"), snippets.alias("snippets"))
+                        M.capped(count).cast("bigint").alias("matches"))
 
 
 def trigram_index(memories: DataFrame) -> DataFrame:
     """(trigram, memory_id), distinct by construction."""
-    return memories.select(F.explode(trigrams("text")).alias("trigram"), "memory_id")
+    return memories.select(rows_of(trigrams("text"), "trigram"), "memory_id").where(is_row("trigram"))
 
 
 def trigram_join(patterns: DataFrame, index: DataFrame) -> DataFrame:
@@ -167,11 +162,22 @@ def search_totals(hits: DataFrame) -> DataFrame:
                                           F.count(F.lit(1)).alias("total_memories"))
 
 
-def search_snippets(hits: DataFrame) -> DataFrame:
-    """At most 3 snippets per memory and 200 per pattern, newest memory first, then by position."""
+def search_snippets(hits: DataFrame, memories: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+    """At most 3 snippets per memory and 200 per pattern, newest memory first, then by position.
+
+    A pattern's 200 snippets come from its 200 newest matching memories at most, so positions
+    are worked out for those texts only.
+    """
     newest = [F.desc("updated_at"), F.asc("memory_id")]
-    # A pattern's 200 snippets come from its 200 newest matching memories at most.
-    near = top_k(hits, ["pattern_id"], newest, SNIPPETS_PER_PATTERN, "_memory_rank").drop("_memory_rank")
-    rows = near.select("pattern_id", "memory_id", "updated_at", F.explode("snippets").alias("x")).select(
-        "pattern_id", "memory_id", "updated_at", "x.start", "x.s.*")
-    return top_k(rows, ["pattern_id"], [*newest, F.asc("start")], SNIPPETS_PER_PATTERN, "position").drop("updated_at")
+    near = top_k(hits.select("pattern_id", "memory_id", "updated_at"), ["pattern_id"], newest,
+                 SNIPPETS_PER_PATTERN, "_place").drop("_place")
+    asked = hits.sparkSession.createDataFrame(request_rows(patterns), REQUEST.replace(":", ""))
+    rows = attach(memories.select("memory_id", "text"), near, "memory_id", computed=True).join(
+        F.broadcast(asked), "pattern_id")
+    haystack = F.when(F.col("fold"), ascii_lower("text")).otherwise(F.col("text"))
+    ranges = M.match_ranges(haystack, F.col("java"), SNIPPETS_PER_MEMORY)
+    placed = rows.select("pattern_id", "memory_id", "updated_at", "text", "context", rows_of(ranges, "r")).where(is_row("r"))
+    shown = placed.select("pattern_id", "memory_id", "updated_at", "r.start",
+                          M.snippet(F.col("text"), F.col("r.start"), F.col("r.length"), F.col("context")).alias("s"))
+    ranked = top_k(shown, ["pattern_id"], [*newest, F.asc("start")], SNIPPETS_PER_PATTERN, "position")
+    return ranked.select("pattern_id", "memory_id", "start", "position", "s.*")

@@ -10,6 +10,7 @@ from anamnesis.operators.embedding import Embedder
 from anamnesis.operators.filters import MetaFilter
 from anamnesis.operators.listing import list_ranked, memory_texts, recent
 from anamnesis.plans.recall import rank_memories
+from anamnesis.session import cut_lineage
 
 
 def list_memories(memories: DataFrame, chunks: DataFrame, wanted: MetaFilter | None = None,
@@ -23,6 +24,8 @@ def list_memories(memories: DataFrame, chunks: DataFrame, wanted: MetaFilter | N
         ranked = rank_memories(queries, memories, chunks, k, retriever, wanted, embedder)
         places = list_ranked(queries, ranked, memories, k, wanted)
         picked = memories.select(*columns).join(places, "memory_id")
+    # At most k rows per list: kept once, so that fetching their texts does not rank again.
+    picked = cut_lineage(picked)
     return (picked.join(memory_texts(picked, chunks), "memory_id")
             .withColumn("created_at", iso_millis("created_at")).withColumn("updated_at", iso_millis("updated_at"))
             .drop("part"))

@@ -18,12 +18,12 @@ from anamnesis.session import cut_lineage
 
 
 def with_query_vectors(queries: DataFrame, embedder: Embedder | None) -> DataFrame:
-    """Queries that carry a vector keep it; otherwise their text is embedded."""
+    """Queries that carry a vector keep it; otherwise their text is embedded, once."""
     if "query_vector" in queries.columns:
         return queries
     if embedder is None:
         raise ValueError("queries without query_vector need an embedder")
-    return embed_column(queries, embedder, "query_text", "query_vector")
+    return cut_lineage(embed_column(queries, embedder, "query_text", "query_vector"))
 
 
 def semantic_hits(queries: DataFrame, chunks: DataFrame, depth: int, allowed: DataFrame | None) -> DataFrame:

@@ -21,8 +21,7 @@ from anamnesis.operators.search import (
 
 SEARCHERS = ("scan", "trigram", "none")
 SUMMARY_SCHEMA = "pattern_id string, early string"
-HITS_SCHEMA = ("pattern_id string, memory_id string, updated_at timestamp, matches bigint, "
-               "snippets array<struct<start:int,s:struct<before:string,match:string,after:string>>>")
+HITS_SCHEMA = "pattern_id string, memory_id string, updated_at timestamp, matches bigint"
 
 
 def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None = None,
@@ -65,4 +64,4 @@ def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None =
         "pattern_id", status.alias("status"),
         F.coalesce("total_matches", F.lit(0)).alias("total_matches"),
         F.coalesce("total_memories", F.lit(0)).alias("total_memories"))
-    return summary, search_snippets(hits)
+    return summary, search_snippets(hits, texts, runnable)

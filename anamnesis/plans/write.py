@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.constants import RESERVED_TAG
 from anamnesis.functions.chunking import chunk_text
-from anamnesis.functions.core import is_blank
+from anamnesis.functions.core import is_blank, is_row, numbered_rows_of
 from anamnesis.functions.ids import content_etag, text_sha256
 from anamnesis.operators.changes import (
     apply_updates,
@@ -52,8 +52,8 @@ def split_pieces(rows: DataFrame) -> DataFrame:
 
 def chunk_rows(rows: DataFrame) -> DataFrame:
     """(memory_id, chunk_index, text, text_sha256) from rows with `pieces`."""
-    return rows.select("memory_id", F.posexplode("pieces").alias("chunk_index", "text")).withColumn(
-        "text_sha256", text_sha256("text"))
+    return (rows.select("memory_id", numbered_rows_of(F.col("pieces"), "chunk_index", "text"))
+            .where(is_row("text")).withColumn("text_sha256", text_sha256("text")))
 
 
 def memory_rows(rows: DataFrame) -> DataFrame:

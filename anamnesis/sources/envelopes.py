@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.functions.blocks import variant_list, variant_string
-from anamnesis.functions.core import iso_millis
+from anamnesis.functions.core import is_row, iso_millis, numbered_rows_of
 from anamnesis.functions.crypto import decrypt, encrypt
 from anamnesis.functions.times import from_iso
 from anamnesis.sources.lines import base_name
@@ -93,7 +93,7 @@ def read_envelopes(envelopes: DataFrame, key: bytes,
         "memory_id", field(names.conversation).alias("conversation_id"), field(names.parent).alias("parent_id"),
         tags.alias("tags"), from_iso(field("created_at")).alias("created_at"),
         from_iso(field("updated_at")).alias("updated_at"), F.size(listed).alias("chunk_count"))
-    chunks = good.select("memory_id", F.posexplode(listed).alias("chunk_index", "c")).select(
+    chunks = good.select("memory_id", numbered_rows_of(listed, "chunk_index", "c")).where(is_row("c")).select(
         "memory_id", "chunk_index", "c.text", "c.vector")
     return memories, chunks, opened.where(F.col("reason").isNotNull()).select("memory_id", "reason")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anamnesis.functions.blocks import join_text_blocks, join_text_runs, variant_list, variant_string
-from anamnesis.functions.core import is_blank, trim_space
+from anamnesis.functions.core import is_blank, is_row, numbered_rows_of, rows_of, trim_space
 from anamnesis.functions.ids import is_valid_id, to_uuid
 from anamnesis.functions.text import accept_role, clean_markup, role_line, speaker_name, strip_marks, turn_line
 from anamnesis.functions.times import (
@@ -139,7 +139,7 @@ def read_chat_tree(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
                       F.to_json("mapping"))
     turns = rows.select(to_uuid(seed).alias("conversation_id"),
                         from_epoch_seconds("create_time").alias("fallback_at"),
-                        F.posexplode(kept).alias("turn_index", "n"))
+                        numbered_rows_of(kept, "turn_index", "n")).where(is_row("n"))
     return as_turns(turns.select(
         "conversation_id", "turn_index", "fallback_at",
         to_uuid("n.id").alias("memory_id"), to_uuid("n.parent").alias("parent_id"),
@@ -245,7 +245,7 @@ def read_messenger_export(spark: SparkSession, path: str | Sequence[str]) -> Dat
     nested = F.transform("chats.list", lambda c: F.struct(
         F.coalesce(variant_text(c, "$.id"), variant_text(c, "$.name")).alias("key"),
         variant_list(c, "$.messages").alias("messages")))
-    chats = rows.select(F.explode(F.coalesce(nested, F.array(whole))).alias("c"))
+    chats = rows.select(rows_of(F.coalesce(nested, F.array(whole)), "c")).where(is_row("c"))
     messages = chats.select(
         F.concat(F.lit("telegram:"), F.coalesce("c.key", F.lit("chat"))).alias("chat"),
         F.posexplode("c.messages").alias("turn_index", "m"))
@@ -320,7 +320,7 @@ def kv_sessions_turns(kv: DataFrame) -> DataFrame:
     headers = kv.where(F.col("key").startswith("composerData:")).select(value.alias("v")).select(
         nonempty(variant_string(F.col("v"), "$.composerId")).alias("session"),
         variant_number(F.col("v"), "$.createdAt").alias("created"),
-        F.posexplode(variant_list(F.col("v"), "$.fullConversationHeadersOnly")).alias("turn_index", "h"))
+        numbered_rows_of(variant_list(F.col("v"), "$.fullConversationHeadersOnly"), "turn_index", "h")).where(is_row("h"))
     asked = headers.select(
         "session", "created", "turn_index", variant_string(F.col("h"), "$.bubbleId").alias("bubble"),
         variant_number(F.col("h"), "$.type").alias("header_type")).where("session IS NOT NULL AND bubble IS NOT NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions import ids as I
 from anamnesis.functions import text as T
 from anamnesis.functions.chunking import chunk_text
-from anamnesis.functions.core import iso_millis
+from anamnesis.functions.core import is_row, iso_millis, numbered_rows_of, rows_of
 from anamnesis.functions.matching import literal_count, match_ranges, regex_pattern, snippet
 from anamnesis.functions.times import from_epoch_ms, from_epoch_seconds, from_iso
 from anamnesis.plans.evaluation import session_document
@@ -85,7 +85,7 @@ CHUNK_SQL = rf"""WITH RECURSIVE
 @query("chunk_text", f"""{CHUNK_SQL}
        SELECT memory_id, chunk_index, length(text) AS n_chars, md5(text) AS text_md5 FROM chunked""")
 def chunk_text_all(spark: SparkSession, sf: str) -> DataFrame:
-    rows = W.document_memories(spark, sf).select("memory_id", F.posexplode(chunk_text("text")).alias("i", "c"))
+    rows = W.document_memories(spark, sf).select("memory_id", numbered_rows_of(chunk_text("text"), "i", "c")).where(is_row("c"))
     return rows.select("memory_id", F.col("i").cast("bigint").alias("chunk_index"),
                        F.char_length("c").cast("bigint").alias("n_chars"), F.md5("c").alias("text_md5"))
 
@@ -137,7 +137,7 @@ def clean_markup_all(spark: SparkSession, sf: str) -> DataFrame:
 def literal_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
     docs = W.load(spark, sf, "documents").select("doc_id", T.ascii_lower("text").alias("f"))
     rows = docs.select("doc_id", literal_count(F.col("f"), F.lit("the")).cast("bigint").alias("matches"),
-                       F.explode(match_ranges(F.col("f"), F.lit("the"))).alias("r"))
+                       rows_of(match_ranges(F.col("f"), F.lit("the")), "r")).where(is_row("r"))
     return rows.select("doc_id", "matches", F.col("r.start").cast("bigint").alias("start"))
 
 
