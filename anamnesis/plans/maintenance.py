@@ -10,7 +10,8 @@ from anamnesis.operators.embedding import Embedder, embed_distinct
 
 
 class VersionedTable:
-    """A table whose new content is staged beside the old one and published by one small file.
+    """A table whose new content is staged beside the old one and published by one empty marker
+    file, whose creation is a single step.
 
     Versions stay on disk, so the one before is the backup. Staging may be repeated: an
     unpublished version is completed or overwritten, and readers never see it.
@@ -25,10 +26,9 @@ class VersionedTable:
 
     def current(self) -> int:
         """Number of the published version, 0 before the first."""
-        fs, pointer = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(str(pointer.toString())).first()["value"])
+        fs, pattern = self._fs(f"{self.root}/published-*")
+        found = fs.globStatus(pattern) or []
+        return max((int(status.getPath().getName().rsplit("-", 1)[1]) for status in found), default=0)
 
     def version_path(self, number: int) -> str:
         return f"{self.root}/v={number:06d}"
@@ -53,14 +53,8 @@ class VersionedTable:
         found = 0 if staged is None else staged.count()
         if found != expected_rows:
             raise ValueError(f"version {number} holds {found} rows, expected {expected_rows}")
-        fs, pointer = self._fs(f"{self.root}/CURRENT")
-        _, fresh = self._fs(f"{self.root}/CURRENT.next")
-        out = fs.create(fresh, True)
-        out.write(bytearray(f"{number}\n".encode()))
-        out.close()
-        fs.delete(pointer, False)
-        if not fs.rename(fresh, pointer):
-            raise OSError(f"could not publish version {number}")
+        fs, marker = self._fs(f"{self.root}/published-{number:06d}")
+        fs.create(marker, False).close()
         return number
 
 
