@@ -55,7 +55,7 @@ def ann_join(queries: DataFrame, chunks: DataFrame, k: int, allowed: DataFrame |
     """Approximate `knn_join` with the same columns. `probes` (ivf) or `tables` (lsh) trade
     accuracy for work. A query side beyond the broadcast bound is answered exactly."""
     if allowed is not None:
-        chunks = attach(chunks, allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+        chunks = attach(chunks, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     wanted = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector")
     if not fits_broadcast(wanted, max_bytes=QUERY_BLOCK_BYTES):
         return knn_join(wanted, chunks, k)

@@ -95,13 +95,13 @@ def bm25_join(queries: DataFrame, chunks: DataFrame, k: int, allowed: DataFrame
     wanted = query_terms(queries)
     tokens = chunk_tokens(chunks)
     scored = tokens if allowed is None else attach(
-        tokens, allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+        tokens, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     if fits_broadcast(wanted):
         return _rank_scores(_score_by_scan(scored, wanted, asked_stats(tokens, wanted), k), k)
     terms = chunk_terms(chunks)
     postings = build_postings(terms)
     if allowed is not None:
-        postings = attach(postings, allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+        postings = attach(postings, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     return bm25_from_index(queries, postings, term_stats(build_postings(terms)), corpus_stats(terms), k)
 
 
@@ -152,7 +152,7 @@ def bm25_from_index(queries: DataFrame, postings: DataFrame, frequency: DataFram
     df = frequency.join(F.broadcast(asked), "term", "left_semi") if small else frequency
     weights = wanted.join(df, "term").select("query_id", "term", _idf(F.col("df"), n_docs).alias("idf"))
     if allowed is not None:
-        postings = attach(postings, allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+        postings = attach(postings, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     matched = postings.join(F.broadcast(weights), "term") if small else _salted(postings, weights)
     scored = (matched.groupBy("query_id", *CHUNK)
               .agg(F.round(F.sum(F.col("idf") * _saturation(F.col("tf"), F.col("doc_len"), avgdl)),

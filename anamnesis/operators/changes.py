@@ -24,7 +24,7 @@ def ingest_anti_join(turns: DataFrame, memories: DataFrame, order: Column | str)
 
 
 def without_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
-    return attach(table, ids.select("memory_id").distinct(), "memory_id", "left_anti")
+    return attach(table, ids.select("memory_id").distinct(), "memory_id", "left_anti", even=True)
 
 
 def unknown_ids(ids: DataFrame, memories: DataFrame) -> DataFrame:

@@ -133,4 +133,4 @@ def is_scorable(truth_ids: Column | str) -> Column:
 def restrict(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
     if allowed is None:
         return rows
-    return attach(rows, allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+    return attach(rows, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)

@@ -29,8 +29,8 @@ def refresh_indexes(indexes: dict[str, DataFrame], old_chunks: DataFrame, gone:
     new_terms = chunk_terms(new_chunks)
     new_postings = build_postings(new_terms)
     gone_ids = gone.select("memory_id").distinct()
-    lost_postings = attach(indexes["postings"], gone_ids, "memory_id", "left_semi")
-    lost_chunks = chunk_terms(attach(old_chunks, gone_ids, "memory_id", "left_semi"))
+    lost_postings = attach(indexes["postings"], gone_ids, "memory_id", "left_semi", even=True)
+    lost_chunks = chunk_terms(attach(old_chunks, gone_ids, "memory_id", "left_semi", even=True))
 
     moves = (new_postings.select("term", F.lit(1).alias("d"))
              .unionByName(lost_postings.select("term", F.lit(-1).alias("d"))))

@@ -32,7 +32,7 @@ def knn_join(queries: DataFrame, chunks: DataFrame, k: int, allowed: DataFrame |
     `allowed` restricts the corpus to its memory_ids before any distance is computed.
     """
     if allowed is not None:
-        chunks = attach(chunks, allowed.select("memory_id").distinct(), "memory_id", "left_semi")
+        chunks = attach(chunks, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     wanted = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector")
     corpus = chunks.select("memory_id", F.col("chunk_index").cast("int").alias("chunk_index"), "vector")
     if fits_broadcast(wanted, max_bytes=query_block_bytes):

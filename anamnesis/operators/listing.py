@@ -51,7 +51,7 @@ def list_ranked(queries: DataFrame, ranked: DataFrame, memories: DataFrame, k: i
 def memory_texts(memory_ids: DataFrame, chunks: DataFrame, separator: str = " ") -> DataFrame:
     """Full text of the given memories: their chunks in order."""
     picked = attach(chunks.select("memory_id", "chunk_index", "text"),
-                    memory_ids.select("memory_id").distinct(), "memory_id", "left_semi")
+                    memory_ids.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     ordered = picked.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
     return ordered.select("memory_id", F.array_join("c.text", separator).alias("text"))
 
@@ -60,7 +60,7 @@ def memory_detail(memory_ids: DataFrame, memories: DataFrame, chunks: DataFrame)
     """Full rows of given ids; unknown ids give no row."""
     wanted = memory_ids.select("memory_id").distinct()
     meta = attach(memories.select("memory_id", "conversation_id", "parent_id", "tags", "created_at"),
-                  wanted, "memory_id", "left_semi")
+                  wanted, "memory_id", "left_semi", even=True)
     return (meta.join(memory_texts(wanted, chunks), "memory_id")
             .withColumn("created_at", iso_millis("created_at")))
 

@@ -72,15 +72,17 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 
 def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner",
-           max_bytes: int = BROADCAST_MAX_BYTES, computed: bool = False) -> DataFrame:
+           max_bytes: int = BROADCAST_MAX_BYTES, computed: bool = False, even: bool = False) -> DataFrame:
     """Join `right` onto a possibly skewed `left`: broadcast if measured small, else salted.
 
     `computed` marks a right side that is the small result of a heavy plan. It is materialised,
-    so that measuring it and joining it do not run that plan twice.
+    so that measuring it and joining it do not run that plan twice. `even` says that no key
+    can hold many rows on the left, as with the chunks of a memory: a plain shuffle join then
+    does, without copies of the right side.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if computed:
         right = cut_lineage(right)
     if fits_broadcast(right, max_bytes=max_bytes):
         return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how)
+    return left.join(right, keys, how) if even else salted_join(left, right, keys, how)

@@ -139,7 +139,7 @@ def update_batch(updates: DataFrame, memories: DataFrame, now: Column, embedder:
     refused = guarded.where(blank | ~F.col("reserved_ok")).select(
         "memory_id", "update_order", F.when(F.col("reserved_ok"), "empty").otherwise("reserved").alias("reason"))
     applicable, stale = resolve_updates(usable, memories)
-    touched = attach(memories, applicable.select("memory_id"), "memory_id", "left_semi")
+    touched = attach(memories, applicable.select("memory_id"), "memory_id", "left_semi", even=True)
     changed = split_pieces(apply_updates(applicable, touched, now))
     pieces = chunk_rows(changed)
     return Change(memory_rows(changed), pieces if embedder is None else embed_distinct(pieces, embedder),
@@ -159,7 +159,7 @@ def reconcile(snapshot_memories: DataFrame, snapshot_chunks: DataFrame, memories
     incoming = diff.where(F.col("change") != "removed").select("memory_id")
     outgoing = diff.where(F.col("change") != "added").select("memory_id")
     return Change(snapshot_memories.join(incoming, "memory_id", "left_semi"),
-                  attach(snapshot_chunks, incoming, "memory_id", "left_semi"), outgoing, sync_summary(diff))
+                  attach(snapshot_chunks, incoming, "memory_id", "left_semi", even=True), outgoing, sync_summary(diff))
 
 
 def applied(table: DataFrame, change_rows: DataFrame, gone: DataFrame | None) -> DataFrame:

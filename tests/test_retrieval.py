@@ -147,6 +147,8 @@ def test_attach_is_the_same_when_salted(spark, rows, monkeypatch):
     for how in ("inner", "left", "left_semi", "left_anti"):
         small = rows(sizing.attach(left, right, "k", how))
         assert rows(sizing.attach(left, right, "k", how, max_bytes=0)) == small
+        assert rows(sizing.attach(left, right, "k", how, max_bytes=0, even=True)) == small
+        assert rows(sizing.attach(left, right, "k", how, computed=True)) == small
 
 
 def leg(spark, data):
