@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,11 @@ def fold(text: str) -> str:
 
 
 def regex_pattern(pattern: str, ignore_case: bool) -> str:
-    """Java flags under which `.` stops at line feeds only and case folds over Unicode."""
+    """Java form in which `.` stops at line feeds only, case folds over Unicode, and a `$`
+    outside brackets means the very end of the text unless lines are asked for."""
+    if not re.search(r"\(\?[a-z]*m", pattern):
+        parts = r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\$"
+        pattern = re.sub(parts, lambda m: r"\z" if m.group() == "$" else m.group(), pattern)
     return f"(?{'diu' if ignore_case else 'd'}){pattern}"
 
 

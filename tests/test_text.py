@@ -107,6 +107,14 @@ def test_regex_case_and_dot(spark):
     assert [len(x) for x in values(spark, texts, lambda c: match_ranges(c, F.lit(regex_pattern("a.b", False))))] == [0, 1]
 
 
+def test_dollar_is_the_end_of_the_text(spark):
+    texts = ["a\n", "a", "a$\na"]
+    def counts(pattern):
+        return [len(x) for x in values(spark, texts, lambda c: match_ranges(c, F.lit(regex_pattern(pattern, False))))]
+
+    assert counts("a$") == [0, 1, 1] and counts("(?m)a$") == [1, 1, 1] and counts(r"a\$") == [0, 0, 1] and counts("a[$]") == [0, 0, 1]
+
+
 def test_snippet_is_clipped(spark):
     got = values(spark, ["0123456789"], lambda c: snippet(c, F.lit(2), F.lit(3), F.lit(4)))
     assert tuple(got[0]) == ("01", "234", "5678")
