@@ -39,13 +39,17 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set (tests)."""
+    """The shared folder named by the cluster. In local mode, where every task shares the
+    driver's disk, a private one serves if none is set; on a cluster that is an error.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="anamnesis-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
