@@ -2,7 +2,7 @@
 
 Features of a text are its distinct words and word beginnings (3 to 6 letters), hashed to a fixed
 number of buckets. All labelled rows are counted per feature; the features whose counts differ
-most between the classes (by log-likelihood ratio) are kept. A logistic model over their presence
+most between the classes (by log-likelihood ratio, at least `LEAST_GAIN`) are kept. A logistic model over their presence
 is then fitted on a bounded sample of labelled rows.
 
 Counterfactual part. Words that name a group of people (`identity_terms`) carry no blame. In each
@@ -25,9 +25,10 @@ from anamnesis.llm.langid import remainder
 
 FEATURE_BITS = 22
 KEPT_FEATURES = 4096
+LEAST_GAIN = 10.0
 SAMPLE_ROWS = 40_000
-FIT_STEPS = 400
-RIDGE = 1e-3
+FIT_STEPS = 1000
+RIDGE = 1e-4
 SWAP_PENALTY = 1.0
 BEGINNINGS = (3, 4, 5, 6)
 _WORD = byte_class((48, 57), (65, 90), (97, 122), (0x80, 0xFF))
@@ -150,15 +151,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit(own: list[list[int]], swapped: list[list[list[int]]], toxic: np.ndarray, features: int,
-        ridge: float = RIDGE, swap_penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on logistic loss + ridge + squared change under swaps."""
-    size = np.array([len(x) for x in own])
-    column = np.fromiter((c for x in own for c in x), np.int64, int(size.sum()))
-    row = np.repeat(np.arange(len(own)), size)
+def fit(column: np.ndarray, size: np.ndarray, swapped: list[tuple[list[int], list[list[int]]]], toxic: np.ndarray,
+        features: int, ridge: float = RIDGE, swap_penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on logistic loss + ridge + squared change under swaps.
+
+    `column` holds the features of all rows one after another, `size` how many each row has.
+    """
+    row = np.repeat(np.arange(len(size)), size)
     # A swap's change of margin is linear: +1 for what it brings, -1 for what it removes.
     change_row, change_column, change_sign, pairs = [], [], [], 0
-    for before, variants in zip(own, swapped):
+    for before, variants in swapped:
         for after in variants:
             for sign, values in ((1.0, set(after) - set(before)), (-1.0, set(before) - set(after))):
                 change_row += [pairs] * len(values)
@@ -167,7 +169,7 @@ def fit(own: list[list[int]], swapped: list[list[list[int]]], toxic: np.ndarray,
             pairs += 1
     change_row, change_column = np.array(change_row, np.int64), np.array(change_column, np.int64)
     change_sign = np.array(change_sign, np.float64)
-    n = max(len(own), 1)
+    n = max(len(size), 1)
     rate = toxic.mean() if len(toxic) else 0.0
     constant = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     weights = np.zeros(features)
@@ -179,7 +181,7 @@ def fit(own: list[list[int]], swapped: list[list[list[int]]], toxic: np.ndarray,
     rate_of = 1.0 / load
     ahead, momentum = weights.copy(), 1.0
     for _ in range(FIT_STEPS):
-        margin = constant + np.bincount(row, weights=ahead[column], minlength=len(own))
+        margin = constant + np.bincount(row, weights=ahead[column], minlength=len(size))
         error = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - toxic
         gradient = np.bincount(column, weights=error[row], minlength=features) / n + ridge * ahead
         if pairs:
@@ -208,7 +210,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, kept_features: in
     both = a + b
     part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     ratio = part(a, both * base) + part(b, both * (1 - base))
-    kept = counts.where("feature >= 0").withColumn("gain", ratio).orderBy(F.desc("gain"), "feature") \
+    kept = counts.where("feature >= 0").withColumn("gain", ratio).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature") \
         .limit(kept_features).select("feature").toPandas()["feature"].to_numpy(np.int64)
     terms = [t.encode() for group in identity_terms for t in group]
     if terms:
@@ -221,8 +223,11 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, kept_features: in
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)
     run, schema = _project(kept, identity_terms)
     rows = labelled.where(draw).select("text", "toxic").mapInArrow(run, schema).toArrow()
-    own, swapped = rows.column("own").to_pylist(), rows.column("swapped").to_pylist()
-    weights, constant = fit(own, swapped, rows.column("toxic").to_numpy().astype(float), len(kept))
+    own, variants = rows.column("own").combine_chunks(), rows.column("swapped").combine_chunks()
+    flat, cut = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64), own.value_lengths().to_numpy()
+    holders = np.flatnonzero(variants.value_lengths().to_numpy())
+    swapped = [(own[i].as_py(), variants[i].as_py()) for i in holders.tolist()]
+    weights, constant = fit(flat, cut.astype(np.int64), swapped, rows.column("toxic").to_numpy().astype(float), len(kept))
     return Model(kept, weights, constant)
 
 
