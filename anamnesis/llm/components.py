@@ -20,7 +20,7 @@ from anamnesis.session import cut_lineage
 BATCH_LINKS = 1 << 18
 
 
-def _forest(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it reaches) for the nodes that are not the smallest of their tree."""
     nodes, flat = np.unique(np.concatenate([low, high]), return_inverse=True)
     a, b = flat[:len(low)], flat[len(low):]
@@ -47,11 +47,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_high.append(batch.column(1).to_numpy(zero_copy_only=False))
         held += batch.num_rows
         if held >= BATCH_LINKS:
-            node, root = _forest(np.concatenate(held_low), np.concatenate(held_high))
+            node, root = forest(np.concatenate(held_low), np.concatenate(held_high))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
             held_low, held_high, held = [], [], 0
     if held:
-        node, root = _forest(np.concatenate(held_low), np.concatenate(held_high))
+        node, root = forest(np.concatenate(held_low), np.concatenate(held_high))
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
 

@@ -11,11 +11,12 @@ has few shingles. Places of one text are won without replacement, which lowers t
 
 Search. Texts with the same set are one class, represented by their smallest id, before anything
 is compared. Classes that agree in a whole band meet in a bucket. A bucket's pairs are not
-listed: in the first round its smallest member leads and every other member is compared with it.
-A bucket that is then one component, as with true copies, is done. In a bucket that still holds
-several, members whose private shingles rule out any link leave, and more leaders follow, those
-with the fewest private shingles first. Leaders leave the bucket after their round. Rounds end
-when every bucket is one component or used up, so no link is lost to a cap.
+listed: first its smallest member leads and every other member is compared with it. A bucket that
+is then one component, as with true copies, is done. Of those that still hold several, small
+ones are compared in full. Large ones hold edited copies that agree in many bands and are partly
+no near duplicates of each other; those that share members form a cluster, whose members are
+dealt into blocks of bounded size. Blocks are compared pairwise as matrix products, except two
+blocks of the cluster's main component, and give a spanning forest of their links at most.
 
 Verification. Pairs are grouped by leader, split by the measured number of partners. A task
 streams the texts of one leader's block and keeps one set.
@@ -28,18 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anamnesis.llm.arrays import (LOWER_ASCII, WHITE, distinct_in_rows, mix, range_hashes, runs, shingle_hashes,
                                   text_slices)
-from anamnesis.llm.components import connected_components
+from anamnesis.llm.components import connected_components, forest
 from anamnesis.session import cut_lineage
 
 BANDS = 42
 ROWS = 6
 ALL_PAIRS = 32
 PARTNERS_PER_BLOCK = 256
+BLOCK_TEXTS = 128
+BLOCK_SHINGLES = 1 << 18
+MATRIX_COLUMNS = 4096
 _SIGNATURE_SLICE = 1 << 20
 
 
@@ -178,93 +181,115 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = cut_lineage(banded.join(shared.drop("members"), "bucket").select(
-        "bucket", "node", "n", F.col("node").alias("component"), (F.lit(ALL_PAIRS) + 1).alias("members"),
-        F.lit(0).cast("long").alias("private")))
+        "bucket", "node", "n"))
     texts = cut_lineage(source.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
                         .dropDuplicates(["doc_id"]))
-    links, components, private, leaders = None, None, None, 1
-    while True:
-        if components is not None:
-            buckets, private = _still_open(buckets, components, private, texts, width, percent)
-            if buckets.isEmpty():
-                break
-        pairs, buckets = _round(buckets, leaders, percent)
-        found = cut_lineage(verified_links(pairs, texts, width, percent))
-        links = found if links is None else links.union(found)
-        components = connected_components(links, "first", "second")
-        leaders *= 8
-    if components is None:
-        placed = signed.withColumn("component_id", F.col("doc_id"))
-    else:
-        named = classes.select("set_key", "node").join(components, "node", "left") \
-            .select("set_key", F.coalesce("component", "node").alias("component_id"))
-        placed = signed.join(named, "set_key", "left") \
-            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # First round: every member of a bucket and its smallest member.
+    close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
+    least = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"))
+    pairs = buckets.join(least, "bucket").select(
+        F.col("least.node").alias("leader"), F.col("least.n").alias("leader_n"), F.col("node").alias("partner"), "n") \
+        .where("leader <> partner").where(close).select("leader", "partner").distinct()
+    links = cut_lineage(verified_links(cut_lineage(pairs), texts, width, percent))
+    components = connected_components(links, "first", "second")
+    # Second round: what is left between different components of a bucket.
+    named = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    state = named.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several"),
+                                        F.count(F.lit(1)).alias("members")).where("several").drop("several")
+    unsettled = cut_lineage(named.join(state, "bucket"))
+    small = unsettled.where(F.col("members") <= ALL_PAIRS)
+    leader = small.select("bucket", F.col("node").alias("leader"), F.col("n").alias("leader_n"),
+                          F.col("component").alias("leader_component"))
+    pairs = small.join(leader, "bucket").where((F.col("leader") < F.col("node")) & close
+                                               & (F.col("component") != F.col("leader_component")))
+    pairs = cut_lineage(pairs.select("leader", F.col("node").alias("partner")).distinct())
+    found = cut_lineage(verified_links(pairs, texts, width, percent))
+    large = unsettled.where(F.col("members") > ALL_PAIRS)
+    blocked = cut_lineage(_compare_blocks(large, texts, width, percent))
+    components = connected_components(links.union(found).union(blocked), "first", "second")
+    named = classes.select("set_key", "node").join(components, "node", "left") \
+        .select("set_key", F.coalesce("component", "node").alias("component_id"))
+    placed = signed.join(named, "set_key", "left") \
+        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _still_open(buckets: DataFrame, components: DataFrame, private: DataFrame | None, texts: DataFrame, width: int,
-                percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(members of buckets that hold several components, private shingles of the members of large ones).
+def _compare_blocks(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the members of large buckets that are not yet in one component."""
+    nodes = large.select("node", "n", "component").distinct()
+    joined = large.select("bucket", "node").join(large.groupBy("bucket").agg(F.min("node").alias("least")), "bucket")
+    clusters = connected_components(joined, "node", "least")
+    placed = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node", "left") \
+        .withColumn("cluster", F.coalesce("cluster", "node"))
+    largest = placed.groupBy("cluster", "component").count().groupBy("cluster") \
+        .agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    placed = placed.join(largest, "cluster").withColumn("settled", F.col("component") == F.col("main"))
+    weight = F.sum(F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK_TEXTS)))
+    need = placed.groupBy("cluster", "settled").agg(F.ceil(weight / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = placed.join(need, ["cluster", "settled"]).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    counts = need.groupBy("cluster").agg(F.coalesce(F.max(F.when(~F.col("settled"), F.col("blocks"))), F.lit(0)).alias("open"),
+                                         F.coalesce(F.max(F.when(F.col("settled"), F.col("blocks"))), F.lit(0)).alias("done"))
+    # An unsettled block meets every unsettled block once, and every settled block.
+    after = F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda x: F.struct(
+        F.least("block", x).alias("low"), F.greatest("block", x).alias("high"), F.lit(False).alias("mixed")))
+    mixed = F.when(F.col("done") > 0, F.transform(F.sequence(F.lit(0), F.col("done") - 1), lambda x: F.struct(
+        F.col("block").alias("low"), x.alias("high"), F.lit(True).alias("mixed"))))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda x: F.struct(
+        x.alias("low"), F.col("block").alias("high"), F.lit(True).alias("mixed")))
+    meets = F.when(F.col("settled"), with_main).otherwise(F.concat(after, F.coalesce(mixed, F.array_except(after, after))))
+    dealt = placed.join(counts, "cluster").where("open > 0").select(
+        F.col("node").alias("doc_id"), "component", "cluster", F.explode(meets).alias("meeting"))
+    rows = texts.join(dealt, "doc_id").select("doc_id", "text", "component", "cluster", "meeting.*")
+    key = ["cluster", "mixed", "low", "high"]
+    run, schema = _block_links(width, percent)
+    return rows.repartition(*key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, schema)
+
+
+def _block_links(width: int, percent: int):
+    """Rows come sorted by meeting; each meeting gives a forest of the links between its texts."""
+    schema = pa.schema([("first", pa.int64()), ("second", pa.int64())])
 
-    A shingle that no other member of the large buckets has is private. With p private shingles a
-    text of n shares at most n - p, which bounds its similarity to every text of its bucket. A
-    member whose bound is too low has no link left to find and leaves. This empties groups of
-    edited copies, whose members agree in many bands and are still no near duplicates of each other.
-    """
-    named = buckets.drop("component", "members").join(components, "node", "left") \
-        .withColumn("component", F.coalesce("component", "node"))
-    state = named.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several"),
-                                        F.count(F.lit(1)).alias("members")).where("several").drop("several")
-    found = cut_lineage(named.join(state, "bucket").select("bucket", "node", "n", "component", "members", "private"))
-    large = F.col("members") > ALL_PAIRS
-    if private is None:
-        nodes = found.where(large).select(F.col("node").alias("doc_id")).distinct()
-        shingles = texts.join(nodes, "doc_id").select("doc_id", "text").mapInArrow(*_explode(width))
-        private = cut_lineage(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"),
-                                                              F.min("doc_id").alias("node"))
-                              .where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own")))
-        found = found.join(private, "node", "left").withColumn("private", F.coalesce("own", F.lit(0))).drop("own")
-    sizes = found.where(large).groupBy("bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = F.col("n") - F.col("private")
-    partner = F.least(F.greatest(shared, "least"), "most")
-    common = F.least(shared, partner)
-    possible = F.col("least").isNull() | (100 * common >= percent * (F.col("n") + partner - common))
-    kept = found.join(sizes, "bucket", "left").where(possible)
-    return cut_lineage(kept.select("bucket", "node", "n", "component", "members", "private")), private
-
-
-def _explode(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingle", pa.int64())])
+    def links(held):
+        ids, components, sets = (list(x) for x in zip(*held))
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        different, column, spread = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = column.ravel()
+        shared = spread[column] > 1
+        row, column = row[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sets), len(sets)), dtype=np.float64)
+        for low in range(0, len(different), MATRIX_COLUMNS):
+            a, b = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
+            if a < b:
+                part = np.zeros((len(sets), MATRIX_COLUMNS), dtype=np.float32)
+                part[row[a:b], column[a:b] - low] = 1
+                common += part @ part.T
+        either = size[:, None] + size[None, :] - common
+        components = np.array(components)
+        linked = (100 * common >= percent * either) & (common > 0) & (components[:, None] != components[None, :])
+        first, second = np.nonzero(np.triu(linked, 1))
+        ids = np.array(ids, dtype=np.int64)
+        node, root = forest(ids[first], ids[second])
+        return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, meeting = [], None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, _, values, row, _ in shingle_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low + row]), pa.array(values.view(np.int64))],
-                                                 schema=schema)
-
-    return run, "doc_id long, shingle long"
-
-
-def _round(buckets: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs to compare, members left). Small buckets are compared in full; in others a few members lead."""
-    order = W.partitionBy("bucket").orderBy("private", "node")
-    turns = F.when(F.col("members") <= ALL_PAIRS, F.lit(ALL_PAIRS)).otherwise(F.lit(leaders))
-    # The constant rank limit prunes before the shuffle, so that a hot bucket is no large window.
-    leading = cut_lineage(buckets.withColumn("turn", F.row_number().over(order))
-                          .where(F.col("turn") <= max(leaders, ALL_PAIRS)).where(F.col("turn") <= turns)
-                          .select("bucket", "turn", *(F.col(c).alias(f"leader_{c}")
-                                                      for c in ("node", "n", "component", "private"))))
-    other = buckets.join(leading.select("bucket", F.col("leader_node").alias("node"), F.col("turn").alias("own_turn")),
-                         ["bucket", "node"], "left")
-    other = cut_lineage(other)
-    common = F.least(F.col("n") - F.col("private"), F.col("leader_n") - F.col("leader_private"))
-    possible = 100 * common >= percent * (F.col("n") + F.col("leader_n") - common)
-    pairs = other.join(leading, "bucket").where(
-        (F.col("own_turn").isNull() | (F.col("turn") < F.col("own_turn")))
-        & (F.col("component") != F.col("leader_component")) & possible)
-    pairs = cut_lineage(pairs.select(F.col("leader_node").alias("leader"), F.col("node").alias("partner")).distinct())
-    return pairs, other.where("own_turn is null").drop("own_turn")
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "mixed", "low", "high"))))
+            ids, components = batch.column("doc_id").to_pylist(), batch.column("component").to_pylist()
+            for low, high, values, _, own in shingle_sets(batch.column("text"), width):
+                for i in range(low, high):
+                    if keys[i] != meeting:
+                        if held:
+                            yield links(held)
+                        held, meeting = [], keys[i]
+                    held.append((ids[i], components[i], values[own[i - low]:own[i - low + 1]].copy()))
+        if held:
+            yield links(held)
+
+    return run, "first long, second long"
