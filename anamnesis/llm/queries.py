@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import decontaminate, langid, licenses, minhash, packing, pii, tokens, topk, toxicity
+from anamnesis.llm import decontaminate, langid, licenses, minhash, packing, passages, pii, tokens, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_personal_data")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeated_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
