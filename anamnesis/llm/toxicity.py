@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anamnesis.llm.arrays import byte_class, mix, range_hashes, runs, text_slices
 from anamnesis.llm.langid import remainder
@@ -246,7 +247,20 @@ def _score(model: Model, threshold: float):
     return run, "doc_id long, held_out boolean, score double, predicted int"
 
 
-def learnable(docs: DataFrame, labels: DataFrame, parts: int, held_part: int) -> DataFrame:
+def score_rows(rows: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The same rows and columns with `_toxicity`, the score of each text."""
+    at = rows.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(data, offsets) for _, _, data, offsets in text_slices(batch.column(at))]
+            made = pa.array(np.concatenate(scores) if scores else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "_toxicity"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_toxicity", T.DoubleType())]))
+
+
+def learnable(docs: DataFrame, labels: DataFrame, parts: int = 1, held_part: int = -1) -> DataFrame:
     """Labelled texts outside the held-out part: doc_id, text, toxic. A document with both labels is toxic."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.max("toxic").cast("int").alias("toxic"))
