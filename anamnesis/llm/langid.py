@@ -77,6 +77,8 @@ def _count(buckets: int):
 
 def codewords(languages: int) -> np.ndarray:
     """A row of bits for each language: every split in two for up to 7, beyond that fixed pseudo-random bits."""
+    if languages < 2:
+        return np.zeros((languages, 0), dtype=np.int64)
     if languages <= 7:
         splits = [(1, *rest) for rest in product((0, 1), repeat=languages - 1) if not all(rest)]
         return np.array(splits, dtype=np.int64).T.reshape(languages, -1)
@@ -103,7 +105,7 @@ class Model:
             weights.append(odds - middle)
             scale.append(4.0 / max(abs(gap), 1e-3))
             trust.append(max(gap, 0.01))
-        self.weights = np.array(weights, dtype=np.float64).reshape(len(weights), -1).T.copy()
+        self.weights = np.array(weights, dtype=np.float64).reshape(len(weights), counts.shape[1]).T.copy()
         self.scale = np.array(scale)
         self.trust = np.array(trust) / max(np.sum(trust), 1e-9)
 
