@@ -74,14 +74,15 @@ def coverage_check(live: DataFrame, backup: DataFrame, key: str = "memory_id") -
 def resolve_updates(updates: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(applicable, stale) for updates (memory_id, text, tags, etag, update_order).
 
-    Only the first update of an id can meet the stored etag: it changes the etag for the rest.
+    The first update of an id that carries the stored etag applies and changes the etag for the
+    rest. A refused update changes nothing, so an old etag does not stand in a current one's way.
     """
     stored = memories.select("memory_id", F.col("etag").alias("_stored_etag"))
-    first = (updates.groupBy("memory_id").agg(F.min("update_order").alias("_first")))
-    judged = (attach(updates, first, "memory_id", "left")
-              .join(stored, "memory_id", "left")
-              .withColumn("_ok", F.coalesce((F.col("_stored_etag") == F.col("etag"))
-                                            & (F.col("update_order") == F.col("_first")), F.lit(False))))
+    known = updates.join(stored, "memory_id", "left")
+    current = F.coalesce(F.col("_stored_etag") == F.col("etag"), F.lit(False))
+    first = known.where(current).groupBy("memory_id").agg(F.min("update_order").alias("_first"))
+    judged = attach(known, first, "memory_id", "left").withColumn(
+        "_ok", current & F.coalesce(F.col("update_order") == F.col("_first"), F.lit(False)))
     reason = F.when(F.col("_stored_etag").isNull(), "missing").otherwise("stale")
     applicable = judged.where("_ok").drop("_ok", "_first", "_stored_etag")
     stale = judged.where("NOT _ok").select("memory_id", "update_order", reason.alias("reason"))

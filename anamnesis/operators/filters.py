@@ -102,7 +102,9 @@ def reserved_holder(memories: DataFrame) -> DataFrame:
 
 def reserved_tag_rule(rows: DataFrame, memories: DataFrame, kind: str) -> DataFrame:
     """Add `reserved_ok`. Imports never set the tag; a write may only while none holds it (and
-    only its first such row); an update may only on the holder."""
+    only its first such row); an update may only on the holder, or while none holds it only on
+    the memory of the first such row. The rows given are those that would go through otherwise:
+    `write_batch` and `update_batch` leave out empty, near-duplicate and stale ones first."""
     holder = reserved_holder(memories).scalar()
     marked = carries_reserved()
     if kind == "ingest":
@@ -111,7 +113,10 @@ def reserved_tag_rule(rows: DataFrame, memories: DataFrame, kind: str) -> DataFr
         first = rows.where(marked).agg(F.min("input_order")).scalar()
         ok = ~marked | (holder.isNull() & (F.col("input_order") == first))
     elif kind == "update":
-        ok = ~marked | holder.isNull() | (F.col("memory_id") == holder)
+        claims = rows.where(marked)
+        first = claims.agg(F.min_by("memory_id", F.struct("update_order", "memory_id"))).scalar() \
+            if "update_order" in rows.columns else claims.agg(F.min("memory_id")).scalar()
+        ok = ~marked | (F.col("memory_id") == F.coalesce(holder, first))
     else:
         raise ValueError(f"unknown kind {kind!r}")
     return rows.withColumn("reserved_ok", F.coalesce(ok, F.lit(False)))

@@ -45,6 +45,12 @@ def read_patterns(patterns: DataFrame) -> list[Pattern]:
 BACKTRACKING_ONLY = r"\(\?(?:[=!>]|<[=!])|(?<!\\)\\(?:[1-9]|k<)|[*+?}]\+"
 
 
+def without_literals(pattern: str) -> str:
+    """The pattern with character classes and escaped marks as plain letters, so that only operators are left."""
+    bare = re.sub(r"\\([^1-9k])", "x", pattern)
+    return re.sub(r"\[\^?\]?[^\]]*\]", "x", bare)
+
+
 def nests_unbounded_repeats(pattern: str) -> bool:
     """Whether a group that repeats without bound sits under another unbounded repeat."""
     bare = re.sub(r"\\.", "x", pattern)
@@ -68,7 +74,7 @@ def nests_unbounded_repeats(pattern: str) -> bool:
 
 def regex_problem(spark: SparkSession, pattern: Pattern) -> str | None:
     """Why a regular expression is refused, or None."""
-    if re.search(BACKTRACKING_ONLY, pattern.pattern):
+    if re.search(BACKTRACKING_ONLY, without_literals(pattern.pattern)):
         return "look-around, back-references and possessive repeats are not supported"
     if nests_unbounded_repeats(pattern.pattern):
         return "nested unbounded repeats are not supported"

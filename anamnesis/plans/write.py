@@ -24,7 +24,7 @@ from anamnesis.operators.changes import (
 )
 from anamnesis.operators.dedup import near_duplicate_join
 from anamnesis.operators.embedding import Embedder, embed_distinct
-from anamnesis.operators.filters import require_valid_ids, reserved_tag_rule
+from anamnesis.operators.filters import carries_reserved, require_valid_ids, reserved_holder
 from anamnesis.operators.sizing import attach
 from anamnesis.session import cut_lineage
 
@@ -64,7 +64,7 @@ def memory_rows(rows: DataFrame) -> DataFrame:
     for name, kind in columns.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    text = F.array_join("pieces", " ")
+    text = F.array_join("pieces", "\n")  # no match may reach over the end of a chunk
     full = rows.select(
         "memory_id", "conversation_id", "parent_id", F.col("turn_index").cast("bigint").alias("turn_index"), "tags",
         text.alias("text"), "created_at", "updated_at", F.size("pieces").alias("chunk_count"))
@@ -81,7 +81,9 @@ def ingest(turns: DataFrame, memories: DataFrame, now: Column, tags: Sequence[st
     if RESERVED_TAG in tags:
         raise ValueError(f"imports may not set the tag {RESERVED_TAG}")
     require_valid_ids(turns, "memory_id", "conversation_id", optional=("parent_id",))
-    in_order = F.struct("turn_index", "memory_id") if order is None else order
+    # Resumed sessions repeat ids: every column that tells two copies apart takes part in the order.
+    ties = [c for c in ("conversation_id", "parent_id", "source", "path", "text") if c in turns.columns]
+    in_order = F.struct("turn_index", "memory_id", *ties) if order is None else order
     fresh = first_per_id(turns, in_order).join(memories.select("memory_id"), "memory_id", "left_anti")
     at = F.coalesce("created_at", "session_at", now) if "session_at" in turns.columns else F.coalesce("created_at", now)
     prepared = (split_pieces(fresh).where(F.size("pieces") > 0)
@@ -113,11 +115,31 @@ def write_batch(rows: DataFrame, memories: DataFrame, chunks: DataFrame, embedde
     The report gives each row's outcome: accepted, empty, reserved or duplicate, with the
     similar memory where one is stored.
     """
-    judged = split_pieces(reserved_tag_rule(rows, memories, "write"))
-    early = F.when(F.size("pieces") == 0, "empty").when(~F.col("reserved_ok"), "reserved")
-    marked = cut_lineage(judged.withColumn("early", early))
-    firsts = marked.where("early IS NULL").select("memory_id", "input_order", F.col("pieces")[0].alias("text"))
-    admitted = cut_lineage(near_duplicate_join(embed_distinct(firsts, embedder), chunks))
+    judged = cut_lineage(split_pieces(rows).withColumn("claims", carries_reserved()))
+    vectors = cut_lineage(embed_distinct(chunk_rows(judged), embedder))
+    firsts = cut_lineage(vectors.where("chunk_index = 0").select("memory_id", "vector").join(
+        judged.select("memory_id", "input_order", "claims"), "memory_id"))
+    held = reserved_holder(memories).first()[0] is not None
+    # One row may claim the reserved tag: the first that is neither empty nor a near duplicate. A
+    # claimant that turns out a duplicate leaves the tag to the next one, which is tried in turn.
+    tried = F.lit(-1).cast("bigint")
+    while True:
+        claimant = None if held else firsts.where(F.col("claims") & (F.col("input_order") > tried)) \
+            .agg(F.min("input_order")).first()[0]
+        allowed = ~F.col("claims") | (F.col("input_order") <= F.lit(claimant if claimant is not None else -1))
+        if claimant is None and not held:
+            allowed = F.lit(True)
+        taking = firsts.where(allowed)
+        admitted = cut_lineage(near_duplicate_join(taking, chunks, vectors))
+        if claimant is None:
+            break
+        none_accepted = taking.where(F.col("claims")).join(admitted.where("accepted"), "memory_id", "left_semi").isEmpty()
+        if not none_accepted:
+            break
+        tried = F.lit(claimant)
+    reserved = firsts.where(~allowed).select("memory_id", F.lit(True).alias("refused"))
+    early = F.when(F.size("pieces") == 0, "empty").when(F.col("refused"), "reserved")
+    marked = judged.join(reserved, "memory_id", "left").withColumn("early", early).drop("refused", "claims")
     outcome = F.coalesce("early", F.when(F.col("accepted"), "accepted").otherwise("duplicate"))
     report = marked.select("memory_id", "early").join(admitted, "memory_id", "left").select(
         "memory_id", outcome.alias("outcome"), "similar_id", "similarity")
@@ -134,10 +156,15 @@ def update_batch(updates: DataFrame, memories: DataFrame, now: Column, embedder:
     conversation and parent stay; text is split again and embedded again.
     """
     blank = is_blank("text")
-    guarded = reserved_tag_rule(updates, memories, "update")
-    usable = guarded.where(~blank & F.col("reserved_ok")).drop("reserved_ok")
-    refused = guarded.where(blank | ~F.col("reserved_ok")).select(
-        "memory_id", "update_order", F.when(F.col("reserved_ok"), "empty").otherwise("reserved").alias("reason"))
+    # Who claims the reserved tag first is decided among the updates that would apply.
+    would_apply, _ = resolve_updates(updates.where(~blank), memories)
+    winner = would_apply.where(carries_reserved()).agg(
+        F.min_by("memory_id", F.struct("update_order", "memory_id"))).first()[0]
+    holder = reserved_holder(memories).first()[0]
+    allowed = ~carries_reserved() | F.coalesce(F.col("memory_id") == F.lit(winner if holder is None else holder), F.lit(False))
+    usable = updates.where(~blank & allowed)
+    refused = updates.where(blank | ~allowed).select(
+        "memory_id", "update_order", F.when(allowed, "empty").otherwise("reserved").alias("reason"))
     applicable, stale = resolve_updates(usable, memories)
     touched = attach(memories, applicable.select("memory_id"), "memory_id", "left_semi", even=True)
     changed = split_pieces(apply_updates(applicable, touched, now))

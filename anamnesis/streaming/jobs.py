@@ -64,9 +64,10 @@ def stream_table_ingest(turns: DataFrame, store: Store, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
-def stream_dedup(rows: DataFrame, key: str = "memory_id", time: str = "created_at", late: str = "1 hour") -> DataFrame:
-    """A cheap first filter: repeats that arrive close together. The store's ids decide for ever."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def stream_dedup(rows: DataFrame, key: str = "memory_id") -> DataFrame:
+    """The first row of every id, over the whole stream. Imported history is always late, so no
+    watermark may drop it; the state holds one entry per id."""
+    return rows.dropDuplicates([key])
 
 
 def stream_reconcile(ticks: DataFrame, snapshot: Callable[[], tuple[DataFrame, DataFrame]], store: Store,

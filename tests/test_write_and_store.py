@@ -264,3 +264,31 @@ def test_percentiles_and_sample(spark):
 def test_sessions_are_assembled_once(spark):
     rows = assemble_sessions(spark.createDataFrame([turn(1, "a"), turn(2, "b", dt.datetime(2024, 5, 5))], TURNS))
     assert {r["session_at"] for r in rows.collect()} == {dt.datetime(2024, 5, 5)}
+
+
+def test_a_later_current_update_applies_and_one_memory_claims_the_tag(spark, store):
+    ingest_turns(store, spark.createDataFrame([turn(1, "one"), turn(2, "two")], TURNS), EMB)
+    memories = store.read("memories")
+    first, second = (r for r in memories.orderBy("memory_id").limit(2).collect())
+    schema = "memory_id string, text string, tags array<string>, etag string, update_order bigint"
+    updates = spark.createDataFrame([
+        (first.memory_id, "old etag", None, "stale", 1), (first.memory_id, "applies", None, first.etag, 2),
+        (second.memory_id, " ", ["_index"], second.etag, 3), (second.memory_id, "claims", ["_index"], second.etag, 4),
+        (first.memory_id, "claims too", ["_index"], first.etag, 5)], schema)
+    change = P.update_batch(updates, memories, now(), EMB)
+    assert {(r.memory_id, r.text) for r in change.memories.collect()} == {(first.memory_id, "applies"), (second.memory_id, "claims")}
+    assert {(r.update_order, r.reason) for r in change.report.collect()} == {(1, "stale"), (3, "empty"), (5, "reserved")}
+
+
+def test_the_tag_goes_to_the_first_claimant_that_is_written(spark, store):
+    memories = store.read("memories").limit(0)
+    schema = "memory_id string, chunks array<string>, text string, tags array<string>, input_order bigint"
+    rows = spark.createDataFrame([
+        ("a", ["steam engines roar", "green apples fall"], None, None, 1), ("b", None, "green apples fall", None, 2),
+        ("c", None, "  ", ["_index"], 3), ("d", None, "steam engines roar", ["_index"], 4),
+        ("e", None, "purple oceans sleep", ["_index"], 5), ("f", None, "quiet mountains glow", ["_index"], 6),
+        ("g", None, "purple oceans sleep", None, 7)], schema)
+    report = P.write_batch(rows, memories, store.read("chunks").limit(0), EMB, now()).report.collect()
+    assert {r.memory_id: (r.outcome, r.similar_id) for r in report} == {
+        "a": ("accepted", None), "b": ("duplicate", "a"), "c": ("empty", None), "d": ("duplicate", "a"),
+        "e": ("accepted", None), "f": ("reserved", None), "g": ("duplicate", "e")}

@@ -144,15 +144,17 @@ def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents are updated twice; low quality ones with an old etag; toxic ones drop
-    their tags, the others keep them. System turns are not stored at all."""
+    """Labelled documents are updated twice; the first update of low quality ones has an old etag,
+    so that their second one applies; toxic ones drop their tags, the others keep them. System
+    turns are not stored at all."""
     current = stored_documents(spark, sf).select("memory_id", "text", "etag")
     base = labelled(spark, sf).join(current, "memory_id").select(
         "memory_id", F.concat(F.lit("First. "), "text").alias("text"),
         F.when(F.col("toxic") == 1, F.array().cast("array<string>")).alias("tags"),
         F.when(F.col("quality") == 1, F.col("etag")).otherwise(F.lit("old")).alias("etag"),
         F.lit(1).cast("bigint").alias("update_order"))
-    again = base.withColumn("text", F.concat(F.lit("Second. "), "text")).withColumn("update_order", F.lit(2).cast("bigint"))
+    again = base.drop("etag").join(current.select("memory_id", "etag"), "memory_id").withColumn(
+        "text", F.concat(F.lit("Second. "), "text")).withColumn("update_order", F.lit(2).cast("bigint")).select(*base.columns)
     missing = W.turns(spark, sf).where("role = 'system'").select(
         "memory_id", "text", F.lit(None).cast("array<string>").alias("tags"), F.lit("none").alias("etag"),
         F.lit(3).cast("bigint").alias("update_order"))
@@ -160,9 +162,9 @@ def document_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("apply_updates",
-       f"""WITH {Q.DOCS} SELECT memory_id, md5(CASE WHEN quality = 1 THEN 'First. '||text ELSE text END) AS text_md5,
-       array_to_string(CASE WHEN quality = 1 AND toxic = 1 THEN [] ELSE tags END, ',') AS tags,
-       CASE WHEN quality = 1 THEN '{NOW}' ELSE {Q.iso('updated_at')} END AS updated_at FROM docs""")
+       f"""WITH {Q.DOCS} SELECT memory_id, md5(CASE WHEN quality = 1 THEN 'First. '||text WHEN quality = 0 THEN 'Second. First. '||text ELSE text END) AS text_md5,
+       array_to_string(CASE WHEN quality IS NOT NULL AND toxic = 1 THEN [] ELSE tags END, ',') AS tags,
+       CASE WHEN quality IS NOT NULL THEN '{NOW}' ELSE {Q.iso('updated_at')} END AS updated_at FROM docs""")
 def apply_updates_all(spark: SparkSession, sf: str) -> DataFrame:
     stored = stored_documents(spark, sf)
     applicable, _ = C.resolve_updates(document_updates(spark, sf), stored)
@@ -173,15 +175,15 @@ def apply_updates_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stale_updates",
        f"""WITH {Q.DOCS}, {Q.TURNS} SELECT memory_id, 1 AS update_order, 'stale' AS reason FROM docs WHERE quality = 0
-       UNION ALL SELECT memory_id, 2, 'stale' FROM docs WHERE quality IS NOT NULL
+       UNION ALL SELECT memory_id, 2, 'stale' FROM docs WHERE quality = 1
        UNION ALL SELECT memory_id, 3, 'missing' FROM turns WHERE role = 'system'""")
 def stale_updates_all(spark: SparkSession, sf: str) -> DataFrame:
     return C.resolve_updates(document_updates(spark, sf), stored_documents(spark, sf))[1]
 
 
 @query("update_batch",
-       rf"""{CHUNK_SQL.replace('text FROM documents)', "'First. '||text AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")}
-       SELECT memory_id, count(*) AS chunk_count, md5(string_agg(text, ' ' ORDER BY chunk_index)) AS text_md5 FROM chunked GROUP BY 1""")
+       rf"""{CHUNK_SQL.replace('text FROM documents)', "CASE WHEN quality = 1 THEN 'First. ' ELSE 'Second. First. ' END||text AS text FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)")}
+       SELECT memory_id, count(*) AS chunk_count, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS text_md5 FROM chunked GROUP BY 1""")
 def update_batch_all(spark: SparkSession, sf: str) -> DataFrame:
     change = P.update_batch(document_updates(spark, sf), stored_documents(spark, sf), now())
     pieces = change.chunks.groupBy("memory_id").agg(F.count(F.lit(1)).alias("chunk_count"))

@@ -41,7 +41,7 @@ TURN_CHUNKS = CHUNK_SQL.replace(f"SELECT {Q.DOC} AS memory_id, text FROM documen
 
 
 @query("stream_ingest",
-       f"""{TURN_CHUNKS}, {Q.TURNS}, whole AS (SELECT memory_id, string_agg(text, ' ' ORDER BY chunk_index) AS t FROM chunked GROUP BY 1)
+       f"""{TURN_CHUNKS}, {Q.TURNS}, whole AS (SELECT memory_id, string_agg(text, chr(10) ORDER BY chunk_index) AS t FROM chunked GROUP BY 1)
        SELECT memory_id, conversation_id, md5(t) AS text_md5, tag AS tags FROM whole JOIN turns USING (memory_id)""")
 def stream_ingest_all(spark: SparkSession, sf: str) -> DataFrame:
     """The transcript is streamed into a store twice; the second pass adds nothing."""
