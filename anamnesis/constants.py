@@ -28,7 +28,6 @@ MIN_LITERAL_LENGTH = 3
 SNIPPET_CONTEXT = 48
 SNIPPETS_PER_MEMORY = 3
 SNIPPETS_PER_PATTERN = 200
-MATCHES_PER_MEMORY = 100_000
 PREVIEW_LENGTH = 200
 
 # Ids and the tag that only one memory may carry.
@@ -36,9 +35,6 @@ ID_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 RESERVED_TAG = "_index"
 
 # Embedding batches.
-MODEL_BATCH_TEXTS = 64
-REMOTE_BATCH_TEXTS = 1024
-REMOTE_BATCH_CHARS = 800_000
 
 # Evaluation depths.
 REPORT_KS = (5, 10)

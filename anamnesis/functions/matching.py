@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from anamnesis.constants import MATCHES_PER_MEMORY
-
-# Two noncharacters frame each match while positions are counted.
-OPEN, CLOSE = chr(0xFDD0), chr(0xFDD1)
+from anamnesis.functions.linear_regex import CLOSE, OPEN
 
 
 def quote_literal(needle: str) -> str:
@@ -23,15 +18,6 @@ def fold(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def regex_pattern(pattern: str, ignore_case: bool) -> str:
-    """Java form in which `.` stops at line feeds only, case folds over Unicode, and a `$`
-    outside brackets means the very end of the text unless lines are asked for."""
-    if not re.search(r"\(\?[a-z]*m", pattern):
-        parts = r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\$"
-        pattern = re.sub(parts, lambda m: r"\z" if m.group() == "$" else m.group(), pattern)
-    return f"(?{'diu' if ignore_case else 'd'}){pattern}"
-
-
 def literal_count(haystack: Column, needle: Column) -> Column:
     """Non-overlapping occurrences, left to right."""
     removed = F.char_length(haystack) - F.char_length(F.replace(haystack, needle))
@@ -66,7 +52,3 @@ def snippet(text: Column, start: Column, length: Column, context: Column) -> Col
         F.substring(text, left + 1, start - left).alias("before"),
         F.substring(text, start + 1, length).alias("match"),
         F.substring(text, start + length + 1, context).alias("after"))
-
-
-def capped(count: Column) -> Column:
-    return F.least(count, F.lit(MATCHES_PER_MEMORY))

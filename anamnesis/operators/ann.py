@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.operators.kernels import BestRows, distances, matrix, unit_rows
-from anamnesis.operators.knn import HIT_SCHEMA, QUERY_BLOCK_BYTES, knn_join, rank_hits
-from anamnesis.operators.sizing import attach, fits_broadcast
+from anamnesis.operators.knn import HIT_SCHEMA, QUERY_BLOCK_BYTES, rank_hits
+from anamnesis.operators.sizing import attach, measure, salt_of
 
 TRAINING_ROWS = 200_000
 
 
-def train_cells(chunks: DataFrame, cells: int, seed: int = 7, iterations: int = 5) -> np.ndarray:
-    """Cell centres by k-means on unit vectors. Only the centres come from a sample when the
-    corpus is large; every row is assigned to a cell afterwards."""
-    total = chunks.count()
-    rows = chunks if total <= TRAINING_ROWS else chunks.sample(False, TRAINING_ROWS / total, seed)
+def train_cells(chunks: DataFrame, cells: int, total: int, seed: int = 7, iterations: int = 5,
+                training_rows: int = TRAINING_ROWS) -> np.ndarray:
+    """Cell centres by k-means on unit vectors. The centres come from about `training_rows` rows;
+    every row is assigned to a cell afterwards."""
+    rows = chunks.sample(False, min(1.0, training_rows / max(total, 1)), seed)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = F.transform("vector", lambda x: x.cast("double") / F.col("_norm"))
     points = (rows.select("vector").withColumn("_norm", norm).where("_norm > 0")
@@ -51,27 +52,39 @@ def _signatures(units: np.ndarray, planes: np.ndarray) -> np.ndarray:
 
 def ann_join(queries: DataFrame, chunks: DataFrame, k: int, allowed: DataFrame | None = None,
              method: str = "ivf", cells: int | None = None, probes: int = 4, tables: int = 12, bits: int = 6,
-             seed: int = 7) -> DataFrame:
-    """Approximate `knn_join` with the same columns. `probes` (ivf) or `tables` (lsh) trade
-    accuracy for work. A query side beyond the broadcast bound is answered exactly."""
+             seed: int = 7, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """Approximate `knn_join` with the same columns. `probes` (ivf) or `tables` and `bits` (lsh)
+    trade accuracy for work; cells default to the square root of the rows. A query side of any
+    size is answered in the same way, in blocks."""
     if allowed is not None:
         chunks = attach(chunks, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     wanted = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector")
-    if not fits_broadcast(wanted, max_bytes=QUERY_BLOCK_BYTES):
-        return knn_join(wanted, chunks, k)
     corpus = chunks.select("memory_id", F.col("chunk_index").cast("int").alias("chunk_index"), "vector")
-    table = wanted.toArrow()
-    query_units = unit_rows(matrix(table["query_vector"]))
     if method == "ivf":
-        count = cells or max(1, min(4096, round(math.sqrt(chunks.count()))))
-        centres = train_cells(chunks, count, seed)
-        shape = (centres, _nearest_cells(query_units, centres, min(probes, len(centres))))
+        total = chunks.count()
+        index = train_cells(chunks, cells or max(1, round(math.sqrt(total))), total, seed, training_rows=training_rows)
     elif method == "lsh":
-        planes = np.random.default_rng(seed).standard_normal((tables, bits, query_units.shape[1]))
-        shape = (planes, _signatures(query_units, planes))
+        first = wanted.select(F.size("query_vector").alias("n")).first()
+        index = np.random.default_rng(seed).standard_normal((tables, bits, first.n if first else 1))
     else:
         raise ValueError(f"unknown method {method!r}")
-    shared = chunks.sparkSession.sparkContext.broadcast((table["query_id"].to_pylist(), query_units, *shape))
+    blocks = max(1, math.ceil(measure(wanted)[1] / QUERY_BLOCK_BYTES))
+    parts = [_probe(wanted.where(salt_of(["query_id"], blocks) == block), corpus, k, method, index, probes)
+             for block in range(blocks)]
+    return rank_hits(reduce(DataFrame.unionByName, parts), k)
+
+
+def _probe(wanted: DataFrame, corpus: DataFrame, k: int, method: str, index: np.ndarray, probes: int) -> DataFrame:
+    """Each task's k best rows for one block of queries."""
+    table = wanted.toArrow()
+    query_units = unit_rows(matrix(table["query_vector"]))
+    if not table.num_rows:
+        probed = np.zeros((0, 1), dtype=np.int64)
+    elif method == "ivf":
+        probed = _nearest_cells(query_units, index, min(probes, len(index)))
+    else:
+        probed = _signatures(query_units, index)
+    shared = corpus.sparkSession.sparkContext.broadcast((table["query_id"].to_pylist(), query_units, index, probed))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, units_of_queries, index, probed = shared.value
@@ -100,7 +113,7 @@ def ann_join(queries: DataFrame, chunks: DataFrame, k: int, allowed: DataFrame |
             state.add([ids[i] for i in rows], [places[i] for i in rows], values)
         yield from state.table(query_ids).to_batches()
 
-    return rank_hits(corpus.mapInArrow(nearest, HIT_SCHEMA), k)
+    return corpus.mapInArrow(nearest, HIT_SCHEMA)
 
 
 def ann_recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.constants import MODEL_BATCH_TEXTS
 from anamnesis.functions.ids import text_sha256
 from anamnesis.operators.sizing import attach
 from anamnesis.session import cut_lineage
@@ -80,41 +79,6 @@ class HashedEmbedder:
         return encode
 
 
-@dataclass(frozen=True)
-class OnnxEmbedder:
-    """A sentence model given as files that every executor can read: mean-pooled and normalised."""
-
-    model_path: str
-    tokenizer_path: str
-    dimensions: int = 384
-    name: str = "onnx"
-    max_texts: int = MODEL_BATCH_TEXTS
-    max_chars: int | None = None
-
-    def load(self) -> Encode:
-        import onnxruntime
-        from tokenizers import Tokenizer
-
-        session = onnxruntime.InferenceSession(self.model_path, providers=["CPUExecutionProvider"])
-        tokenizer = Tokenizer.from_file(self.tokenizer_path)
-        tokenizer.enable_padding()
-        tokenizer.enable_truncation(512)
-        inputs = {i.name for i in session.get_inputs()}
-
-        def encode(texts: list[str]) -> np.ndarray:
-            coded = tokenizer.encode_batch(texts)
-            mask = np.array([c.attention_mask for c in coded], dtype=np.int64)
-            feed = {"input_ids": np.array([c.ids for c in coded], dtype=np.int64), "attention_mask": mask,
-                    "token_type_ids": np.zeros_like(mask)}
-            states = session.run(None, {k: v for k, v in feed.items() if k in inputs})[0]
-            weights = mask[:, :, None].astype(np.float32)
-            pooled = (states * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1e-9)
-            norms = np.linalg.norm(pooled, axis=1, keepdims=True)
-            return pooled / np.where(norms == 0, 1.0, norms)
-
-        return encode
-
-
 def sub_batches(texts: list[str], max_texts: int, max_chars: int | None) -> Iterator[list[str]]:
     """Consecutive runs within both budgets; one over-long text forms a run by itself."""
     start, used = 0, 0

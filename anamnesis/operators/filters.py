@@ -12,7 +12,6 @@ from anamnesis.constants import COLD_QUERY_DISTANCE, RELEVANCE_DISTANCE, RESERVE
 from anamnesis.functions.core import is_blank
 from anamnesis.functions.ids import is_valid_id
 from anamnesis.functions.times import range_end
-from anamnesis.operators.sizing import attach
 
 
 @dataclass(frozen=True)
@@ -133,9 +132,3 @@ def is_abstention(question_id: Column | str = "question_id") -> Column:
 
 def is_scorable(truth_ids: Column | str) -> Column:
     return F.size(truth_ids) > 0
-
-
-def restrict(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    if allowed is None:
-        return rows
-    return attach(rows, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)

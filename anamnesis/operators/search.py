@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.constants import (
@@ -16,6 +16,7 @@ from anamnesis.constants import (
     SNIPPETS_PER_MEMORY,
     SNIPPETS_PER_PATTERN,
 )
+from anamnesis.functions import linear_regex
 from anamnesis.functions import matching as M
 from anamnesis.functions.core import is_row, rows_of
 from anamnesis.functions.text import ascii_lower, trigrams
@@ -41,51 +42,12 @@ def read_patterns(patterns: DataFrame) -> list[Pattern]:
                   key=lambda p: p.pattern_id)
 
 
-# Constructs that a linear-time engine refuses.
-BACKTRACKING_ONLY = r"\(\?(?:[=!>]|<[=!])|(?<!\\)\\(?:[1-9]|k<)|[*+?}]\+"
-
-
-def without_literals(pattern: str) -> str:
-    """The pattern with character classes and escaped marks as plain letters, so that only operators are left."""
-    bare = re.sub(r"\\([^1-9k])", "x", pattern)
-    return re.sub(r"\[\^?\]?[^\]]*\]", "x", bare)
-
-
-def nests_unbounded_repeats(pattern: str) -> bool:
-    """Whether a group that repeats without bound sits under another unbounded repeat."""
-    bare = re.sub(r"\\.", "x", pattern)
-    bare = re.sub(r"\[\^?\]?[^\]]*\]", "x", bare)
-    unbounded = r"(?:[*+]|\{\d+,\})"
-    stack: list[bool] = []
-    inner = False
-    for i, c in enumerate(bare):
-        if c == "(":
-            stack.append(inner)
-            inner = False
-        elif c == ")" and stack:
-            repeated = re.match(unbounded, bare[i + 1:]) is not None
-            if repeated and inner:
-                return True
-            inner = stack.pop() or inner or repeated
-        elif re.match(unbounded, bare[i:]):
-            inner = True
-    return False
-
-
-def regex_problem(spark: SparkSession, pattern: Pattern) -> str | None:
-    """Why a regular expression is refused, or None."""
-    if re.search(BACKTRACKING_ONLY, without_literals(pattern.pattern)):
-        return "look-around, back-references and possessive repeats are not supported"
-    if nests_unbounded_repeats(pattern.pattern):
-        return "nested unbounded repeats are not supported"
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(M.regex_pattern(pattern.pattern, pattern.ignore_case))
-    except Exception as error:  # the JVM reports a syntax error as a Py4J exception
-        return f"invalid regular expression: {str(error).splitlines()[-1]}"
-    return None
-
-
-def classify(spark: SparkSession, patterns: Sequence[Pattern]) -> dict[str, str | None]:
+def regex_problem(pattern: Pattern) -> str | None:
+    """Why a regular expression is refused, or None: whatever the linear-time engine cannot run."""
+    return linear_regex.problem(pattern.pattern)
+
+
+def classify(patterns: Sequence[Pattern]) -> dict[str, str | None]:
     """Status of each pattern that can be told before any text is read; None means searchable."""
     status: dict[str, str | None] = {}
     for p in patterns:
@@ -93,24 +55,23 @@ def classify(spark: SparkSession, patterns: Sequence[Pattern]) -> dict[str, str
             status[p.pattern_id] = "empty-query"
         elif not p.regex and len(p.pattern) < MIN_LITERAL_LENGTH:
             status[p.pattern_id] = "short-query"
-        elif p.regex and regex_problem(spark, p):
+        elif p.regex and regex_problem(p):
             status[p.pattern_id] = "bad-regex"
         else:
             status[p.pattern_id] = None
     return status
 
 
-REQUEST = "pattern_id: string, regex: boolean, fold: boolean, needle: string, java: string, context: int"
+REQUEST = "pattern_id: string, fold: boolean, needle: string, java: string, context: int, regex: boolean"
 
 
 def request_rows(patterns: Sequence[Pattern]) -> list[dict]:
-    """Searchable patterns: what to look for, and the Java expression that frames it."""
+    """Searchable patterns: what to look for, and for literals the Java expression that frames it."""
     rows = []
     for p in patterns:
         needle = p.pattern if p.regex or not p.ignore_case else M.fold(p.pattern)
-        java = M.regex_pattern(p.pattern, p.ignore_case) if p.regex else M.quote_literal(needle)
-        rows.append({"pattern_id": p.pattern_id, "regex": p.regex, "fold": p.ignore_case and not p.regex,
-                     "needle": needle, "java": java, "context": p.context_chars})
+        rows.append({"pattern_id": p.pattern_id, "fold": p.ignore_case, "needle": needle,
+                     "java": None if p.regex else M.quote_literal(needle), "context": p.context_chars, "regex": p.regex})
     return rows
 
 
@@ -118,27 +79,38 @@ def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: Data
     """(pattern_id, memory_id, updated_at, matches), one row per pattern and matching memory.
 
     The patterns are one constant of the plan, which does not grow with their number; every
-    text is read once for all of them, and only matching pairs leave the row. `candidates`
-    (memory_id, pattern_ids) limits which patterns are tried on which memory; both sides of
-    that join hold a memory_id once, so it is even.
+    text is read once for all literals and once, in Arrow batches, for all expressions, and only
+    matching pairs leave the row. `candidates` (memory_id, pattern_ids) limits which patterns are
+    tried on which memory; both sides of that join hold a memory_id once, so it is even.
     """
-    requests = F.from_json(F.lit(json.dumps(request_rows(patterns))), f"array<struct<{REQUEST}>>")
     rows = memories.select("memory_id", "updated_at", "text")
     if candidates is not None:
         rows = rows.join(candidates, "memory_id")
+    literals, expressions = [p for p in patterns if not p.regex], [p for p in patterns if p.regex]
+    parts = []
+    if literals or not expressions:
+        parts.append(_literal_hits(rows, literals, candidates is not None))
+    if expressions:
+        asked = [(p.pattern_id, p.pattern, p.ignore_case) for p in expressions]
+        schema = f"pattern_id string, memory_id string, updated_at {rows.schema['updated_at'].dataType.simpleString()}, matches bigint"
+        given = rows.select("memory_id", "updated_at", "text", *(["pattern_ids"] if candidates is not None else []))
+        parts.append(given.mapInArrow(linear_regex.hits_of(asked, candidates is not None), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _literal_hits(rows: DataFrame, patterns: Sequence[Pattern], restricted: bool) -> DataFrame:
+    requests = F.from_json(F.lit(json.dumps(request_rows(patterns))), f"array<struct<{REQUEST}>>")
     rows = rows.withColumn("lower", ascii_lower("text"))
 
-    def occurs(p: Column) -> Column:
-        return F.when(p["regex"], F.rlike("text", p["java"])).otherwise(
-            F.contains(F.when(p["fold"], F.col("lower")).otherwise(F.col("text")), p["needle"]))
+    def haystack(p: Column) -> Column:
+        return F.when(p["fold"], F.col("lower")).otherwise(F.col("text"))
 
-    tried = requests if candidates is None else F.filter(
-        requests, lambda p: F.array_contains("pattern_ids", p["pattern_id"]))
-    found = rows.select("memory_id", "updated_at", "text", "lower", rows_of(F.filter(tried, occurs), "p")).where(is_row("p"))
-    count = F.when(F.col("p.regex"), F.regexp_count("text", "p.java")).otherwise(
-        M.literal_count(F.when(F.col("p.fold"), F.col("lower")).otherwise(F.col("text")), F.col("p.needle")))
+    tried = F.filter(requests, lambda p: F.array_contains("pattern_ids", p["pattern_id"])) if restricted else requests
+    occurring = F.filter(tried, lambda p: F.contains(haystack(p), p["needle"]))
+    found = rows.select("memory_id", "updated_at", "text", "lower", rows_of(occurring, "p")).where(is_row("p"))
+    count = M.literal_count(haystack(F.col("p")), F.col("p.needle"))
     return found.select(F.col("p.pattern_id").alias("pattern_id"), "memory_id", "updated_at",
-                        M.capped(count).cast("bigint").alias("matches"))
+                        count.cast("bigint").alias("matches"))
 
 
 def trigram_index(memories: DataFrame) -> DataFrame:
@@ -168,22 +140,26 @@ def search_totals(hits: DataFrame) -> DataFrame:
                                           F.count(F.lit(1)).alias("total_memories"))
 
 
-def search_snippets(hits: DataFrame, memories: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """At most 3 snippets per memory and 200 per pattern, newest memory first, then by position.
+def search_snippets(hits: DataFrame, memories: DataFrame, patterns: Sequence[Pattern],
+                    per_memory: int = SNIPPETS_PER_MEMORY, per_pattern: int = SNIPPETS_PER_PATTERN) -> DataFrame:
+    """At most `per_memory` snippets per memory and `per_pattern` per pattern, newest memory first,
+    then by position.
 
-    A pattern's 200 snippets come from its 200 newest matching memories at most, so positions
+    A pattern's snippets come from its `per_pattern` newest matching memories at most, so positions
     are worked out for those texts only.
     """
     newest = [F.desc("updated_at"), F.asc("memory_id")]
     near = top_k(hits.select("pattern_id", "memory_id", "updated_at"), ["pattern_id"], newest,
-                 SNIPPETS_PER_PATTERN, "_place").drop("_place")
+                 per_pattern, "_place").drop("_place")
     asked = hits.sparkSession.createDataFrame(request_rows(patterns), REQUEST.replace(":", ""))
     rows = attach(memories.select("memory_id", "text"), near, "memory_id", computed=True).join(
         F.broadcast(asked), "pattern_id")
     haystack = F.when(F.col("fold"), ascii_lower("text")).otherwise(F.col("text"))
-    ranges = M.match_ranges(haystack, F.col("java"), SNIPPETS_PER_MEMORY)
-    placed = rows.select("pattern_id", "memory_id", "updated_at", "text", "context", rows_of(ranges, "r")).where(is_row("r"))
+    placed = rows.where(~F.col("regex")).withColumn("ranges", M.match_ranges(haystack, F.col("java"), per_memory))
+    if any(p.regex for p in patterns):
+        placed = placed.unionByName(linear_regex.regex_ranges(rows.where("regex"), "text", "needle", "fold", per_memory))
+    placed = placed.select("pattern_id", "memory_id", "updated_at", "text", "context", rows_of(F.col("ranges"), "r")).where(is_row("r"))
     shown = placed.select("pattern_id", "memory_id", "updated_at", "r.start",
                           M.snippet(F.col("text"), F.col("r.start"), F.col("r.length"), F.col("context")).alias("s"))
-    ranked = top_k(shown, ["pattern_id"], [*newest, F.asc("start")], SNIPPETS_PER_PATTERN, "position")
+    ranked = top_k(shown, ["pattern_id"], [*newest, F.asc("start")], per_pattern, "position")
     return ranked.select("pattern_id", "memory_id", "start", "position", "s.*")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.constants import TRIGRAM_SIZE
+from anamnesis.constants import SNIPPETS_PER_MEMORY, SNIPPETS_PER_PATTERN, TRIGRAM_SIZE
 from anamnesis.operators.filters import MetaFilter, meta_filter
 from anamnesis.operators.search import (
     classify,
@@ -25,18 +25,20 @@ HITS_SCHEMA = "pattern_id string, memory_id string, updated_at timestamp, matche
 
 
 def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None = None,
-           searcher: str = "scan", index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+           searcher: str = "scan", index: DataFrame | None = None, per_memory: int = SNIPPETS_PER_MEMORY,
+           per_pattern: int = SNIPPETS_PER_PATTERN) -> tuple[DataFrame, DataFrame]:
     """(summary, snippets).
 
     `scan` reads every text once for all patterns. `trigram` first narrows literals through
     the trigram index and then verifies, with the same answer; regular expressions and short
-    literals are scanned. `none` disables search.
+    literals are scanned. `none` disables search. Counts are of all matches; snippets are the first
+    `per_memory` of a memory and `per_pattern` of a pattern.
     """
     if searcher not in SEARCHERS:
         raise ValueError(f"unknown searcher {searcher!r}")
     spark = memories.sparkSession
     requests = read_patterns(patterns)
-    early = classify(spark, requests)
+    early = classify(requests)
     runnable = [p for p in requests if early[p.pattern_id] is None and searcher != "none"]
     texts = meta_filter(memories, wanted)
 
@@ -64,4 +66,4 @@ def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None =
         "pattern_id", status.alias("status"),
         F.coalesce("total_matches", F.lit(0)).alias("total_matches"),
         F.coalesce("total_memories", F.lit(0)).alias("total_memories"))
-    return summary, search_snippets(hits, texts, runnable)
+    return summary, search_snippets(hits, texts, runnable, per_memory, per_pattern)

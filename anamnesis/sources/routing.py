@@ -39,6 +39,20 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return found.where(shallow)
 
 
+def hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of files whose names start with an underscore. Spark's listing passes over them, so
+    no reader sees their content; an import reports them. Only names are read."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("_"):
+            found.append((path.toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
 def sniff_chat_text(lines: DataFrame) -> DataFrame:
     """(path, chat_text): whether one of a file's first lines opens a chat message.
 

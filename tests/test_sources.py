@@ -8,6 +8,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from anamnesis.sources import routing
 from anamnesis.sources import transcripts as T
 from anamnesis.sources.evaluation import read_checkpoint, read_questions
@@ -277,3 +279,22 @@ def test_questions_and_checkpoint(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in lines) + '\n{"question_id": "q3", "jud')
     got = {r["question_id"]: (r["judge_label"], r["hypothesis"]) for r in read_checkpoint(spark, str(tmp_path / "c.jsonl")).collect()}
     assert got == {"q1": (True, "h"), "q2": (True, None)}
+
+
+def test_a_tree_is_imported_in_one_call(spark, tmp_path):
+    from anamnesis.plans.tree import import_tree
+
+    root = tmp_path / "tree"
+    (root / "talk").mkdir(parents=True)
+    (root / "chat.txt").write_text("[01/02/24, 10:00:00] Ann: hello there\n[01/02/24, 10:01:00] Bob: hi")
+    (root / "_chat.txt").write_text("[01/02/24, 10:00:00] Ann: unseen")
+    (root / "notes.md").write_text("nothing")
+    (root / "talk" / "2024-01-15.json").write_text(json.dumps([{"type": "message", "user": "U1", "text": "one", "ts": "1705312800.1"}]))
+    stored = spark.createDataFrame([], "memory_id string")
+    done = import_tree(spark, str(root), stored, F.to_timestamp(F.lit("2025-01-01")), ["mine"])
+    assert {(r.path.rsplit("/", 1)[1], r.status) for r in done.files.collect()} == {
+        ("chat.txt", "imported"), ("_chat.txt", "hidden"), ("notes.md", "unclaimed"), ("2024-01-15.json", "imported")}
+    assert sorted(r.text for r in done.change.memories.collect()) == ["Ann: hello there", "Bob: hi", "U1: one"]
+    assert done.rejects.count() == 0
+    dry = import_tree(spark, str(root), stored, F.current_timestamp(), dry_run=True)
+    assert dry.change is None and sum(r.turns for r in dry.preview.collect()) == 3

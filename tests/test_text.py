@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from anamnesis.functions import text as T
 from anamnesis.functions.chunking import chunk_text, split_long
 from anamnesis.functions.ids import is_valid_id, to_uuid
-from anamnesis.functions.matching import literal_count, match_ranges, quote_literal, regex_pattern, snippet
+from anamnesis.functions.linear_regex import ranges
+from anamnesis.functions.matching import literal_count, match_ranges, quote_literal, snippet
 from anamnesis.functions.times import end_of_day, from_epoch_ms, from_iso, parse_chat_timestamp
 from anamnesis.functions.vectors import cosine_distance
 
@@ -82,35 +83,26 @@ def test_literal_matches(spark, texts, needle):
     assert values(spark, texts, lambda c: literal_count(c, F.lit(needle))) == [len(by_find(t)) for t in texts]
 
 
-@pytest.mark.parametrize("pattern", ["a*", "[ab]+", "b?", "é|a", "$", "^a"])
-def test_regex_matches_with_empty_ones(spark, pattern):
-    texts = ["", "baa", "aab aab", "éaé", "bbb\na"]
-    got = values(spark, texts, lambda c: match_ranges(c, F.lit(regex_pattern(pattern, False))))
-
-    def by_scan(text):
-        # A search restarts at the end of the last match, one further after an empty one.
-        out, at, compiled = [], 0, re.compile(pattern)
-        while at <= len(text):
-            m = compiled.search(text, at)
-            if not m:
-                break
-            out.append((m.start(), m.end() - m.start()))
-            at = m.end() + (m.end() == m.start())
-        return out
+def starts(text, pattern, fold=False, limit=None):
+    return [(r["start"], r["length"]) for r in ranges(text, pattern, fold, limit)]
+
 
-    assert [[tuple(r) for r in x] for x in got] == [by_scan(t) for t in texts]
+@pytest.mark.parametrize("pattern", ["[ab]+", "é|a", "^a", "a.?b", "(a)(b)?"])
+def test_regex_matches_and_limits(pattern):
+    for text in ["", "baa", "aab aab", "éaé", "bbb\na", chr(0xFDD0) + "ab"]:
+        want = [(m.start(), m.end() - m.start()) for m in re.finditer(pattern, text)]
+        assert starts(text, pattern) == want and starts(text, pattern, limit=1) == want[:1]
+    assert ranges(None, pattern, False) is None
 
 
-def test_regex_case_and_dot(spark):
-    texts = ["ÉTÉ été", "a b"]
-    assert [len(x) for x in values(spark, texts, lambda c: match_ranges(c, F.lit(regex_pattern("été", True))))] == [2, 0]
-    assert [len(x) for x in values(spark, texts, lambda c: match_ranges(c, F.lit(regex_pattern("a.b", False))))] == [0, 1]
+def test_regex_case_and_dot():
+    assert len(starts("ÉTÉ été", "été", True)) == 2
+    assert (len(starts("a\nb", "a.b")), len(starts("a b", "a.b"))) == (0, 1)
 
 
-def test_dollar_is_the_end_of_the_text(spark):
-    texts = ["a\n", "a", "a$\na"]
+def test_dollar_is_the_end_of_the_text():
     def counts(pattern):
-        return [len(x) for x in values(spark, texts, lambda c: match_ranges(c, F.lit(regex_pattern(pattern, False))))]
+        return [len(starts(t, pattern)) for t in ("a\n", "a", "a$\na")]
 
     assert counts("a$") == [0, 1, 1] and counts("(?m)a$") == [1, 1, 1] and counts(r"a\$") == [0, 0, 1] and counts("a[$]") == [0, 0, 1]
 

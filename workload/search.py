@@ -42,7 +42,7 @@ def summary_sql(where: str = "true") -> str:
     return f"""WITH {Q.DOCS}, {LITERALS}, {FOLDED},
   hit AS (SELECT pattern_id, memory_id, (length(low) - length(replace(low, p, ''))) // length(p) AS n
     FROM pats CROSS JOIN f WHERE length(p) >= 3 AND contains(low, p) AND {where}),
-  tot AS (SELECT pattern_id, CAST(sum(least(n, 100000)) AS BIGINT) AS total_matches, count(*) AS total_memories
+  tot AS (SELECT pattern_id, CAST(sum(n) AS BIGINT) AS total_matches, count(*) AS total_memories
     FROM hit GROUP BY 1)
   SELECT pattern_id, CASE WHEN p = '' THEN 'empty-query' WHEN length(p) < 3 THEN 'short-query'
       WHEN coalesce(total_matches, 0) = 0 THEN 'no-matches' ELSE 'ok' END AS status,

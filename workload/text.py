@@ -9,7 +9,8 @@ from anamnesis.functions import ids as I
 from anamnesis.functions import text as T
 from anamnesis.functions.chunking import chunk_text
 from anamnesis.functions.core import is_row, iso_millis, numbered_rows_of, rows_of
-from anamnesis.functions.matching import literal_count, match_ranges, regex_pattern, snippet
+from anamnesis.functions.linear_regex import regex_ranges
+from anamnesis.functions.matching import literal_count, match_ranges, snippet
 from anamnesis.functions.times import from_epoch_ms, from_epoch_seconds, from_iso
 from anamnesis.plans.evaluation import session_document
 from workload import frames as W
@@ -145,12 +146,11 @@ def literal_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
        r"""SELECT doc_id, len(m) AS matches, md5(array_to_string(m, ',')) AS matches_md5
        FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ing|[0-9]{3,}') AS m FROM documents)""")
 def regex_ranges_all(spark: SparkSession, sf: str) -> DataFrame:
-    java = regex_pattern("[A-Z][a-z]+ing|[0-9]{3,}", False)
-    docs = W.load(spark, sf, "documents")
-    matched = F.transform(match_ranges(F.col("text"), F.lit(java)),
-                          lambda r: F.substring("text", r["start"] + 1, r["length"]))
-    return docs.select("doc_id", F.regexp_count("text", F.lit(java)).cast("bigint").alias("matches"),
-                       F.md5(F.array_join(matched, ",")).alias("matches_md5"))
+    docs = W.load(spark, sf, "documents").select("doc_id", "text", F.lit("[A-Z][a-z]+ing|[0-9]{3,}").alias("expression"))
+    ranged = regex_ranges(docs, "text", "expression")
+    matched = F.transform("ranges", lambda r: F.substring("text", r["start"] + 1, r["length"]))
+    return ranged.select("doc_id", F.size("ranges").cast("bigint").alias("matches"),
+                         F.md5(F.array_join(matched, ",")).alias("matches_md5"))
 
 
 @query("snippet",
