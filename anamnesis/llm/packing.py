@@ -27,17 +27,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anamnesis.llm.arrays import WHITE, ragged_index, range_hashes, runs, slices, text_bytes
+from anamnesis.llm.tokens import MergeTable
 from anamnesis.session import cut_lineage
 
 WINDOW = 1024
 ROWS_PER_SALT = 20_000
 SOLVER_STEPS = 1500
 _SLICE = 2 << 20
-_CACHE_UNITS = 1 << 19
+_CACHE_UNITS = 1 << 20
+
+#: 1 letters, 2 digits, 3 marks, 4 white space; 0 for what the arrays do not cut: apostrophes, controls, other bytes.
+_KIND = np.zeros(256, dtype=np.int8)
+_KIND[0x21:0x7F] = 3
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[0x27] = 0
+_KIND[WHITE] = 4
 
 
 class IdEncoder:
-    """Ids of whole texts as the library gives them, asking it for each distinct unit of a batch once.
+    """Ids of whole texts as the library gives them, made for each distinct unit of a batch once.
 
     A unit is a word with the one space before it, or what else a run of ASCII white space holds:
     the vocabulary's splitter never looks past these bounds. A text with a special string, white
@@ -48,6 +57,7 @@ class IdEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.merges = MergeTable(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -67,21 +77,56 @@ class IdEncoder:
         slot = np.minimum(np.searchsorted(self.known, units), max(len(self.known) - 1, 0))
         new = np.flatnonzero(self.known[slot] != units) if len(self.known) else np.arange(len(units))
         if len(new):
-            texts = [data[start[i]:end[i]].tobytes().decode() for i in first[new]]
-            made = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in made], dtype=np.int64)
+            made, size = self._ids(data, start[first[new]], end[first[new]])
             known = np.concatenate([self.known, units[new]])
             order = np.argsort(known, kind="stable")
             self.known = known[order]
             self.place = np.concatenate([self.place, len(self.ids) + np.cumsum(size) - size])[order]
             self.size = np.concatenate([self.size, size])[order]
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, made])
             slot = np.searchsorted(self.known, units)
         slot = slot[inverse.ravel()]
         size = self.size[slot]
         counts = np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64)
         return self.ids[ragged_index(self.place[slot], size)], counts
 
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units in order, number of each). Units of plain letters, digits and marks are
+        cut and merged as arrays; the library is asked for the others."""
+        length = end - start
+        letters = data[ragged_index(start, length)]
+        unit = np.repeat(np.arange(len(start)), length)
+        kind = _KIND[letters]
+        lead = np.flatnonzero((letters >= 0xC3) & (letters <= 0xC9))  # two-byte letters of the Latin blocks
+        after = letters[np.minimum(lead + 1, max(len(letters) - 1, 0))]
+        latin = ~((letters[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7))) & \
+            ~((letters[lead] == 0xC9) & (after > 0x8F)) & (after >= 0x80)
+        kind[lead[latin]] = kind[lead[latin] + 1] = 1
+        other = np.zeros(len(start), dtype=bool)
+        other[unit[kind == 0]] = True
+        for token in self.special:  # its text is the library's to judge
+            other[unit[:-1][(letters[:-1] == token[0]) & (letters[1:] == token[1])]] = True
+        keep = ~other[unit]
+        letters, kind, unit = letters[keep], kind[keep], unit[keep]
+        head = np.ones(len(letters), dtype=bool)
+        head[1:] = (kind[1:] != kind[:-1]) | (unit[1:] != unit[:-1])
+        # The space before a word belongs to its first pre-token; white space alone is one.
+        joins = np.flatnonzero((letters[:-1] == 32) & (kind[1:] != 4) & (unit[1:] == unit[:-1])) + 1
+        head[joins] = False
+        at = np.flatnonzero(head)
+        symbols, counts = self.merges.merge(letters, np.diff(np.append(at, len(letters)))) if len(at) else \
+            (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        size = np.bincount(unit[at], weights=counts, minlength=len(start)).astype(np.int64)
+        asked = np.flatnonzero(other)
+        texts = [data[start[i]:end[i]].tobytes().decode() for i in asked]
+        given = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+        size[asked] = [len(x) for x in given]
+        ids = np.empty(int(size.sum()), dtype=np.uint32)
+        of_library = np.repeat(other, size)
+        ids[~of_library] = symbols
+        ids[of_library] = np.fromiter((i for x in given for i in x), np.uint32)
+        return ids, size
+
     def _units(self, data, offsets):
         white = WHITE[data]
         start, end, row = runs(~white, offsets)

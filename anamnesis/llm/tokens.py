@@ -24,6 +24,7 @@ from anamnesis.llm.arrays import WHITE, byte_class, ragged_index, range_hashes,
 
 _SLICE = 8 << 20
 _CACHE_WORDS = 1 << 20
+_TABLE_BITS = 18
 _LETTER = byte_class((65, 90), (97, 122))
 _DIGIT = byte_class((48, 57))
 _PLAIN = byte_class((0x21, 0x26), (0x28, 0x7E))  # ASCII without the apostrophe and control bytes
@@ -54,34 +55,56 @@ class MergeTable:
         pairs = [(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
         self.width = max(ids.values()) + 1
         key = np.array([ids[a] * self.width + ids[b] for a, b in pairs], dtype=np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         self.none = len(pairs)
+        self._index(key)
+
+    def _index(self, key: np.ndarray) -> None:
+        """Ranks by key in a few open tables: what finds its place taken in one goes to the next."""
+        self.tables, waiting = [], np.arange(len(key))
+        while len(waiting):
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * len(self.tables) & (1 << 64) - 1 | 1)
+            slot = ((key[waiting].astype(np.uint64) * factor) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+            keys, ranks = np.full(1 << _TABLE_BITS, -1, np.int64), np.full(1 << _TABLE_BITS, self.none, np.int32)
+            slot, first = np.unique(slot, return_index=True)
+            keys[slot], ranks[slot] = key[waiting[first]], waiting[first]
+            self.tables.append((factor, keys, ranks))
+            waiting = np.delete(waiting, first)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left * self.width + right
-        slot = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
-        return np.where(self.key[slot] == wanted, self.rank[slot], self.none)
+        out = np.full(len(wanted), self.none, dtype=np.int64)
+        for factor, keys, ranks in self.tables:
+            slot = ((wanted.astype(np.uint64) * factor) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+            hit = keys[slot] == wanted
+            out[hit] = ranks[slot[hit]]
+        return out
 
     def count(self, data: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token; `data` holds their bytes one after another, none is empty."""
+        return self.merge(data, length)[1]
+
+    def merge(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all pre-tokens in order, number of symbols of each)."""
         counts = np.zeros(len(length), dtype=np.int64)
         owner = np.arange(len(length))
         symbols = self.inner[data]
         ends = np.cumsum(length) - 1
         symbols[ends] = self.last[data[ends]]
+        rank = np.full(len(symbols), self.none, dtype=np.int64)
+        inner = np.ones(len(symbols), dtype=bool)
+        inner[ends] = False
+        at = np.flatnonzero(inner)
+        rank[at] = self.ranks(symbols[at], symbols[at + 1])
+        finished, owners = [], []
         while len(owner):
             starts = np.cumsum(length) - length
-            closing = np.zeros(len(symbols), dtype=bool)
-            closing[starts + length - 1] = True
-            rank = np.full(len(symbols), self.none, dtype=np.int64)
-            inner = np.flatnonzero(~closing)
-            if len(inner):
-                rank[inner] = self.ranks(symbols[inner], symbols[inner + 1])
             least = np.minimum.reduceat(rank, starts)
             going = least < self.none
+            over = np.repeat(~going, length)
             counts[owner[~going]] = length[~going]
+            finished.append(symbols[over])
+            owners.append(np.repeat(owner[~going], length[~going]))
             chosen = (rank == np.repeat(least, length)) & (rank < self.none)
             # Equal neighbours overlap (a a a): every other one from the left is merged.
             at = np.flatnonzero(chosen)
@@ -91,12 +114,22 @@ class MergeTable:
             run_start = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
             at = at[(at - run_start) % 2 == 0]
             symbols[at] = self.made[rank[at]]
-            keep = np.repeat(going, length)
+            keep = ~over
             keep[at + 1] = False
             gone = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(length))
-            symbols = symbols[keep]
+            place = (np.cumsum(keep) - 1)[at]
+            symbols, rank = symbols[keep], rank[keep]
             length, owner = (length - gone)[going], owner[going]
-        return counts
+            # Only pairs that touch a merged symbol are new.
+            ends = np.cumsum(length) - 1
+            first, last = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
+            last[ends] = True
+            first[ends - length + 1] = True
+            rank[place[last[place]]] = self.none
+            changed = np.concatenate([place[~last[place]], place[~first[place]] - 1])
+            rank[changed] = self.ranks(symbols[changed], symbols[changed + 1])
+        order = np.argsort(np.concatenate(owners) if owners else np.zeros(0, np.int64), kind="stable")
+        return (np.concatenate(finished) if finished else np.zeros(0, np.int64))[order], counts
 
 
 class TokenCounter:
