@@ -6,10 +6,11 @@ passages inside that window which hold the token share its min-hash. Only window
 shortest passage matter. Those are the runs of equal argmins of a sliding minimum, which is
 computed for whole batches from prefix and suffix minima of blocks.
 
-Windows of different texts with the same minimum, under any of several functions, are candidate
-passages that meet at this token. A passage of similarity 0.8 is missed by four functions in one
-case of 600, an exact one never. The windows of one minimum are not paired: its first window
-leads, the others are verified against it, and those that are another passage take the next round
+Windows of different texts with the same minimum, under any of several functions, meet at this
+token. A short line that many texts share would make all of them meet, so windows are candidates
+only if the tokens on one side of the minimum, somewhat less than half of the shortest passage, have the same min-hash
+too. An exact passage always passes, as one side of its minimum holds half of it. The windows of
+one key are not paired: its first window leads, the others are verified against it, and those that are another passage take the next round
 among themselves, with more leaders. Verification extends both passages from the meeting token
 over small gaps and compares their full shingle sets.
 
@@ -33,7 +34,7 @@ from anamnesis.session import cut_lineage
 WIDTH = 5
 PERCENT = 80
 SHORTEST = 50
-FUNCTIONS = 4
+FUNCTIONS = 1
 GAP = 10
 PARTNERS_PER_BLOCK = 256
 
@@ -73,25 +74,46 @@ def windows(value: np.ndarray, row: np.ndarray, least: int, function: int) -> np
         return np.zeros(0, np.int64)
     fresh = np.ones(len(least_of), dtype=bool)
     fresh[1:] = least_of[1:] != least_of[:-1]
-    place = np.unique((least_of[fresh] & np.uint64((1 << int(bits)) - 1)).astype(np.int64))
-    # Equal tokens right of the first are minima of the windows that it has left; one of them is enough in a text.
-    _, first = np.unique(mix(value[place] + mix(row[place].astype(np.uint64))), return_index=True)
-    return place[np.sort(first)]
+    return np.unique((least_of[fresh] & np.uint64((1 << int(bits)) - 1)).astype(np.int64))
+
+
+def side_minima(value: np.ndarray, side: int) -> np.ndarray:
+    """The least hash of the `side` tokens from every place on."""
+    if len(value) < side:
+        return np.zeros(0, np.uint64)
+    hashed = mix(value + np.uint64(0xA24BAED4963EE407))
+    padded = np.full(-(-len(value) // side) * side, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[:len(value)] = hashed
+    blocks = padded.reshape(-1, side)
+    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
+    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = len(value) - side + 1
+    return np.minimum(suffix[:count], prefix[side - 1:side - 1 + count])
 
 
 def _windows(width: int, least: int, functions: int):
+    side = max(1, (least - 1) // 2 - 2)  # one side of the minimum of an exact passage has half of its tokens
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, _, value, row, first in token_hashes(batch.column(1), width):
-                for function in range(functions):
-                    at = windows(value, row, least, function)
-                    key = mix(value[at] + np.uint64(function)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(ids[low + row[at]]), pa.array((at - first[row[at]]).astype(np.int32))],
-                        schema=schema)
+                if not len(value):
+                    continue
+                at = np.unique(np.concatenate([windows(value, row, least, f) for f in range(functions)]))
+                near = side_minima(value, side)
+                left = at[at - side >= first[row[at]]]
+                right = at[at + side < first[row[at] + 1]]
+                place = np.concatenate([left, right])
+                around = np.concatenate([near[left - side], mix(near[right + 1])])
+                key = mix(value[place] + around)
+                # Of a text's windows with one key, the first is enough.
+                _, kept = np.unique(mix(key + mix(row[place].astype(np.uint64))), return_index=True)
+                place, key = place[kept], key[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(ids[low + row[place]]),
+                     pa.array((place - first[row[place]]).astype(np.int32))], schema=schema)
 
     return run, "key long, doc_id long, place int"
 
