@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from anamnesis.llm.arrays import byte_class, mix, range_hashes, runs, text_slices
 from anamnesis.llm.langid import remainder
+from anamnesis.operators.sizing import fits_broadcast
+from anamnesis.session import cut_lineage
 
 FEATURE_BITS = 22
 KEPT_FEATURES = 4096
@@ -51,8 +53,9 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 )
 
 
-def row_features(data: np.ndarray, offsets: np.ndarray, bits: int = FEATURE_BITS):
-    """(feature, row), distinct in each row, of words and their beginnings."""
+def row_features(data: np.ndarray, offsets: np.ndarray, bits: int = FEATURE_BITS, wanted: np.ndarray | None = None):
+    """(feature, row), distinct in each row, of words and their beginnings. `wanted` flags the
+    features to be told; others are left out before anything is sorted."""
     data = _FOLD[data]
     start, end, row = runs(_WORD[data], offsets)
     made, rows = [_slots(range_hashes(data, start, end), bits)], [row]
@@ -64,7 +67,11 @@ def row_features(data: np.ndarray, offsets: np.ndarray, bits: int = FEATURE_BITS
         value = range_hashes(data, start[long], stop)
         made.append(_slots(mix(value + np.uint64(width)), bits))
         rows.append(row[long])
-    key = np.unique((np.concatenate(rows).astype(np.int64) << np.int64(32)) | np.concatenate(made))
+    feature, row = np.concatenate(made), np.concatenate(rows).astype(np.int64)
+    if wanted is not None:
+        told = wanted[feature]
+        feature, row = feature[told], row[told]
+    key = np.unique((row << np.int64(32)) | feature)
     return key & np.int64(0xFFFFFFFF), key >> np.int64(32)
 
 
@@ -140,15 +147,17 @@ class Model:
 
     def __init__(self, kept: np.ndarray, weights: np.ndarray, constant: float):
         self.kept, self.weights, self.constant = kept, weights, constant
+        self.flags: np.ndarray | None = None
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         margin = np.full(rows, self.constant)
         if len(self.kept):
-            feature, row = row_features(data, offsets)
-            slot = np.minimum(np.searchsorted(self.kept, feature), len(self.kept) - 1)
-            found = self.kept[slot] == feature
-            margin += np.bincount(row[found], weights=self.weights[slot[found]], minlength=rows)
+            if self.flags is None:  # made where it is used: it is larger than the model
+                self.flags = np.zeros(1 << FEATURE_BITS, dtype=bool)
+                self.flags[self.kept] = True
+            feature, row = row_features(data, offsets, wanted=self.flags)
+            margin += np.bincount(row, weights=self.weights[np.searchsorted(self.kept, feature)], minlength=rows)
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
 
 
@@ -265,7 +274,10 @@ def learnable(docs: DataFrame, labels: DataFrame, parts: int = 1, held_part: int
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(remainder("doc_id", parts) != held_part)
-    return docs.join(known, "doc_id").select("doc_id", "text", "toxic")
+    known = cut_lineage(known)
+    if fits_broadcast(known):
+        return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    return cut_lineage(docs.join(known, "doc_id").select("doc_id", "text", "toxic"))  # the texts move once
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_part: int = 2, threshold: float = 0.3,
