@@ -123,3 +123,34 @@ def test_passages_of_fifty_words_are_found(spark):
 
 def test_passages_of_an_empty_table(spark):
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def similar_windows(a, b, size=50, width=5, percent=80):
+    """Whether two texts hold windows of `size` words that are similar enough."""
+    one, two = words(a), words(b)
+    sets = [shingles(" ".join(two[k:k + size]), width) for k in range(len(two) - size + 1)]
+    for i in range(len(one) - size + 1):
+        own = shingles(" ".join(one[i:i + size]), width)
+        if any(100 * len(own & s) >= percent * len(own | s) for s in sets):
+            return True
+    return False
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+
+
+def test_edited_passages_of_fifty_and_sixty_words_always_meet(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    rows, expected = [], set()
+    for n in range(120):
+        base = text(50 if n % 2 else 60)
+        a, b = (f"{text(40)} {t} {text(40)}" for t in (base, edited(rng, base, 1)))
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        if similar_windows(a, b):
+            expected |= {2 * n, 2 * n + 1}
+    assert len(expected) > 150
+    got = {r.doc_id: r.class_id for r in repeated_passages(frame(spark, rows)).collect()}
+    assert expected == set(got)
+    assert all(got[i] == i - i % 2 for i in got)
