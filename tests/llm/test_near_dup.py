@@ -154,3 +154,15 @@ def test_edited_passages_of_fifty_and_sixty_words_always_meet(spark):
     got = {r.doc_id: r.class_id for r in repeated_passages(frame(spark, rows)).collect()}
     assert expected == set(got)
     assert all(got[i] == i - i % 2 for i in got)
+
+
+def test_passages_settled_with_a_leader_still_meet_the_others(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    rows = []
+    for n in range(40):  # the first and the third share 46 words, the second holds 60 words of either
+        base = text(75).split()
+        parts = (base[:60], base, base[14:])
+        rows += [(3 * n + i, f"{text(30)} {' '.join(part)} {text(30)}") for i, part in enumerate(parts)]
+    got = {r.doc_id: r.class_id for r in repeated_passages(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
