@@ -166,3 +166,21 @@ def test_passages_settled_with_a_leader_still_meet_the_others(spark):
         rows += [(3 * n + i, f"{text(30)} {' '.join(part)} {text(30)}") for i, part in enumerate(parts)]
     got = {r.doc_id: r.class_id for r in repeated_passages(frame(spark, rows)).collect()}
     assert got == {i: i - i % 3 for i, _ in rows}
+
+
+def test_second_copy_of_a_passage_in_one_text_has_a_row(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    rows = []
+    for n in range(20):
+        base = text(70)
+        line = " ".join(base.split()[20:45])  # a part of the passage comes alone before it
+        rows += [(2 * n, f"{text(30)} {base} {text(40)} {base} {text(30)}"),
+                 (2 * n + 1, f"{text(30)} {line} {text(30)} {base} {text(30)}")]
+    got = repeated_passages(frame(spark, rows)).collect()
+    full = dict(rows)
+    held = {i: 0 for i in full}
+    for r in got:
+        passage = full[r.doc_id].split()[r.start_word:r.end_word]
+        held[r.doc_id] += " ".join(full[r.doc_id - r.doc_id % 2].split()[30:100]) in " ".join(passage)
+    assert held == {i: 2 - i % 2 for i in full}
