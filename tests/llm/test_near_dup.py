@@ -184,3 +184,17 @@ def test_second_copy_of_a_passage_in_one_text_has_a_row(spark):
         passage = full[r.doc_id].split()[r.start_word:r.end_word]
         held[r.doc_id] += " ".join(full[r.doc_id - r.doc_id % 2].split()[30:100]) in " ".join(passage)
     assert held == {i: 2 - i % 2 for i in full}
+
+
+def test_similar_passage_in_a_loosely_edited_copy_is_found(spark):
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    rows = []
+    for n in range(20):
+        one = text(220).split()
+        two = [f"c{n}x{k}" if k % 6 == 0 and not 80 <= k < 140 else w for k, w in enumerate(one)]
+        two[110] = f"c{n}y"
+        rows += [(2 * n, " ".join(one)), (2 * n + 1, " ".join(two))]
+    got = repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
+    assert all(r.start_word <= 85 and r.end_word >= 135 for r in got)
