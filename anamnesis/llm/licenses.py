@@ -2,10 +2,10 @@
 
 A template is a licence's usual sentence, with the key phrases without which it does not count.
 The rarity of a licence word is its inverse document frequency over all texts. For each text, the
-places of its rarest licence words are looked up in the templates' postings (word, template,
-position); place minus position is where the template would start, and postings that agree on a
-start vote for it. A start that enough of the template's rare words vote for is verified: the words at that
-start must hold a key phrase in full.
+places of the rarest word of each template's key phrase are looked up in the templates' postings
+(word, template, position); place minus position is where the template would start. Every such start
+is verified: the words at that start must hold the key phrases in full, so other texts have no say in
+it. A word that no text holds opens no lookup. The template's other rare words only count for the score.
 
 Base places, where a phrase's words stand one after another, are found through the same index:
 the phrases are templates of their own whose every word must agree.
@@ -105,16 +105,19 @@ def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
 
     # Places of the words that open a lookup: the rarest word of each phrase and the rarest of each template.
     lookups = {p: min(p.split(), key=lambda w: (frequency[w], w)) for _, p in phrases}
-    rarest = {t: sorted(set(t.words.split()), key=lambda w: (frequency[w], w))[:rare_words] for t in templates}
-    keys = sorted({*lookups.values(), *(w for ws in rarest.values() for w in ws)})
+    templates = [t for t in templates if all(frequency[w] for p in t.key_phrases for w in p.split())]  # others are in no text
+    opens = {t: min((t.key_phrases or (t.words,))[0].split(), key=lambda w: (frequency[w], w)) for t in templates}
+    rarest = {t: sorted({*sorted((w for w in set(t.words.split()) if frequency[w]), key=lambda w: (frequency[w], w))[:rare_words],
+                         opens[t]}) for t in templates}
+    keys = sorted({*lookups.values(), *opens.values()})
     at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(keys), F.struct(w.alias("word"), (i + 1).alias("place")))),
                   lambda x: x.isNotNull())
     found = source.withColumn("keys", F.when(F.arrays_overlap("words", literal_array(keys)), at))
 
     base = F.concat(*(_phrase_places(label, phrase, lookups[phrase]) for label, phrase in phrases))
-    more = F.concat(*(_template_places(template, rarest[template], weight) for template in templates))
     none = F.array().cast("array<struct<start:int,label:string>>")
     nothing = F.array().cast("array<struct<label:string,score:double>>")
+    more = F.concat(nothing, *(_template_places(t, opens[t], rarest[t], weight) for t in templates))
     scanned = found.select("doc_id", F.size("words").cast("long").alias("n_words"),
                            F.when(F.col("keys").isNull(), none).otherwise(base).alias("base"),
                            F.when(F.col("keys").isNull(), nothing).otherwise(more).alias("more"))
@@ -139,13 +142,11 @@ def _phrase_places(label: str, phrase: str, word: str) -> Column:
     return F.transform(hits, lambda s: F.struct(s.alias("start"), F.lit(label).alias("label")))
 
 
-def _template_places(template: Template, rare: list[str], weight: dict[str, float]) -> Column:
+def _template_places(template: Template, opening: str, rare: list[str], weight: dict[str, float]) -> Column:
     """Verified starts of a template with the share of its rarity found there."""
     words, whole = template.words.split(), sum(weight[w] for w in rare)
-    votes = F.flatten(F.array(*(_starts(w, i) for i, w in enumerate(words) if w in rare)))
-    need = max(1, (len(rare) + 1) // 2)
-    keys = _key_offsets(template)
-    starts = F.filter(F.array_distinct(votes), lambda s: F.size(F.filter(votes, lambda other: other == s)) >= need)
+    keys = _key_offsets(template) or [(0, template.words)]
+    starts = _starts(opening, keys[0][0] + keys[0][1].split().index(opening))
     sound = F.filter(starts, lambda s: _all(phrase_at(F.col("words"), s + offset, phrase) for offset, phrase in keys))
 
     def scored(s: Column) -> Column:

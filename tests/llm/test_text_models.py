@@ -178,6 +178,16 @@ def test_licences_equal_brute_force(spark):
     assert scan_licences(df.limit(0)).count() == 0
 
 
+def test_a_whole_key_phrase_gives_its_label_whatever_the_other_texts_hold(spark):
+    rows = [(1, "Mozilla Public License, version 2.0", "a"), (2, "Mozilla Public Domain", "a")]
+    other = [(3, "subject to the terms of v", "a"), (4, "mozilla subject terms v mozilla", "a")]
+    for more in ([], other):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string, source string")
+        got = {r.doc_id: r for r in scan_licences(df).collect()}
+        assert {i: r.labels for i, r in got.items() if r.labels} == {1: "mpl-2.0"}
+        assert 0 < got[1].score <= 1
+
+
 # Benchmark matches ----------------------------------------------------------------------------
 
 def edits(a: str, b: str) -> int:
