@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import decontaminate, langid, licenses, minhash, packing, passages, pii, tokens, topk, toxicity
+from anamnesis.llm import (clusters, decontaminate, langid, licenses, minhash, packing, passages, pii, tokens, topk,
+                           toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeated_passages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def _cluster_sql(rounds: int = 3, clusters: int = 16, factor: int = 64) -> str:
+    """The rounds of `op11` as one chain of tables: c<i> are the centroids, a<i> the assignments."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+    d{i} AS (SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance
+             FROM parts v JOIN c{i} c USING (dim) GROUP BY v.row, c.cluster),
+    a{i} AS (SELECT row, cluster, distance FROM d{i}
+             QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+    m{i} AS (SELECT a.cluster, v.dim, sum(v.x)::BIGINT AS total, count(*)::BIGINT AS n
+             FROM a{i} a JOIN parts v USING (row) GROUP BY a.cluster, v.dim),
+    c{i + 1} AS (SELECT c.cluster, c.dim, CASE WHEN m.n IS NULL THEN c.x
+                    ELSE (m.total - ((m.total % m.n) + m.n) % m.n) // m.n END AS x
+             FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.cluster AND m.dim = c.dim)""")
+    last = rounds
+    return f"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, embedding AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS (
+        SELECT row, dim, floor({factor} * v[dim]::DOUBLE)::BIGINT AS x
+        FROM kept, (SELECT unnest(generate_series(1, 64)) AS dim)),
+    first AS (
+        SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS cluster
+        FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < {clusters}),
+    c0 AS (SELECT first.cluster, parts.dim, parts.x FROM first JOIN parts USING (row)),{",".join(steps)},
+    digest AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256
+               FROM c{last} GROUP BY cluster)
+    SELECT k.vec_id, a.cluster::INTEGER AS cluster, a.distance,
+           sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+           sum(a.distance) OVER ()::BIGINT AS inertia, digest.centroid_sha256
+    FROM a{last} a JOIN kept k USING (row) JOIN digest ON digest.cluster = a.cluster"""
+
+
+@query("op11_centroid_clusters", _cluster_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
