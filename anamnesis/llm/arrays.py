@@ -101,7 +101,7 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges (ascending, not overlapping), by prefix sums modulo 2^64."""
+    """64-bit hashes of the byte ranges (ascending, not overlapping, may be empty), by prefix sums modulo 2^64."""
     out = np.empty(len(start), dtype=np.uint64)
     low = 0
     while low < len(start):
@@ -111,7 +111,7 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
         sums = np.zeros(last - first + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUE[data[first:last]] * power, out=sums[1:])
         a, b = start[low:high] - first, end[low:high] - first
-        value = (sums[b] - sums[a]) * _powers(_BASE_INVERSE, last - first)[a]
+        value = (sums[b] - sums[a]) * _powers(_BASE_INVERSE, last - first + 1)[a]
         out[low:high] = mix(value + (b - a).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         low = high
     return out
@@ -123,11 +123,11 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: np.uint64, count: int) -> np.ndarray:
     known = _POWERS.get(int(base))
     if known is None or len(known) < count:
-        known = np.full(max(count, _HASH_BLOCK), base, dtype=np.uint64)
+        known = np.full(max(count, _HASH_BLOCK + 1), base, dtype=np.uint64)
         if len(known):
             known[0] = 1
         known = np.cumprod(known, dtype=np.uint64)
-        if count <= _HASH_BLOCK:
+        if count <= _HASH_BLOCK + 1:
             _POWERS[int(base)] = known
     return known[:count]
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from anamnesis.session import cut_lineage
 
 SLICE_ROWS = 1024
-_NONE = np.iinfo(np.int64).max
+#: Beyond every distance: for 64-bit integers, and for Python integers.
+_NONE, _LARGE_NONE = np.iinfo(np.int64).max, 1 << 2200
 
 
 class CentroidLists:
@@ -39,7 +40,8 @@ class CentroidLists:
         """(cluster, squared distance) of every row; ties go to the smaller number."""
         rows, dims = vectors.shape
         count = len(self.centroids)
-        best = np.full(rows, _NONE, dtype=vectors.dtype)
+        none = _LARGE_NONE if vectors.dtype == object else _NONE
+        best = np.full(rows, none, dtype=vectors.dtype)
         cluster = np.full(rows, count, dtype=np.int64)
         met = np.zeros((rows, count), dtype=bool)
         high = np.empty((rows, dims), dtype=np.int64)
@@ -50,8 +52,8 @@ class CentroidLists:
         every = np.arange(dims)[None, :]
         while len(walking):
             x, lo, hi = vectors[walking], low[walking], high[walking]
-            below = np.where(lo >= 0, x - self.values[np.maximum(lo, 0), every], _NONE)
-            above = np.where(hi < count, self.values[np.minimum(hi, count - 1), every] - x, _NONE)
+            below = np.where(lo >= 0, x - self.values[np.maximum(lo, 0), every], none)
+            above = np.where(hi < count, self.values[np.minimum(hi, count - 1), every] - x, none)
             frontier = np.minimum(below, above)
             open_row = (frontier * frontier).sum(axis=1) <= best[walking]
             walking, lo, hi = walking[open_row], lo[open_row], hi[open_row]

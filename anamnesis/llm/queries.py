@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm import (clusters, decontaminate, langid, licenses, minhash, packing, passages, pii, tokens, topk,
-                           toxicity)
+from anamnesis.llm import (clusters, decontaminate, langid, licenses, minhash, packing, passages, pii, quality, tokens,
+                           topk, toxicity, variants)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,13 @@ def _cluster_sql(rounds: int = 3, clusters: int = 16, factor: int = 64) -> str:
 @query("op11_centroid_clusters", _cluster_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
