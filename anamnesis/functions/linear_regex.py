@@ -44,7 +44,7 @@ def hits_of(patterns: Sequence[tuple[str, str, bool]], restricted: bool):
                     held = pc.and_(held, own)
                 if not pc.any(held).as_py():
                     continue
-                counts = pc.count_substring_regex(text.filter(held), expression, ignore_case=fold).cast(pa.int64())
+                counts = match_counts(text.filter(held), expression, fold)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([pattern_id] * len(counts), pa.string()), ids.filter(held), at.filter(held), counts],
                     ["pattern_id", "memory_id", "updated_at", "matches"])
@@ -52,6 +52,17 @@ def hits_of(patterns: Sequence[tuple[str, str, bool]], restricted: bool):
     return run
 
 
+def match_counts(texts: pa.Array, expression: str, fold: bool) -> pa.Array:
+    """How many matches each text has: as many as `ranges` gives places.
+
+    Each match is replaced by a mark and the marks are counted, in one walk from match to match, so that `^`
+    and `\\b` see what stands before a match. (The counting call starts anew behind each match.)
+    """
+    clean = pc.replace_substring(texts, OPEN, "�")
+    marked = pc.replace_substring_regex(clean, f"{'(?i)' if fold else ''}({expression})", OPEN)
+    return pc.count_substring(marked, OPEN).cast(pa.int64())
+
+
 def ranges(text: str | None, expression: str, fold: bool, limit: int | None = None) -> list[dict[str, int]] | None:
     """start and length, in characters, of the first `limit` matches, or of all."""
     if text is None:

@@ -113,9 +113,7 @@ def _score_by_scan(tokens: DataFrame, wanted: DataFrame, stats: DataFrame, k: in
     counted = stats.toArrow().to_pylist()
     corpus = next((r for r in counted if r["term"] is None), None)
     n_docs, avgdl = (corpus["df"], corpus["total_len"] / corpus["df"]) if corpus else (0, 0.0)
-    idf = {r["term"]: math.log((n_docs - r["df"] + 0.5) / (r["df"] + 0.5) + 1)
-           for r in counted if r["term"] is not None}
-    weights = [(q, t, idf[t]) for q, t in zip(*wanted.toArrow().to_pydict().values()) if t in idf]
+    weights = _weights(wanted, {r["term"]: r["df"] for r in counted if r["term"] is not None}, n_docs)
     shared = tokens.sparkSession.sparkContext.broadcast((weights, avgdl))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +136,83 @@ def _score_by_scan(tokens: DataFrame, wanted: DataFrame, stats: DataFrame, k: in
 
 def bm25_from_index(queries: DataFrame, postings: DataFrame, frequency: DataFrame, corpus: DataFrame,
                     k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """`k` best chunks per query from stored postings: only the asked terms are read.
+    """`k` best chunks per query from postings: only those of asked terms are moved.
 
-    Stored by memory bucket and sorted by term, `postings` skips row groups without an asked
-    term, and the scores of a chunk add up where its postings lie: the partial aggregate leaves
-    one row per query and chunk to shuffle. Hot terms are spread by salt when the query side is
-    too large to broadcast.
+    The postings of a chunk meet in one task, each once and not once per query that asks for it;
+    the task scores the chunk for all queries and keeps its own k best per query. A query side too large to
+    send is joined to the postings on salted terms.
     """
     wanted = query_terms(queries)
-    n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
-    small = fits_broadcast(wanted)
-    asked = wanted.select("term").distinct()
-    df = frequency.join(F.broadcast(asked), "term", "left_semi") if small else frequency
-    weights = wanted.join(df, "term").select("query_id", "term", _idf(F.col("df"), n_docs).alias("idf"))
     if allowed is not None:
         postings = attach(postings, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
-    matched = postings.join(F.broadcast(weights), "term") if small else _salted(postings, weights)
-    scored = (matched.groupBy("query_id", *CHUNK)
+    if fits_broadcast(wanted):
+        return _rank_scores(_score_postings(postings, wanted, frequency, corpus, k), k)
+    n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
+    weights = wanted.join(frequency, "term").select("query_id", "term", _idf(F.col("df"), n_docs).alias("idf"))
+    scored = (_salted(postings, weights).groupBy("query_id", *CHUNK)
               .agg(F.round(F.sum(F.col("idf") * _saturation(F.col("tf"), F.col("doc_len"), avgdl)),
                            SCORE_DECIMALS).alias("score")))
     return _rank_scores(scored, k)
 
 
+def _weights(wanted: DataFrame, df: dict[str, int], n_docs: int) -> list[tuple[str, str, float]]:
+    idf = {t: math.log((n_docs - n + 0.5) / (n + 0.5) + 1) for t, n in df.items()}
+    return [(q, t, idf[t]) for q, t in zip(*wanted.toArrow().to_pydict().values()) if t in idf]
+
+
+def _score_postings(postings: DataFrame, wanted: DataFrame, frequency: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    asked = wanted.select("term").distinct()
+    total = corpus.select("n_docs", "avgdl").first()
+    df = {r["term"]: r["df"] for r in frequency.join(F.broadcast(asked), "term", "left_semi").toArrow().to_pylist()}
+    weights = _weights(wanted, df, total.n_docs or 0)
+    shared = postings.sparkSession.sparkContext.broadcast((weights, total.avgdl or 0.0))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, mean_length = shared.value
+        if not rows:
+            return
+        scorer = TermScores(rows, mean_length, BM25_K1, BM25_B)
+        state = BestRows(len(scorer.query_ids), k)
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            starts = _chunk_starts(part)
+            last = int(starts[-1]) if len(starts) else 0  # the last chunk may go on in the next batch
+            _add_chunks(state, scorer, part.slice(0, last), starts[:-1])
+            held = part.slice(last)
+        if held is not None:
+            _add_chunks(state, scorer, held, _chunk_starts(held))
+        yield from state.table(scorer.query_ids, -1.0, "score").to_batches()
+
+    matched = postings.join(F.broadcast(asked), "term", "left_semi").select(*CHUNK, "doc_len", "term", "tf")
+    return matched.repartition(*CHUNK).sortWithinPartitions(*CHUNK).mapInArrow(best, SCORE_SCHEMA)
+
+
+def _chunk_starts(part: pa.Table) -> np.ndarray:
+    """Where each chunk begins in rows sorted by chunk."""
+    if not part.num_rows:
+        return np.zeros(0, np.int64)
+    ids = part["memory_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    place = part["chunk_index"].to_numpy()
+    head = np.ones(part.num_rows, dtype=bool)
+    head[1:] = (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])
+    return np.flatnonzero(head)
+
+
+def _add_chunks(state: BestRows, scorer: TermScores, part: pa.Table, starts: np.ndarray) -> None:
+    step = max(1, SCORE_CELLS // len(scorer.query_ids))
+    ends = np.append(starts[1:], part.num_rows)
+    for low in range(0, len(starts), step):
+        first, stop = starts[low:low + step], int(ends[min(low + step, len(starts)) - 1])
+        piece = part.slice(int(first[0]), stop - int(first[0]))
+        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, stop)))
+        flat = scorer.score_postings(doc, len(first), piece["doc_len"].to_numpy()[first - first[0]].astype(np.int64),
+                                     piece["term"].combine_chunks(), piece["tf"].to_numpy().astype(np.int64))
+        scores = np.round(flat, SCORE_DECIMALS)
+        heads = part.take(pa.array(first))
+        state.add(heads["memory_id"].to_pylist(), heads["chunk_index"].to_pylist(), np.where(scores > 0, -scores, np.inf))
+
+
 def _salted(postings: DataFrame, weights: DataFrame) -> DataFrame:
     """Shuffle on (term, salt): a term found in a third of all chunks spreads over many tasks."""
     left = postings.withColumn("_salt", salt_of(CHUNK, SALTS))

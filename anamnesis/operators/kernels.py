@@ -92,17 +92,30 @@ class TermScores:
     def score(self, tokens: pa.Array) -> np.ndarray:
         """documents x queries; documents that share no term with a query stay at zero."""
         lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-        documents, queries = len(tokens), len(self.query_ids)
+        documents = len(tokens)
         found = pc.index_in(tokens.flatten(), self.vocabulary)
         known = found.is_valid().to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(documents), lengths)[known]
         term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
         pair, tf = np.unique(doc * max(len(self.vocabulary), 1) + term, return_counts=True)
         doc, term = np.divmod(pair, max(len(self.vocabulary), 1))
+        return self._sum(doc, documents, lengths, term, tf)
+
+    def score_postings(self, doc: np.ndarray, documents: int, lengths: np.ndarray, terms: pa.Array,
+                       tf: np.ndarray) -> np.ndarray:
+        """The same from postings: `doc` numbers the documents, `lengths` are theirs."""
+        found = pc.index_in(terms, self.vocabulary)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        doc, tf, term = doc[known], tf[known], found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((term, doc))  # sums of floats in one order, whatever the order of the rows
+        return self._sum(doc[order], documents, lengths, term[order], tf[order])
+
+    def _sum(self, doc: np.ndarray, documents: int, lengths: np.ndarray, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        queries = len(self.query_ids)
         norm = 1 - self.b + self.b * lengths[doc] / self.avgdl
         part = self.idf[term] * (tf * (self.k1 + 1) / (tf + self.k1 * norm))
         fan = self.degree[term]
-        row = np.repeat(np.arange(len(pair)), fan)
+        row = np.repeat(np.arange(len(doc)), fan)
         within = np.arange(len(row)) - np.repeat(np.cumsum(fan) - fan, fan)
         query = self.askers[self.start[term[row]] + within]
         flat = np.bincount(doc[row] * queries + query, weights=part[row], minlength=documents * queries)

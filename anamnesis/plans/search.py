@@ -18,6 +18,8 @@ from anamnesis.operators.search import (
     trigram_index,
     trigram_join,
 )
+from anamnesis.session import cut_lineage
+from anamnesis.stored_index import StoredIndex
 
 SEARCHERS = ("scan", "trigram", "none")
 SUMMARY_SCHEMA = "pattern_id string, early string"
@@ -25,13 +27,13 @@ HITS_SCHEMA = "pattern_id string, memory_id string, updated_at timestamp, matche
 
 
 def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None = None,
-           searcher: str = "scan", index: DataFrame | None = None, per_memory: int = SNIPPETS_PER_MEMORY,
+           searcher: str = "scan", index: StoredIndex | DataFrame | None = None, per_memory: int = SNIPPETS_PER_MEMORY,
            per_pattern: int = SNIPPETS_PER_PATTERN) -> tuple[DataFrame, DataFrame]:
     """(summary, snippets).
 
     `scan` reads every text once for all patterns. `trigram` first narrows literals through
     the trigram index and then verifies, with the same answer; regular expressions and short
-    literals are scanned. `none` disables search. Counts are of all matches; snippets are the first
+    literals are scanned. `index` is that of the store, or a table (trigram, memory_id). `none` disables search. Counts are of all matches; snippets are the first
     `per_memory` of a memory and `per_pattern` of a pattern.
     """
     if searcher not in SEARCHERS:
@@ -48,10 +50,14 @@ def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None =
     if indexed:
         literals = spark.createDataFrame([(p.pattern_id, p.pattern) for p in indexed],
                                          "pattern_id string, pattern string")
-        pairs = trigram_join(literals, trigram_index(texts) if index is None else index)
+        if isinstance(index, StoredIndex):
+            pairs = index.candidates(literals)
+        else:
+            pairs = trigram_join(literals, trigram_index(texts) if index is None else index)
         candidates = pairs.groupBy("memory_id").agg(F.collect_set("pattern_id").alias("pattern_ids"))
         parts.append(find_hits(texts, indexed, candidates))
-    hits = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS_SCHEMA)
+    # Totals and snippets both read the hits, which are found once.
+    hits = cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else spark.createDataFrame([], HITS_SCHEMA)
 
     filtered_out = F.lit(False)
     if wanted is not None and wanted.active:
