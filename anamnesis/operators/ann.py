@@ -1,119 +1,209 @@
 """Approximate neighbours: cells or hash buckets decide which vectors are compared at all.
 
-The corpus still streams past a measured query side, and each batch compares a row only with
-the queries that probe its cell. A hot cell is therefore spread over all the tasks that hold
-its rows, and nothing is grouped by cell.
+Both sides are keyed by cell and meet in Spark, by (cell, block): a large cell is dealt into
+blocks of bounded rows, and so are its queries. Neither side passes through the driver; what does
+is the index itself, whose size is bounded.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.operators.kernels import BestRows, distances, matrix, unit_rows
-from anamnesis.operators.knn import HIT_SCHEMA, QUERY_BLOCK_BYTES, rank_hits
-from anamnesis.operators.sizing import attach, measure, salt_of
-
-TRAINING_ROWS = 200_000
-
-
-def train_cells(chunks: DataFrame, cells: int, total: int, seed: int = 7, iterations: int = 5,
-                training_rows: int = TRAINING_ROWS) -> np.ndarray:
-    """Cell centres by k-means on unit vectors. The centres come from about `training_rows` rows;
-    every row is assigned to a cell afterwards."""
-    rows = chunks.sample(False, min(1.0, training_rows / max(total, 1)), seed)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = F.transform("vector", lambda x: x.cast("double") / F.col("_norm"))
-    points = (rows.select("vector").withColumn("_norm", norm).where("_norm > 0")
-              .select(array_to_vector(unit).alias("features")))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(points)
-    return unit_rows(np.array(model.clusterCenters()))
-
-
-def _nearest_cells(units: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
-    order = np.argsort(-(units @ centres.T), axis=1, kind="stable")
-    return order[:, :probes]
-
+from anamnesis.operators.knn import HIT_SCHEMA, rank_hits
+from anamnesis.operators.sizing import attach, salt_of
+
+TRAINING_ROWS = 50_000
+BLOCK_ROWS = 16_384
+BLOCK_QUERIES = 2_048
+#: Rows a hash bucket should hold; decides the bits where they are not given.
+BUCKET_ROWS = 64
+ASSIGN_ROWS = 4_096
+#: Rows of the sample that play queries when probes or bits are chosen.
+TRIAL_QUERIES = 256
+
+
+class Cells:
+    """Centres in two levels: a row goes to its nearest coarse centre, then to the nearest fine one
+    below it, so finding a cell costs twice the square root of their number."""
+
+    def __init__(self, units: np.ndarray, cells: int, seed: int, iterations: int = 8):
+        coarse = max(1, round(math.sqrt(cells)))
+        self.coarse = _centres(units, coarse, seed, iterations)
+        group = (units @ self.coarse.T).argmax(axis=1) if len(units) else np.zeros(0, np.int64)
+        fine = max(1, round(cells / len(self.coarse)))
+        below = [_centres(units[group == g], fine, seed + 1 + g, iterations) for g in range(len(self.coarse))]
+        self.start = np.concatenate([[0], np.cumsum([len(b) for b in below])])
+        self.fine = np.concatenate(below)
+
+    def own(self, units: np.ndarray) -> np.ndarray:
+        """The cell of each row, as one column."""
+        group = (units @ self.coarse.T).argmax(axis=1)
+        cell = np.zeros(len(units), np.int64)
+        for g in np.unique(group).tolist():
+            at = np.flatnonzero(group == g)
+            cell[at] = self.start[g] + (units[at] @ self.fine[self.start[g]:self.start[g + 1]].T).argmax(axis=1)
+        return cell[:, None]
+
+    def probed(self, units: np.ndarray, probes: int) -> np.ndarray:
+        """The cells each query looks into, nearest fine centres first."""
+        near = np.argsort(-(units @ self.fine.T), axis=1, kind="stable")
+        return near[:, :min(probes, len(self.fine))]
+
+
+def _centres(units: np.ndarray, count: int, seed: int, iterations: int) -> np.ndarray:
+    """k-means on unit vectors; fewer rows than centres give fewer centres, none one zero centre."""
+    if not len(units):
+        return np.zeros((1, units.shape[1] if units.ndim == 2 and units.shape[1] else 1))
+    rng = np.random.default_rng(seed)
+    centres = units[rng.permutation(len(units))[:count]]
+    for _ in range(iterations):
+        own = (units @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, units)
+        filled = np.bincount(own, minlength=len(centres)) > 0
+        centres = np.where(filled[:, None], unit_rows(total), centres)
+    return centres
+
+
+class Planes:
+    """Hash tables of sign patterns: a row has one bucket per table."""
+
+    def __init__(self, dimension: int, tables: int, bits: int, seed: int):
+        self.planes, self.bits = np.random.default_rng(seed).standard_normal((tables, bits, dimension)), bits
+
+    def own(self, units: np.ndarray) -> np.ndarray:
+        tables = len(self.planes)
+        signs = np.einsum("nd,tbd->ntb", units, self.planes) >= 0
+        bucket = (signs * (1 << np.arange(self.bits, dtype=np.int64))[None, None, :]).sum(axis=2).reshape(len(units), tables)
+        return bucket + (np.arange(tables, dtype=np.int64) << self.bits)[None, :]
+
+    def probed(self, units: np.ndarray, probes: int) -> np.ndarray:
+        return self.own(units)
+
+
+def sample_units(chunks: DataFrame, total: int, most: int = TRAINING_ROWS) -> np.ndarray:
+    """About `most` unit vectors at most, drawn by a hash of their ids, in an order of their own."""
+    million = int(min(1.0, most / max(total, 1)) * 1_000_000)
+    draw = F.pmod(F.xxhash64("memory_id", "chunk_index"), F.lit(1_000_000)) < million
+    rows = chunks.where(draw).select("memory_id", "chunk_index", "vector").toArrow().sort_by(
+        [("memory_id", "ascending"), ("chunk_index", "ascending")])
+    units = unit_rows(matrix(rows["vector"]))
+    return units[np.abs(units).sum(axis=1) > 0]
+
+
+def _near_in_sample(units: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that play queries, their k nearest others), both as places in the sample."""
+    queries = np.random.default_rng(seed).permutation(len(units))[:TRIAL_QUERIES]
+    close = units[queries] @ units.T
+    close[np.arange(len(queries)), queries] = -np.inf
+    return queries, np.argsort(-close, axis=1, kind="stable")[:, :min(k, len(units) - 1)]
+
+
+def probes_for(cells: Cells, units: np.ndarray, k: int, recall: float, seed: int) -> int:
+    """The fewest probes that find the share `recall` of the k nearest neighbours in the sample. A
+    sample's neighbours lie farther apart than those of all rows, so the choice is on the safe side."""
+    if len(units) < 2:
+        return len(cells.fine)
+    queries, near = _near_in_sample(units, k, seed)
+    order = cells.probed(units[queries], len(cells.fine))
+    place = np.empty_like(order)
+    place[np.arange(len(order))[:, None], order] = np.arange(order.shape[1])[None, :]
+    met = place[np.arange(len(order))[:, None], cells.own(units)[:, 0][near]]
+    share = np.cumsum(np.bincount(met.ravel(), minlength=order.shape[1])) / met.size
+    return int(np.searchsorted(share, recall - 1e-12)) + 1
+
+
+def bits_for(units: np.ndarray, tables: int, most: int, k: int, recall: float, seed: int) -> int:
+    """The most bits, `most` at first, with which the tables find that share in the sample."""
+    if len(units) < 2:
+        return 0
+    queries, near = _near_in_sample(units, k, seed)
+    for bits in range(most, 0, -1):
+        bucket = Planes(units.shape[1], tables, bits, seed).own(units)
+        if (bucket[near] == bucket[queries][:, None, :]).any(axis=2).mean() >= recall:
+            return bits
+    return 0
+
+
+def _keyed(rows: DataFrame, cells_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Every row once per cell it belongs to, with `cell`. The last column is the vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, ASSIGN_ROWS):
+                part = batch.slice(low, ASSIGN_ROWS)
+                cell = cells_of(unit_rows(matrix(part.column(part.num_columns - 1))))
+                at = pa.array(np.repeat(np.arange(part.num_rows), cell.shape[1]))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array(cell.ravel(), pa.int64())],
+                                                 names=[*part.schema.names, "cell"])
 
-def _signatures(units: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """One bucket number per table: the signs of the projections read as bits."""
-    tables, bits, _ = planes.shape
-    signs = np.einsum("nd,tbd->ntb", units, planes) >= 0
-    return (signs * (1 << np.arange(bits))[None, None, :]).sum(axis=2).astype(np.int64).reshape(len(units), tables)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, cell bigint")
 
 
 def ann_join(queries: DataFrame, chunks: DataFrame, k: int, allowed: DataFrame | None = None,
-             method: str = "ivf", cells: int | None = None, probes: int = 4, tables: int = 12, bits: int = 6,
-             seed: int = 7, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """Approximate `knn_join` with the same columns. `probes` (ivf) or `tables` and `bits` (lsh)
-    trade accuracy for work; cells default to the square root of the rows. A query side of any
-    size is answered in the same way, in blocks."""
+             method: str = "ivf", cells: int | None = None, probes: int | None = None, tables: int = 12,
+             bits: int | None = None, recall: float = 0.93, seed: int = 7, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """Approximate `knn_join` with the same columns.
+
+    `probes` (ivf), `tables` and `bits` (lsh) trade accuracy for work. Where probes or bits are not
+    given, they are the cheapest that reach `recall` on a bounded sample; vectors without any
+    structure then cost almost a scan. Cells default to the square root of the rows.
+    """
     if allowed is not None:
         chunks = attach(chunks, allowed.select("memory_id").distinct(), "memory_id", "left_semi", even=True)
     wanted = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector")
     corpus = chunks.select("memory_id", F.col("chunk_index").cast("int").alias("chunk_index"), "vector")
+    total = corpus.count()
+    units = sample_units(corpus, total, training_rows)
     if method == "ivf":
-        total = chunks.count()
-        index = train_cells(chunks, cells or max(1, round(math.sqrt(total))), total, seed, training_rows=training_rows)
+        index = Cells(units, cells or max(1, round(math.sqrt(total))), seed)
+        probes = probes_for(index, units, k, recall, seed) if probes is None else probes
     elif method == "lsh":
-        first = wanted.select(F.size("query_vector").alias("n")).first()
-        index = np.random.default_rng(seed).standard_normal((tables, bits, first.n if first else 1))
+        if bits is None:
+            most = max(1, round(math.log2(max(total, 2) / BUCKET_ROWS))) if total > 2 * BUCKET_ROWS else 1
+            bits = bits_for(units, tables, min(most, 30), k, recall, seed)
+        index = Planes(units.shape[1] if units.size else 1, tables, bits, seed)
     else:
         raise ValueError(f"unknown method {method!r}")
-    blocks = max(1, math.ceil(measure(wanted)[1] / QUERY_BLOCK_BYTES))
-    parts = [_probe(wanted.where(salt_of(["query_id"], blocks) == block), corpus, k, method, index, probes)
-             for block in range(blocks)]
-    return rank_hits(reduce(DataFrame.unionByName, parts), k)
-
-
-def _probe(wanted: DataFrame, corpus: DataFrame, k: int, method: str, index: np.ndarray, probes: int) -> DataFrame:
-    """Each task's k best rows for one block of queries."""
-    table = wanted.toArrow()
-    query_units = unit_rows(matrix(table["query_vector"]))
-    if not table.num_rows:
-        probed = np.zeros((0, 1), dtype=np.int64)
-    elif method == "ivf":
-        probed = _nearest_cells(query_units, index, min(probes, len(index)))
-    else:
-        probed = _signatures(query_units, index)
-    shared = corpus.sparkSession.sparkContext.broadcast((table["query_id"].to_pylist(), query_units, index, probed))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, units_of_queries, index, probed = shared.value
-        if not query_ids:
-            return
-        state = BestRows(len(query_ids), k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            units = unit_rows(matrix(batch["vector"]))
-            if method == "ivf":
-                cell = _nearest_cells(units, index, 1)[:, 0]
-                meets = np.zeros((len(units), len(query_ids)), dtype=bool)
-                for probe in range(probed.shape[1]):
-                    meets |= cell[:, None] == probed[None, :, probe]
-            else:
-                own = _signatures(units, index)
-                meets = np.zeros((len(units), len(query_ids)), dtype=bool)
-                for t in range(own.shape[1]):
-                    meets |= own[:, t][:, None] == probed[None, :, t]
-            rows = np.flatnonzero(meets.any(axis=1))
-            if not len(rows):
-                continue
-            values = np.where(meets[rows], distances(units[rows], units_of_queries), np.inf)
-            ids, places = batch["memory_id"].to_pylist(), batch["chunk_index"].to_pylist()
-            state.add([ids[i] for i in rows], [places[i] for i in rows], values)
-        yield from state.table(query_ids).to_batches()
-
-    return corpus.mapInArrow(nearest, HIT_SCHEMA)
+    asked = _keyed(wanted, lambda rows: index.probed(rows, probes or 1))
+    held = _keyed(corpus, index.own)
+    return rank_hits(_meet(asked, held, k), k)
+
+
+def _meet(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """Each task's k best rows per query, for queries and rows that share a cell."""
+    wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("query_blocks"))
+    blocks = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks"))
+    sizes = wanted.join(blocks, "cell")  # a row per cell that both sides have
+    left = attach(asked, sizes, "cell", computed=True)
+    left = left.withColumn("query_block", salt_of(["query_id"], F.col("query_blocks"))).withColumn(
+        "row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
+    right = attach(held, sizes, "cell", computed=True)
+    right = right.withColumn("row_block", salt_of(["memory_id", "chunk_index"], F.col("row_blocks"))).withColumn(
+        "query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    key = ["cell", "query_block", "row_block"]
+
+    def nearest(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = queries["query_id"].to_pylist()
+        state = BestRows(len(ids), k)
+        if queries.num_rows and rows.num_rows:
+            units = unit_rows(matrix(queries["query_vector"]))
+            for low in range(0, rows.num_rows, ASSIGN_ROWS):
+                part = rows.slice(low, ASSIGN_ROWS)
+                values = distances(unit_rows(matrix(part["vector"])), units)
+                state.add(part["memory_id"].to_pylist(), part["chunk_index"].to_pylist(), values)
+        return state.table(ids)
+
+    met = left.select("query_id", "query_vector", *key).groupBy(*key).cogroup(
+        right.select("memory_id", "chunk_index", "vector", *key).groupBy(*key)).applyInArrow(nearest, HIT_SCHEMA)
+    return met.dropDuplicates(["query_id", "memory_id", "chunk_index"])  # buckets of several tables hold a row again
 
 
 def ann_recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

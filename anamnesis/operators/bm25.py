@@ -15,7 +15,7 @@ from anamnesis.functions.core import is_row, rows_of
 from anamnesis.functions.text import term_counts, tokenize
 from anamnesis.operators.kernels import BestRows, TermScores
 from anamnesis.operators.ranking import top_k
-from anamnesis.operators.sizing import SALTS, attach, fits_broadcast, salt_of, salted_join, with_every_salt
+from anamnesis.operators.sizing import attach, fits_broadcast, salted_join
 
 SCORE_DECIMALS = 6
 SCORE_CELLS = 2_000_000  # documents x queries scored at a time inside a task
@@ -149,7 +149,7 @@ def bm25_from_index(queries: DataFrame, postings: DataFrame, frequency: DataFram
         return _rank_scores(_score_postings(postings, wanted, frequency, corpus, k), k)
     n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
     weights = wanted.join(frequency, "term").select("query_id", "term", _idf(F.col("df"), n_docs).alias("idf"))
-    scored = (_salted(postings, weights).groupBy("query_id", *CHUNK)
+    scored = (salted_join(postings, weights, ["term"]).groupBy("query_id", *CHUNK)
               .agg(F.round(F.sum(F.col("idf") * _saturation(F.col("tf"), F.col("doc_len"), avgdl)),
                            SCORE_DECIMALS).alias("score")))
     return _rank_scores(scored, k)
@@ -213,12 +213,6 @@ def _add_chunks(state: BestRows, scorer: TermScores, part: pa.Table, starts: np.
         state.add(heads["memory_id"].to_pylist(), heads["chunk_index"].to_pylist(), np.where(scores > 0, -scores, np.inf))
 
 
-def _salted(postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """Shuffle on (term, salt): a term found in a third of all chunks spreads over many tasks."""
-    left = postings.withColumn("_salt", salt_of(CHUNK, SALTS))
-    return left.join(with_every_salt(weights, SALTS), ["term", "_salt"]).drop("_salt")
-
-
 def bm25_per_haystack(questions: DataFrame, haystack: DataFrame, k: int) -> DataFrame:
     """BM25 where every question is its own corpus: df, N and average length are per question.
 

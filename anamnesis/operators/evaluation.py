@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from anamnesis.constants import REPORT_KS
 from anamnesis.operators.filters import is_abstention
 from anamnesis.operators.sizing import attach
+from anamnesis.session import cut_lineage
 
 METRIC_DECIMALS = 9
 
@@ -60,30 +63,66 @@ def eval_scopes(scores: DataFrame, ks: Sequence[int] = REPORT_KS) -> DataFrame:
             .drop("g"))
 
 
-def nearest_rank_percentile(rows: DataFrame, groups: Sequence[str], value: str, p: float) -> DataFrame:
-    """sorted[ceil(p*n/100) - 1] per group, exactly, without sorting a group in one task.
+@F.pandas_udf(T.LongType())
+def _ordered(values: pd.Series) -> pd.Series:
+    """Doubles as integers in the same order; both zeros are one, NaN is the greatest."""
+    given = values.to_numpy(np.float64) + 0.0
+    bits = np.where(np.isnan(given), np.nan, given).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+@F.pandas_udf(T.DoubleType())
+def _from_ordered(keys: pd.Series) -> pd.Series:
+    bits = keys.to_numpy(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64))
+
+
+#: Bits by which a selection narrows the values in one pass.
+SELECTION_BITS = 16
 
-    Equal values are counted first. A quantile sketch brackets the wanted rank, exact counts
-    below the bracket fix its offset, and only the distinct values inside it are ordered.
+
+def nearest_rank_percentiles(rows: DataFrame, groups: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
+    """(groups, p, percentile): sorted[ceil(p*n/100) - 1] of every group and p, exactly.
+
+    Values become 64-bit keys of the same order. Four passes narrow each wanted rank by 16 bits of
+    its key: a pass counts the rows per next 16 bits among those that share the bits found so far. No
+    group is sorted and no value is shuffled, only counts, at most 65,536 for a group and rank. Null values do
+    not count; groups without a value give no row.
     """
-    accuracy, margin = 10_000, 0.0005
-    present = rows.where(F.col(value).isNotNull())
-    low, high = max(0.0, p / 100 - margin), min(1.0, p / 100 + margin)
-    bounds = (present.groupBy(*groups)
-              .agg(F.count(F.lit(1)).alias("_n"),
-                   F.percentile_approx(value, [low, high], accuracy).alias("_b"))
-              .withColumn("_target", F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("_n")))))
-    counted = attach(present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")), bounds, list(groups),
-                     computed=True)
-    below = counted.groupBy(*groups).agg(
-        F.coalesce(F.sum(F.when(F.col(value) < F.col("_b")[0], F.col("_c"))), F.lit(0)).alias("_below"))
-    inside = attach(counted.where(F.col(value).between(F.col("_b")[0], F.col("_b")[1])), below, list(groups),
-                    computed=True)
-
-    running = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (inside.withColumn("_rank", F.col("_below") + F.sum("_c").over(running))
-            .where(F.col("_rank") >= F.col("_target"))
-            .groupBy(*groups).agg(F.min(value).alias("percentile")))
+    kind = rows.schema[value].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    key = F.col(value).cast("bigint") if whole else _ordered(F.col(value).cast("double"))
+    names = [f"_g{i}" for i in range(max(len(groups), 1))]
+    own = [F.col(g) for g in groups] or [F.lit(1)]
+    keyed = cut_lineage(rows.where(F.col(value).isNotNull()).select(*[g.alias(n) for g, n in zip(own, names)], key.alias("_key")))
+    totals = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    target = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_p") / 100 * F.col("_n")))
+    wanted = totals.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("_left", target).drop("_n")
+    here = [*names, "_p"]
+    for shift in range(64 - SELECTION_BITS, -1, -SELECTION_BITS):
+        bucket = F.shiftright("_key", shift).alias("_bucket")
+        if shift == 64 - SELECTION_BITS:
+            counts = keyed.groupBy(*names, bucket).agg(F.count(F.lit(1)).alias("_c"))
+            counts = counts.join(wanted, names)
+        else:
+            # Rows that share the bits found so far, of all ranks at once; equal prefixes are counted once.
+            open_ = cut_lineage(wanted)
+            prefixes = open_.select(*names, "_prefix").distinct()
+            inside = attach(keyed.withColumn("_prefix", F.shiftright("_key", shift + SELECTION_BITS)), prefixes,
+                            [*names, "_prefix"], "left_semi", computed=True)
+            counts = inside.groupBy(*names, "_prefix", bucket).agg(F.count(F.lit(1)).alias("_c")).join(
+                open_, [*names, "_prefix"]).drop("_prefix")
+        running = F.sum("_c").over(Window.partitionBy(*here).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+        reached = counts.withColumn("_sum", running).where(F.col("_sum") >= F.col("_left"))
+        first = reached.groupBy(*here).agg(F.min(F.struct("_bucket", (F.col("_left") - F.col("_sum") + F.col("_c")).alias("_rest"))).alias("_f"))
+        wanted = first.select(*here, F.col("_f._bucket").alias("_prefix"), F.col("_f._rest").alias("_left"))
+    found = F.col("_prefix") if whole else _from_ordered("_prefix")
+    return wanted.select(*[F.col(n).alias(g) for g, n in zip(groups, names)], F.col("_p").alias("p"), found.cast(kind).alias("percentile"))
+
+
+def nearest_rank_percentile(rows: DataFrame, groups: Sequence[str], value: str, p: float) -> DataFrame:
+    """(groups, percentile) for one p."""
+    return nearest_rank_percentiles(rows, groups, value, [p]).drop("p")
 
 
 def qa_accuracy(records: DataFrame) -> DataFrame:

@@ -51,14 +51,14 @@ def recall_rows(hits: DataFrame, chunks: DataFrame, memories: DataFrame, bounded
     """Attach chunk text, tags, conversation and chunk count; hits without a stored row drop out.
 
     `bounded` says that the query side was measured: hits are then at most queries x k narrow
-    rows, which are sent to the stored tables instead of shuffling the texts.
+    rows, which are sent to both stored tables. What is left of these, as many rows with texts, is
+    joined by a shuffle: texts are not broadcast.
     """
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if bounded else df
 
-    with_text = chunks.select("memory_id", "chunk_index", "text").join(
-        small(hits), ["memory_id", "chunk_index"])
-    return memories.select("memory_id", "conversation_id", "tags", "chunk_count").join(
-        small(with_text), "memory_id").select(
-        "query_id", "rank", "memory_id", "conversation_id", "tags", "text", "chunk_index", "chunk_count",
-        "distance")
+    with_text = chunks.select("memory_id", "chunk_index", "text").join(small(hits), ["memory_id", "chunk_index"])
+    about = memories.select("memory_id", "conversation_id", "tags", "chunk_count").join(
+        small(hits.select("memory_id").distinct()), "memory_id", "left_semi")
+    return about.join(with_text, "memory_id").select(
+        "query_id", "rank", "memory_id", "conversation_id", "tags", "text", "chunk_index", "chunk_count", "distance")

@@ -129,7 +129,7 @@ class EarliestNear:
         self.ids, self.orders, self.units, self.threshold = ids, orders, units, threshold
         self.near_order = np.full(len(ids), np.iinfo(np.int64).max, dtype=np.int64)
 
-    def add(self, orders: np.ndarray, units: np.ndarray) -> None:
+    def add(self, orders: np.ndarray, units: np.ndarray, ids: object = None) -> None:
         if not len(units):
             return
         near = distances(units, self.units) < self.threshold
@@ -143,3 +143,31 @@ class EarliestNear:
             "memory_id": pa.array([self.ids[i] for i in hit], pa.string()),
             "near_order": pa.array(self.near_order[hit], pa.int64()),
         })
+
+
+class NearestEarlier:
+    """For each row the nearest earlier-ordered other row within a distance, ties to the lowest id."""
+
+    def __init__(self, ids: list, orders: np.ndarray, units: np.ndarray, threshold: float):
+        self.ids, self.orders, self.units, self.threshold = ids, orders, units, threshold
+        self.best = np.full(len(ids), np.inf)
+        self.similar: list[str | None] = [None] * len(ids)
+
+    def add(self, orders: np.ndarray, units: np.ndarray, ids: pa.Array) -> None:
+        if not len(units):
+            return
+        apart = distances(units, self.units)
+        apart = np.where((apart < self.threshold) & (orders[:, None] < self.orders[None, :]), apart, np.inf)
+        least = apart.min(axis=0)
+        for row in np.flatnonzero(np.isfinite(least) & (least <= self.best)).tolist():
+            name = min(pc.take(ids, pa.array(np.flatnonzero(apart[:, row] == least[row]))).to_pylist())
+            if least[row] < self.best[row] or name < self.similar[row]:
+                self.best[row], self.similar[row] = least[row], name
+
+    def table(self) -> pa.Table:
+        hit = np.flatnonzero(np.isfinite(self.best))
+        return pa.table({
+            "memory_id": pa.array([self.ids[i] for i in hit], pa.string()),
+            "similar_id": pa.array([self.similar[i] for i in hit], pa.string()),
+            "similarity": pa.array(np.round(1 - self.best[hit], DISTANCE_DECIMALS), pa.float64()),
+        })

@@ -1,13 +1,13 @@
-"""Exhaustive literal and regex search of a batch of patterns in one scan of the texts."""
+"""Exhaustive literal and regex search of a table of patterns, a block of them in one scan of the texts."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anamnesis.constants import (
@@ -16,12 +16,17 @@ from anamnesis.constants import (
     SNIPPETS_PER_MEMORY,
     SNIPPETS_PER_PATTERN,
 )
-from anamnesis.functions import linear_regex
+from anamnesis.functions import linear_regex, many_literals
 from anamnesis.functions import matching as M
 from anamnesis.functions.core import is_row, rows_of
 from anamnesis.functions.text import ascii_lower, trigrams
 from anamnesis.operators.ranking import top_k
-from anamnesis.operators.sizing import attach, fits_broadcast, salted_join
+from anamnesis.operators.sizing import attach, fits_broadcast, measure, salt_of, salted_join
+
+
+#: A block of patterns that are tried in one scan of the texts.
+BLOCK_PATTERNS = 10_000
+BLOCK_BYTES = 16 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -33,13 +38,15 @@ class Pattern:
     context_chars: int = SNIPPET_CONTEXT
 
 
-def read_patterns(patterns: DataFrame) -> list[Pattern]:
-    """The search requests. They become one value of the plan, so their number must be modest."""
-    if not fits_broadcast(patterns, max_rows=10_000):
-        raise ValueError("too many patterns for one search job: split the request table")
-    columns = {"pattern_id", "pattern", "regex", "ignore_case", "context_chars"} & set(patterns.columns)
-    return sorted((Pattern(**r.asDict()) for r in patterns.select(*columns).toLocalIterator()),
-                  key=lambda p: p.pattern_id)
+def pattern_blocks(patterns: DataFrame, rows: int = BLOCK_PATTERNS, most_bytes: int = BLOCK_BYTES) -> Iterator[list[Pattern]]:
+    """The search requests in blocks of bounded size, each of which becomes one value of a plan."""
+    columns = [c for c in ("pattern_id", "pattern", "regex", "ignore_case", "context_chars") if c in patterns.columns]
+    asked = patterns.select(*columns)
+    count, size = measure(asked)
+    blocks = max(1, math.ceil(count / rows), math.ceil(size / most_bytes))
+    for block in range(blocks):
+        part = asked.where(salt_of(["pattern_id"], blocks) == block)
+        yield sorted((Pattern(**r.asDict()) for r in part.toLocalIterator()), key=lambda p: p.pattern_id)
 
 
 def regex_problem(pattern: Pattern) -> str | None:
@@ -78,41 +85,25 @@ def request_rows(patterns: Sequence[Pattern]) -> list[dict]:
 def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: DataFrame | None = None) -> DataFrame:
     """(pattern_id, memory_id, updated_at, matches), one row per pattern and matching memory.
 
-    The patterns are one constant of the plan, which does not grow with their number; every
-    text is read once for all literals and once, in Arrow batches, for all expressions, and only
-    matching pairs leave the row. `candidates` (memory_id, pattern_ids) limits which patterns are
-    tried on which memory; both sides of that join hold a memory_id once, so it is even.
+    The patterns are one value of the plan. Every text is walked once, in Arrow batches, for all
+    literals, and once for all expressions; only matching pairs leave the task. `candidates`
+    (memory_id, pattern_ids) limits which patterns are tried on which memory; both sides of that
+    join hold a memory_id once, so it is even.
     """
     rows = memories.select("memory_id", "updated_at", "text")
     if candidates is not None:
-        rows = rows.join(candidates, "memory_id")
-    literals, expressions = [p for p in patterns if not p.regex], [p for p in patterns if p.regex]
+        rows = rows.join(candidates, "memory_id").select("memory_id", "updated_at", "text", "pattern_ids")
+    schema = f"pattern_id string, memory_id string, updated_at {rows.schema['updated_at'].dataType.simpleString()}, matches bigint"
     parts = []
-    if literals or not expressions:
-        parts.append(_literal_hits(rows, literals, candidates is not None))
-    if expressions:
-        asked = [(p.pattern_id, p.pattern, p.ignore_case) for p in expressions]
-        schema = f"pattern_id string, memory_id string, updated_at {rows.schema['updated_at'].dataType.simpleString()}, matches bigint"
-        given = rows.select("memory_id", "updated_at", "text", *(["pattern_ids"] if candidates is not None else []))
-        parts.append(given.mapInArrow(linear_regex.hits_of(asked, candidates is not None), schema))
+    for module, asked in ((many_literals, [p for p in patterns if not p.regex]), (linear_regex, [p for p in patterns if p.regex])):
+        if asked:
+            given = [(p.pattern_id, p.pattern, p.ignore_case) for p in asked]
+            parts.append(rows.mapInArrow(module.hits_of(given, candidates is not None), schema))
+    if not parts:
+        return memories.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _literal_hits(rows: DataFrame, patterns: Sequence[Pattern], restricted: bool) -> DataFrame:
-    requests = F.from_json(F.lit(json.dumps(request_rows(patterns))), f"array<struct<{REQUEST}>>")
-    rows = rows.withColumn("lower", ascii_lower("text"))
-
-    def haystack(p: Column) -> Column:
-        return F.when(p["fold"], F.col("lower")).otherwise(F.col("text"))
-
-    tried = F.filter(requests, lambda p: F.array_contains("pattern_ids", p["pattern_id"])) if restricted else requests
-    occurring = F.filter(tried, lambda p: F.contains(haystack(p), p["needle"]))
-    found = rows.select("memory_id", "updated_at", "text", "lower", rows_of(occurring, "p")).where(is_row("p"))
-    count = M.literal_count(haystack(F.col("p")), F.col("p.needle"))
-    return found.select(F.col("p.pattern_id").alias("pattern_id"), "memory_id", "updated_at",
-                        count.cast("bigint").alias("matches"))
-
-
 def trigram_index(memories: DataFrame) -> DataFrame:
     """(trigram, memory_id), distinct by construction."""
     return memories.select(rows_of(trigrams("text"), "trigram"), "memory_id").where(is_row("trigram"))

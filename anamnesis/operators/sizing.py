@@ -1,8 +1,8 @@
 """Joins against a side whose size is measured first.
 
 A side is broadcast only after its rows and bytes were counted. A larger side is joined by a
-shuffle in which every key is spread over several salts, so that one hot key never becomes one
-task.
+shuffle in which a key with very many rows is spread over several salts, so that it never becomes
+one task; other keys are neither salted nor copied.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from anamnesis.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-SALTS = 16
+#: Rows of one key that one task should hold.
+HEAVY_ROWS = 1_000_000
 
 
 def value_bytes(column: Column, data_type: T.DataType) -> Column:
@@ -54,21 +55,34 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return rows <= max_rows and total <= max_bytes
 
 
-def salt_of(columns: Sequence[str | Column], salts: int) -> Column:
+def salt_of(columns: Sequence[str | Column], salts: int | Column) -> Column:
     """A salt taken from row content, so that a re-run task makes the same choice."""
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*columns), salts if isinstance(salts, Column) else F.lit(salts)).cast("int")
 
 
-def with_every_salt(df: DataFrame, salts: int) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def frequent_keys(left: DataFrame, on: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """(keys, _salts) of the keys with more than `heavy_rows` rows, each with the salts its size
+    needs. There are at most rows / heavy_rows of them; the counts are partial aggregates."""
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
+    return counts.select(*on, F.ceil(F.col("_n") / heavy_rows).cast("int").alias("_salts"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
-    """Shuffle join whose left rows spread each key over `salts` partitions."""
+                heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Shuffle join whose frequent left keys are spread over as many partitions as their size needs.
+
+    Only the right rows of these keys are copied; all others are joined as they are.
+    """
+    heavy = cut_lineage(frequent_keys(left, on, heavy_rows))
+    if heavy.isEmpty():
+        return left.join(right, list(on), how)
     keyed = [c for c in left.columns if not isinstance(left.schema[c].dataType, (T.MapType, T.VariantType))]
-    salted = left.withColumn("_salt", salt_of([F.col(f"`{c}`") for c in keyed], salts))
-    return salted.join(with_every_salt(right, salts), [*on, "_salt"], how).drop("_salt")
+    small = F.broadcast(heavy) if fits_broadcast(heavy) else heavy
+    spread = salt_of([F.col(f"`{c}`") for c in keyed], F.coalesce("_salts", F.lit(1)))
+    salted = left.join(small, list(on), "left").withColumn("_salt", spread).drop("_salts")
+    copies = right.join(small, list(on), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner",

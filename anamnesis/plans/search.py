@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from anamnesis.constants import SNIPPETS_PER_MEMORY, SNIPPETS_PER_PATTERN, TRIGRAM_SIZE
 from anamnesis.operators.filters import MetaFilter, meta_filter
 from anamnesis.operators.search import (
+    Pattern,
     classify,
     find_hits,
-    read_patterns,
+    pattern_blocks,
     search_snippets,
     search_totals,
     trigram_index,
@@ -28,22 +29,33 @@ HITS_SCHEMA = "pattern_id string, memory_id string, updated_at timestamp, matche
 
 def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None = None,
            searcher: str = "scan", index: StoredIndex | DataFrame | None = None, per_memory: int = SNIPPETS_PER_MEMORY,
-           per_pattern: int = SNIPPETS_PER_PATTERN) -> tuple[DataFrame, DataFrame]:
-    """(summary, snippets).
+           per_pattern: int = SNIPPETS_PER_PATTERN, with_snippets: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(summary, snippets), the latter None and not worked out unless `with_snippets`.
 
-    `scan` reads every text once for all patterns. `trigram` first narrows literals through
+    Patterns are answered in blocks (`pattern_blocks`). `scan` reads every text once for a block. `trigram` first narrows literals through
     the trigram index and then verifies, with the same answer; regular expressions and short
     literals are scanned. `index` is that of the store, or a table (trigram, memory_id). `none` disables search. Counts are of all matches; snippets are the first
     `per_memory` of a memory and `per_pattern` of a pattern.
     """
     if searcher not in SEARCHERS:
         raise ValueError(f"unknown searcher {searcher!r}")
-    spark = memories.sparkSession
-    requests = read_patterns(patterns)
-    early = classify(requests)
-    runnable = [p for p in requests if early[p.pattern_id] is None and searcher != "none"]
     texts = meta_filter(memories, wanted)
+    filtered_out = wanted is not None and wanted.active and texts.isEmpty()
+    summaries, snippets = [], []
+    for requests in pattern_blocks(patterns):
+        summary, hits, runnable = _search_block(requests, texts, filtered_out, searcher, index)
+        summaries.append(summary)
+        if with_snippets:
+            snippets.append(search_snippets(hits, texts, runnable, per_memory, per_pattern))
+    return reduce(DataFrame.unionByName, summaries), reduce(DataFrame.unionByName, snippets) if with_snippets else None
+
 
+def _search_block(requests: list[Pattern], texts: DataFrame, filtered_out: bool, searcher: str,
+                  index: StoredIndex | DataFrame | None) -> tuple[DataFrame, DataFrame, list[Pattern]]:
+    """(summary, hits, patterns that were tried)."""
+    spark = texts.sparkSession
+    early = classify(requests)
+    runnable = [p for p in requests if early[p.pattern_id] is None and searcher != "none" and not filtered_out]
     indexed = [p for p in runnable if searcher == "trigram" and not p.regex and len(p.pattern) >= TRIGRAM_SIZE]
     scanned = [p for p in runnable if p not in indexed]
     parts = [find_hits(texts, scanned)] if scanned else []
@@ -59,11 +71,8 @@ def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None =
     # Totals and snippets both read the hits, which are found once.
     hits = cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else spark.createDataFrame([], HITS_SCHEMA)
 
-    filtered_out = F.lit(False)
-    if wanted is not None and wanted.active:
-        filtered_out = texts.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
     status = (F.when(F.col("early").isin("empty-query", "short-query"), F.col("early"))
-              .when(filtered_out, "no-candidates")
+              .when(F.lit(filtered_out), "no-candidates")
               .when(F.col("early").isNotNull(), F.col("early"))
               .when(F.coalesce("total_matches", F.lit(0)) == 0, "no-matches")
               .otherwise("ok"))
@@ -72,4 +81,4 @@ def search(patterns: DataFrame, memories: DataFrame, wanted: MetaFilter | None =
         "pattern_id", status.alias("status"),
         F.coalesce("total_matches", F.lit(0)).alias("total_matches"),
         F.coalesce("total_memories", F.lit(0)).alias("total_memories"))
-    return summary, search_snippets(hits, texts, runnable, per_memory, per_pattern)
+    return summary, hits, runnable

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from anamnesis.operators.changes import (
     unknown_ids,
     without_ids,
 )
-from anamnesis.operators.dedup import near_duplicate_join
+from anamnesis.operators.dedup import near_duplicate_join, nearest_before
 from anamnesis.operators.embedding import Embedder, embed_distinct
 from anamnesis.operators.filters import carries_reserved, require_valid_ids, reserved_holder
 from anamnesis.operators.sizing import attach
@@ -112,32 +113,16 @@ def ingest_preview(turns: DataFrame) -> DataFrame:
 def write_batch(rows: DataFrame, memories: DataFrame, chunks: DataFrame, embedder: Embedder, now: Column) -> Change:
     """Admit new memories (memory_id, text or chunks, tags, input_order).
 
-    The report gives each row's outcome: accepted, empty, reserved or duplicate, with the
-    similar memory where one is stored.
+    The report gives each row's outcome: accepted, empty, reserved or duplicate, with the nearest
+    memory that was there before it.
     """
     judged = cut_lineage(split_pieces(rows).withColumn("claims", carries_reserved()))
     vectors = cut_lineage(embed_distinct(chunk_rows(judged), embedder))
     firsts = cut_lineage(vectors.where("chunk_index = 0").select("memory_id", "vector").join(
         judged.select("memory_id", "input_order", "claims"), "memory_id"))
     held = reserved_holder(memories).first()[0] is not None
-    # One row may claim the reserved tag: the first that is neither empty nor a near duplicate. A
-    # claimant that turns out a duplicate leaves the tag to the next one, which is tried in turn.
-    tried = F.lit(-1).cast("bigint")
-    while True:
-        claimant = None if held else firsts.where(F.col("claims") & (F.col("input_order") > tried)) \
-            .agg(F.min("input_order")).first()[0]
-        allowed = ~F.col("claims") | (F.col("input_order") <= F.lit(claimant if claimant is not None else -1))
-        if claimant is None and not held:
-            allowed = F.lit(True)
-        taking = firsts.where(allowed)
-        admitted = cut_lineage(near_duplicate_join(taking, chunks, vectors))
-        if claimant is None:
-            break
-        none_accepted = taking.where(F.col("claims")).join(admitted.where("accepted"), "memory_id", "left_semi").isEmpty()
-        if not none_accepted:
-            break
-        tried = F.lit(claimant)
-    reserved = firsts.where(~allowed).select("memory_id", F.lit(True).alias("refused"))
+    admitted, refused = _admit_with_claims(firsts, chunks, vectors, held)
+    reserved = refused.select("memory_id", F.lit(True).alias("refused"))
     early = F.when(F.size("pieces") == 0, "empty").when(F.col("refused"), "reserved")
     marked = judged.join(reserved, "memory_id", "left").withColumn("early", early).drop("refused", "claims")
     outcome = F.coalesce("early", F.when(F.col("accepted"), "accepted").otherwise("duplicate"))
@@ -149,23 +134,50 @@ def write_batch(rows: DataFrame, memories: DataFrame, chunks: DataFrame, embedde
     return Change(memory_rows(accepted), embed_distinct(chunk_rows(accepted), embedder), None, report)
 
 
+def _admit_with_claims(firsts: DataFrame, chunks: DataFrame, vectors: DataFrame, held: bool) -> tuple[DataFrame, DataFrame]:
+    """(admitted, claimants refused). The reserved tag goes to the first claimant that is no duplicate;
+    claimants before it are duplicates, those behind it are refused and stand in nobody's way.
+
+    Until a claimant is accepted, none takes part in admission. So one admission of the other rows
+    tells which claimant is the first to be near no accepted row; a second one, with it, is needed only
+    where it is near a later row. Two admissions do, whatever the number of claimants.
+    """
+    plain, claimants = firsts.where(~F.col("claims")), firsts.where("claims")
+    admitted = cut_lineage(near_duplicate_join(plain, chunks, vectors))
+    if held or claimants.isEmpty():
+        return admitted, claimants
+    taken = plain.join(admitted.where("accepted"), "memory_id", "left_semi")
+    near = nearest_before(claimants, chunks, taken, vectors)
+    winner = cut_lineage(claimants.join(near.select("memory_id"), "memory_id", "left_anti")
+                         .orderBy("input_order").limit(1))
+    first = winner.first()
+    if first is None:  # every claimant is a duplicate
+        return admitted.unionByName(near.withColumn("accepted", F.lit(False))), claimants.limit(0)
+    earlier = F.col("input_order") < F.lit(first.input_order)
+    duplicates = near.join(claimants.where(earlier).select("memory_id"), "memory_id", "left_semi")
+    behind = plain.where(F.col("input_order") > F.lit(first.input_order))
+    if not nearest_before(behind, None, winner, vectors).isEmpty():
+        with_winner = firsts.where(~F.col("claims") | (F.col("memory_id") == F.lit(first.memory_id)))
+        admitted = near_duplicate_join(with_winner, chunks, vectors)
+    else:
+        admitted = admitted.unionByName(winner.select("memory_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias(
+            "similar_id"), F.lit(None).cast("double").alias("similarity")))
+    refused = claimants.where(F.col("input_order") > F.lit(first.input_order))
+    return admitted.unionByName(duplicates.withColumn("accepted", F.lit(False))), refused
+
+
 def update_batch(updates: DataFrame, memories: DataFrame, now: Column, embedder: Embedder | None = None) -> Change:
-    """Conditional update (memory_id, text, tags, etag, update_order).
+    """Conditional updates (memory_id, text, tags, etag, update_order), as if taken one after another.
 
-    Applied where the etag is current; the report lists the rest by reason. Creation time,
-    conversation and parent stay; text is split again and embedded again.
+    An update is refused, in this order of reasons: `reserved` where another memory holds the
+    reserved tag that it claims, `missing`, `empty`, or `stale` where its etag is no longer that of the
+    memory. Creation time, conversation and parent stay; text is split again and embedded again.
     """
-    blank = is_blank("text")
-    # Who claims the reserved tag first is decided among the updates that would apply.
-    would_apply, _ = resolve_updates(updates.where(~blank), memories)
-    winner = would_apply.where(carries_reserved()).agg(
-        F.min_by("memory_id", F.struct("update_order", "memory_id"))).first()[0]
-    holder = reserved_holder(memories).first()[0]
-    allowed = ~carries_reserved() | F.coalesce(F.col("memory_id") == F.lit(winner if holder is None else holder), F.lit(False))
-    usable = updates.where(~blank & allowed)
-    refused = updates.where(blank | ~allowed).select(
-        "memory_id", "update_order", F.when(allowed, "empty").otherwise("reserved").alias("reason"))
-    applicable, stale = resolve_updates(usable, memories)
+    judged = cut_lineage(_judge_claims(updates, memories))
+    sound = ~is_blank("text")
+    applicable, stale = resolve_updates(judged.where(F.col("_allowed") & sound).drop("_allowed", "_stored", "_current"), memories)
+    reason = F.when(~F.col("_allowed"), "reserved").when(F.col("_stored").isNull(), "missing").otherwise("empty")
+    refused = judged.where(~F.col("_allowed") | ~sound).select("memory_id", "update_order", reason.alias("reason"))
     touched = attach(memories, applicable.select("memory_id"), "memory_id", "left_semi", even=True)
     changed = split_pieces(apply_updates(applicable, touched, now))
     pieces = chunk_rows(changed)
@@ -173,6 +185,76 @@ def update_batch(updates: DataFrame, memories: DataFrame, now: Column, embedder:
                   applicable.select("memory_id"), stale.unionByName(refused))
 
 
+def _judge_claims(updates: DataFrame, memories: DataFrame) -> DataFrame:
+    """Updates with `_allowed`: false where an update claims the reserved tag while another memory
+    holds it. The holder is the lowest id that carries the tag at that moment.
+
+    Stored carriers leave the tag as their updates come up (`_release_spans`). While one is left, a claim
+    goes through on the lowest of them only. From then on the first claim that applies takes the tag
+    for the rest of the batch, as its memory's etag has changed.
+    """
+    stored = memories.select("memory_id", F.col("etag").alias("_stored"), carries_reserved().alias("_carrier"))
+    known = cut_lineage(updates.join(stored, "memory_id", "left").withColumn(
+        "_current", F.coalesce(F.col("_stored") == F.col("etag"), F.lit(False))))
+    claims, at = carries_reserved(), F.struct(F.col("update_order").cast("bigint").alias("update_order"), "memory_id")
+    effective = F.col("_current") & ~is_blank("text")
+    spans, free_from = _release_spans(known.where(F.col("_carrier") & effective), memories)
+    allowed = ~claims
+    for holder, since, until in spans:  # carriers that are lowest at some moment: one, where the rule was kept
+        allowed = allowed | ((F.col("memory_id") == F.lit(holder)) & (at > _moment(since)) & (at <= _moment(until)))
+    if free_from is not None:
+        free = at > _moment(free_from)
+        # A memory whose own plain update comes first has another etag when its claim comes up.
+        plain = known.where(effective & ~claims).groupBy("memory_id").agg(F.min("update_order").alias("_plain"))
+        could = known.where(effective & claims & free & ~F.coalesce("_carrier", F.lit(False))).join(plain, "memory_id", "left") \
+            .where(F.col("_plain").isNull() | (F.col("update_order") < F.col("_plain")))
+        winner = could.agg(F.min(at).alias("at")).first()["at"]
+        if winner is None:
+            allowed = allowed | free
+        else:
+            taken = _moment((winner.update_order, winner.memory_id))
+            allowed = allowed | (free & (at <= taken)) | ((at > taken) & (F.col("memory_id") == F.lit(winner.memory_id)))
+    return known.withColumn("_allowed", F.coalesce(allowed, F.lit(False))).drop("_carrier")
+
+
+_BEFORE_ALL, _NEVER = (-(1 << 62), ""), ((1 << 62), "")
+
+
+def _moment(at: tuple[int, str]) -> Column:
+    return F.struct(F.lit(at[0]).cast("bigint").alias("update_order"), F.lit(at[1]).alias("memory_id"))
+
+
+def _release_spans(effective: DataFrame, memories: DataFrame) -> tuple[list[tuple[str, tuple, tuple]], tuple | None]:
+    """(id, since, until) of the stored carriers from the lowest on, while each is the lowest that is
+    left; and the moment from which none is left, or None if one keeps the tag.
+
+    `effective` holds the carriers' updates with the current etag and a text. They are read in order
+    of id, one carrier at a time, up to the first that keeps the tag; a store in which the rule was kept
+    has one carrier.
+    """
+    lets_go = F.col("tags").isNotNull() & ~carries_reserved()
+    keeper = memories.where(carries_reserved()).select("memory_id") \
+        .join(effective.where(lets_go).select("memory_id").distinct(), "memory_id", "left_anti").agg(F.min("memory_id")).first()[0]
+    rows = effective if keeper is None else effective.where(F.col("memory_id") < F.lit(keeper))
+    ordered = rows.select("memory_id", "update_order", carries_reserved().alias("claims"), lets_go.alias("lets_go")) \
+        .orderBy("memory_id", "update_order")
+    spans, since = [], _BEFORE_ALL
+    for holder, own in groupby(ordered.toLocalIterator(), key=lambda r: r.memory_id):
+        until = _NEVER
+        for update in own:
+            at = (update.update_order, holder)
+            if not update.claims or at > since:  # a claim is refused while a lower carrier is left
+                until = at if update.lets_go else _NEVER
+                break
+        spans.append((holder, since, until))
+        since = max(since, until)
+        if until == _NEVER:
+            return spans, None
+    if keeper is not None:
+        return [*spans, (keeper, since, _NEVER)], None
+    return spans, since
+
+
 def delete_batch(ids: DataFrame, memories: DataFrame, chunks: DataFrame) -> Change:
     """Remove memories with everything derived from them; the report lists unknown ids."""
     known = ids.select("memory_id").distinct().join(memories.select("memory_id"), "memory_id", "left_semi")

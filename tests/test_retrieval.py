@@ -149,6 +149,18 @@ def test_attach_is_the_same_when_salted(spark, rows, monkeypatch):
         assert rows(sizing.attach(left, right, "k", how, max_bytes=0)) == small
         assert rows(sizing.attach(left, right, "k", how, max_bytes=0, even=True)) == small
         assert rows(sizing.attach(left, right, "k", how, computed=True)) == small
+        assert rows(sizing.salted_join(left, right, ["k"], how, heavy_rows=20)) == small
+
+
+def test_only_frequent_keys_are_salted(spark):
+    left = spark.range(300).select(F.when(F.col("id") < 150, 0).otherwise(F.col("id")).alias("k"), "id")
+    heavy = sizing.frequent_keys(left, ["k"], 40)
+    assert [tuple(r) for r in heavy.collect()] == [(0, 4)]
+    right = spark.range(300).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    joined = sizing.salted_join(left, right, ["k"], heavy_rows=40)
+    assert joined.count() == 300 and joined.where("k = 0").count() == 150
+    copies = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert copies.count("Generate explode") == 1  # right rows only, and one copy where a key is not frequent
 
 
 def leg(spark, data):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from anamnesis.functions import text as T
 from anamnesis.functions.chunking import chunk_text, split_long
 from anamnesis.functions.ids import is_valid_id, to_uuid
-from anamnesis.functions.linear_regex import ranges
+from anamnesis.functions import many_literals
+from anamnesis.functions.linear_regex import match_counts, ranges
+from anamnesis.functions.many_literals import fold
 from anamnesis.functions.matching import literal_count, match_ranges, quote_literal, snippet
 from anamnesis.functions.times import end_of_day, from_epoch_ms, from_iso, parse_chat_timestamp
 from anamnesis.functions.vectors import cosine_distance
@@ -95,6 +98,30 @@ def test_regex_matches_and_limits(pattern):
     assert ranges(None, pattern, False) is None
 
 
+@pytest.mark.parametrize("pattern", ["^v[0-9]", r"\bfoo", "(?m)^a", "a|^b", "x*", "$", r"\b", "(a)|(b)$", "é+|^", "[ab]"])
+@pytest.mark.parametrize("fold", [False, True])
+def test_regex_counts_are_the_number_of_ranges(pattern, fold):
+    texts = ["v1v2v3", "foofoo foo", "aa\na", "abb", "", "axxb", "ééa ÉÉ", chr(0xFDD0) + "b", "A B\nab"]
+    counts = match_counts(pa.array(texts), pattern, fold).to_pylist()
+    assert counts == [len(ranges(t, pattern, fold)) for t in texts]
+    assert [match_counts(pa.array([t]), p, False)[0].as_py() for t, p in (("v1v2v3", "^v[0-9]"), ("foofoo", r"\bfoo"), ("aa\na", "(?m)^a"),
+                                                                         ("abb", "a|^b"))] == [1, 1, 2, 1]
+
+
+def test_many_literals_in_one_walk():
+    texts = ["The cat, the THE", None, "", "aaaa", "éthe É", "abcabcab"]
+    asked = [("a", "the", True), ("b", "THE", False), ("c", "aa", True), ("d", "abcab", True), ("e", "É", True), ("f", "the", True),
+             ("g", "é", True), ("h", "bca", False)]
+    want = {(p, i, n) for p, literal, folded in asked for i, t in enumerate(texts) if t
+            for n in [(fold(t).count(fold(literal)) if folded else t.count(literal))] if n}
+    ids = pa.array([str(i) for i in range(len(texts))])
+    for restricted in (False, True):
+        columns = [ids, ids, pa.array(texts)] + ([pa.array([[a[0] for a in asked] + ["other"]] * len(texts))] if restricted else [])
+        batch = pa.RecordBatch.from_arrays(columns, ["m", "u", "t", "p"][:len(columns)])
+        made = [r for out in many_literals.hits_of(asked, restricted)(iter([batch])) for r in out.to_pylist()]
+        assert {(r["pattern_id"], int(r["memory_id"]), r["matches"]) for r in made} == want and len(made) == len(want)
+
+
 def test_regex_case_and_dot():
     assert len(starts("ÉTÉ été", "été", True)) == 2
     assert (len(starts("a\nb", "a.b")), len(starts("a b", "a.b"))) == (0, 1)

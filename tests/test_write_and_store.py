@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from anamnesis.operators.changes import snapshot_diff
 from anamnesis.operators.embedding import HashedEmbedder
-from anamnesis.operators.evaluation import nearest_rank_percentile, seeded_sample
+from anamnesis.operators.evaluation import nearest_rank_percentile, nearest_rank_percentiles, seeded_sample
 from anamnesis.operators.filters import require_valid_ids
 from anamnesis.operators.listing import conversation_entries, list_ranked
 from anamnesis.plans import write as P
@@ -255,6 +256,11 @@ def test_percentiles_and_sample(spark):
     df = spark.createDataFrame(data, "g string, v double")
     for p, want in ((50, {"a": 5.0, "b": 7.0, "c": 3.5}), (95, {"a": 10.0, "b": 7.0, "c": 3.5}), (10, {"a": 1.0, "b": 1.0, "c": 3.5})):
         assert {r["g"]: r["percentile"] for r in nearest_rank_percentile(df, ["g"], "v", p).collect()} == want
+    both = nearest_rank_percentiles(df.withColumn("v", F.col("v") - 5), ["g"], "v", [10, 50]).collect()
+    assert {(r.g, r.p, r.percentile) for r in both} == {("a", 10, -4.0), ("a", 50, 0.0), ("b", 10, -4.0), ("b", 50, 2.0),
+                                                        ("c", 10, -1.5), ("c", 50, -1.5)}
+    whole = nearest_rank_percentiles(spark.range(-50, 51), [], "id", [1, 50, 100]).collect()
+    assert {(r.p, r.percentile) for r in whole} == {(1, -49), (50, 0), (100, 50)}
     ids = spark.range(50)
     one, two = ({r["id"] for r in seeded_sample(ids, "id", 10, s).collect()} for s in (1, 1))
     assert one == two and len(one) == 10 and seeded_sample(ids, "id", 99, 1).count() == 50
@@ -292,3 +298,60 @@ def test_the_tag_goes_to_the_first_claimant_that_is_written(spark, store):
     assert {r.memory_id: (r.outcome, r.similar_id) for r in report} == {
         "a": ("accepted", None), "b": ("duplicate", "a"), "c": ("empty", None), "d": ("duplicate", "a"),
         "e": ("accepted", None), "f": ("reserved", None), "g": ("duplicate", "e")}
+
+
+def updates_one_by_one(updates, tags, etags):
+    """The rule as a loop: {order: reason or 'applied'}."""
+    carriers, current, out = {m for m, t in tags.items() if "_index" in t}, dict(etags), {}
+    for memory_id, text, new_tags, etag, order in sorted(updates, key=lambda u: (u[4], u[0])):
+        holder = min(carriers, default=None)
+        if "_index" in (new_tags or []) and holder not in (None, memory_id):
+            out[order] = "reserved"
+        elif memory_id not in current:
+            out[order] = "missing"
+        elif not text.strip():
+            out[order] = "empty"
+        elif current[memory_id] != etag:
+            out[order] = "stale"
+        else:
+            out[order], current[memory_id] = "applied", None
+            if new_tags is not None:
+                carriers = carriers | {memory_id} if "_index" in new_tags else carriers - {memory_id}
+    return out
+
+
+@pytest.mark.parametrize("carriers", [0, 1, 3])
+def test_updates_follow_a_plain_loop(spark, carriers):
+    rng = random.Random(carriers)
+    tags = {uid(i): ["_index"] if i < carriers else ["a"] for i in range(8)}
+    etags = {m: f"e{m[-2:]}" for m in tags}
+    memories = spark.createDataFrame(
+        [(m, None, None, None, t, "old", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), 1, etags[m]) for m, t in tags.items()],
+        "memory_id string, conversation_id string, parent_id string, turn_index bigint, tags array<string>, text string, "
+        "created_at timestamp, updated_at timestamp, chunk_count int, etag string")
+    schema = "memory_id string, text string, tags array<string>, etag string, update_order bigint"
+    batches = [[(uid(rng.choice((0, 0, 1, 2, 3, 4, 5, 9))), rng.choice(("new", "new", "new", " ")),
+                 rng.choice((None, [], ["b"], ["_index"], ["_index", "c"])), None, order) for order in range(30)] for _ in range(2)]
+    # A release, then a claim; a claim with an old etag before one that applies.
+    batches.append([(uid(0), "x", [], None, 1), (uid(5), "x", ["_index"], None, 2), (uid(6), "x", ["_index"], None, 3)])
+    for batch in batches:
+        updates = [(m, text, t, etags.get(m, "e") if rng.random() < 0.8 else "old", order) for m, text, t, _, order in batch]
+        change = P.update_batch(spark.createDataFrame(updates, schema), memories, now())
+        got = {r.update_order: r.reason for r in change.report.collect()}
+        want = updates_one_by_one(updates, tags, etags)
+        assert got == {order: reason for order, reason in want.items() if reason != "applied"}
+        by_order = {u[4]: u[0] for u in updates}
+        assert sorted(r.memory_id for r in change.gone.collect()) == sorted(by_order[o] for o, r in want.items() if r == "applied")
+
+
+def test_an_accepted_claimant_blocks_rows_behind_it(spark, store):
+    """Claimants that are duplicates come first; the one that is accepted rejects a later row."""
+    schema = "memory_id string, text string, tags array<string>, input_order bigint"
+    rows = [("a", "steam engines roar", None, 1), ("z", "green apples fall", None, 9), ("y", "green apples fall", None, 8)]
+    rows += [(f"c{i}", "steam engines roar", ["_index"], 2 + i) for i in range(4)] + [("w", "green apples fall", ["_index"], 7)]
+    rows += [("v", "green apples fall", ["_index"], 10)]
+    report = P.write_batch(spark.createDataFrame(rows, schema), store.read("memories").limit(0), store.read("chunks").limit(0),
+                           EMB, now()).report.collect()
+    assert {r.memory_id: (r.outcome, r.similar_id, r.similarity) for r in report} == {
+        "a": ("accepted", None, None), "w": ("accepted", None, None), "v": ("reserved", None, None),
+        "y": ("duplicate", "w", 1.0), "z": ("duplicate", "w", 1.0), **{f"c{i}": ("duplicate", "a", 1.0) for i in range(4)}}

@@ -6,7 +6,7 @@ import importlib
 
 from workload.registry import ENTRIES, Entry
 
-MODULES = ("retrieval", "tables", "text", "search", "changes", "evaluation", "sealed", "streams")
+MODULES = ("retrieval", "tables", "text", "search", "changes", "evaluation", "sealed", "streams", "stored")
 
 
 def all_entries() -> dict[str, Entry]:

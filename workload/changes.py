@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anamnesis.constants import RESERVED_TAG
 from anamnesis.functions.core import iso_millis
 from anamnesis.functions.ids import content_etag
 from anamnesis.operators import changes as C
@@ -297,22 +298,100 @@ def near_stored_all(spark: SparkSession, sf: str) -> DataFrame:
     return near_stored(*arriving_and_stored(spark, sf))
 
 
-@query("near_duplicate_join")
+NEAREST = f"""
+  near AS (SELECT b.o, list(DISTINCT a.o) AS earlier FROM pieces a JOIN firsts b ON a.o < b.o AND {Q.distance('a.v', 'b.v')} < 0.08 GROUP BY 1),
+  held AS (SELECT DISTINCT o FROM firsts CROSS JOIN store s WHERE {Q.distance('firsts.v', 's.v')} < 0.08),
+  steps AS (SELECT f.memory_id, f.o, f.claims, f.o IN (SELECT o FROM held) AS stored_near, coalesce(near.earlier, []) AS earlier,
+      row_number() OVER (ORDER BY f.o) AS i FROM firsts f LEFT JOIN near USING (o)),
+  fold AS (
+    SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, false AS taken, NULL::BIGINT AS o, NULL::VARCHAR AS outcome
+    UNION ALL
+    SELECT s.i, CASE WHEN (s.claims AND taken) OR s.stored_near OR list_has_any(kept, s.earlier) THEN kept ELSE list_append(kept, s.o) END,
+      taken OR (s.claims AND NOT s.stored_near AND NOT list_has_any(kept, s.earlier)), s.o,
+      CASE WHEN s.claims AND taken THEN 'reserved' WHEN s.stored_near OR list_has_any(kept, s.earlier) THEN 'duplicate' ELSE 'accepted' END
+    FROM fold JOIN steps s ON s.i = fold.i + 1),
+  there AS (SELECT s.memory_id, -1 AS o, s.v FROM store s
+    UNION ALL SELECT p.memory_id, p.o, p.v FROM pieces p JOIN fold USING (o) WHERE outcome = 'accepted'),
+  alike AS (SELECT f.o, t.memory_id AS similar_id, round(1 - {Q.distance('f.v', 't.v')}, 6) AS similarity
+    FROM firsts f JOIN fold USING (o) JOIN there t ON t.o < f.o WHERE outcome = 'duplicate'
+    QUALIFY row_number() OVER (PARTITION BY f.o ORDER BY {Q.distance('f.v', 't.v')}, t.memory_id) = 1)"""
+
+
+@query("near_duplicate_join",
+       f"""WITH RECURSIVE {SPLIT_DOCS},
+       firsts AS (SELECT query_id AS memory_id, doc_id AS o, v, false AS claims FROM arriving JOIN docs ON memory_id = query_id),
+       pieces AS (SELECT memory_id, o, v FROM firsts), {NEAREST}
+       SELECT memory_id, outcome = 'accepted' AS accepted, similar_id, similarity FROM firsts JOIN fold USING (o) LEFT JOIN alike USING (o)""")
 def near_duplicate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule as SQL states it: one row after another, each against what was kept before it."""
     return near_duplicate_join(*arriving_and_stored(spark, sf))
 
 
-@query("write_batch")
+ARRIVING_CHUNKS = CHUNK_SQL.replace(
+    f"SELECT {Q.DOC} AS memory_id, text FROM documents",
+    f"SELECT {Q.DOC} AS memory_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+
+
+@query("write_batch",
+       f"""{ARRIVING_CHUNKS}, {Q.DOCS}, {Q.embedded('docs', 'memory_id', 'text', 'dv')},
+       store AS (SELECT dv.* FROM dv JOIN docs USING (memory_id) WHERE quality IS NOT NULL),
+       parts AS (SELECT memory_id||'#'||chunk_index AS part_id, memory_id, chunk_index, text FROM chunked),
+       {Q.embedded('parts', 'part_id', 'text', 'pv')},
+       pieces AS (SELECT parts.memory_id, chunk_index, doc_id AS o, pv.v, lang = 'fr' AS claims FROM parts JOIN pv USING (part_id) JOIN docs USING (memory_id)),
+       firsts AS (SELECT memory_id, o, v, claims FROM pieces WHERE chunk_index = 0), {NEAREST}
+       SELECT memory_id, coalesce(outcome, 'empty') AS outcome, similar_id, similarity
+       FROM d LEFT JOIN firsts USING (memory_id) LEFT JOIN fold USING (o) LEFT JOIN alike USING (o)""")
 def write_batch_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Unlabelled documents are written to a store of the labelled ones."""
+    """Unlabelled documents are written to a store of the labelled ones; French ones claim the reserved tag."""
     arriving, stored = arriving_and_stored(spark, sf)
     docs = document_rows(spark, sf)
     rows = docs.join(arriving.select("memory_id", "input_order"), "memory_id").select(
-        "memory_id", "text", "tags", "input_order")
+        "memory_id", "text", F.when(F.array_contains("tags", "lang:fr"), F.array(F.lit(RESERVED_TAG))).alias("tags"), "input_order")
     memories = docs.join(stored.select("memory_id"), "memory_id", "left_semi")
     return P.write_batch(rows, memories, stored, EMBEDDER, now()).report
 
 
+@query("update_claims",
+       f"""WITH RECURSIVE {Q.DOCS}, lowest AS (SELECT min(memory_id) AS h FROM docs WHERE toxic = 1),
+       ups AS (SELECT memory_id, doc_id AS o, toxic = 1 AND memory_id <> h AS claims, memory_id = h AS releases,
+           quality = 1 OR memory_id = h AS current, false AS blank FROM docs, lowest WHERE quality IS NOT NULL
+         UNION ALL SELECT memory_id, 1000000 + doc_id, true, false, true, lang = 'fr' FROM docs WHERE toxic = 1
+         UNION ALL SELECT memory_id, 2000000 + turn, false, false, false, false FROM ({f"WITH {Q.TURNS} SELECT * FROM turns WHERE role = 'system'"})),
+       steps AS (SELECT *, row_number() OVER (ORDER BY o, memory_id) AS i FROM ups),
+       fold AS (
+         SELECT 0::BIGINT AS i, h AS holder, []::VARCHAR[] AS spent, NULL::VARCHAR AS memory_id, NULL::BIGINT AS o, NULL::VARCHAR AS reason FROM lowest
+         UNION ALL
+         SELECT i, CASE WHEN reason = 'applied' AND claims THEN memory_id WHEN reason = 'applied' AND releases AND holder = memory_id THEN NULL ELSE holder END,
+           CASE WHEN reason = 'applied' THEN list_append(spent, memory_id) ELSE spent END, memory_id, o, reason
+         FROM (SELECT s.i, f.holder, f.spent, s.memory_id, s.o, s.claims, s.releases,
+             CASE WHEN s.claims AND f.holder IS NOT NULL AND f.holder <> s.memory_id THEN 'reserved' WHEN s.o >= 2000000 THEN 'missing'
+               WHEN s.blank THEN 'empty' WHEN NOT s.current OR list_contains(f.spent, s.memory_id) THEN 'stale' ELSE 'applied' END AS reason
+           FROM fold f JOIN steps s ON s.i = f.i + 1))
+       SELECT memory_id, CASE WHEN reason = 'applied' THEN -1 ELSE o END AS update_order, reason FROM fold WHERE i > 0""")
+def update_claims_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxic documents claim the reserved tag, in vain until its holder lets it go, and again later."""
+    stored = stored_documents(spark, sf)
+    flags = labelled(spark, sf).join(W.document_memories(spark, sf).select("memory_id", "doc_id", F.array_contains(
+        "tags", "lang:fr").alias("french")), "memory_id")
+    holder = flags.where("toxic = 1").agg(F.min("memory_id")).first()[0]
+    tag, holds = F.array(F.lit(RESERVED_TAG)), F.col("memory_id") == F.lit(holder)
+    memories = stored.withColumn("tags", F.when(holds, tag).otherwise(F.col("tags")))
+    known = flags.join(stored.select("memory_id", "text", "etag"), "memory_id")
+    first = known.select(
+        "memory_id", "text", F.when(holds, F.array(F.lit("released"))).when(F.col("toxic") == 1, tag).alias("tags"),
+        F.when((F.col("quality") == 1) | holds, F.col("etag")).otherwise(F.lit("old")).alias("etag"),
+        F.col("doc_id").cast("bigint").alias("update_order"))
+    later = known.where("toxic = 1").select(
+        "memory_id", F.when(F.col("french"), F.lit(" ")).otherwise(F.col("text")).alias("text"), tag.alias("tags"), "etag",
+        (F.col("doc_id") + 1_000_000).cast("bigint").alias("update_order"))
+    missing = W.turns(spark, sf).where("role = 'system'").select(
+        "memory_id", "text", F.lit(None).cast("array<string>").alias("tags"), F.lit("none").alias("etag"),
+        (F.col("turn_index") + 2_000_000).cast("bigint").alias("update_order"))
+    change = P.update_batch(first.unionByName(later).unionByName(missing), memories, now())
+    applied = change.gone.select("memory_id", F.lit(-1).cast("bigint").alias("update_order"), F.lit("applied").alias("reason"))
+    return change.report.select(*applied.columns).unionByName(applied)
+
+
 @query("embedding_plan",
        """WITH d AS (SELECT DISTINCT sha256(text) AS h FROM documents),
        c AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id))

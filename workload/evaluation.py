@@ -78,9 +78,9 @@ def eval_scopes_all(spark: SparkSession, sf: str) -> DataFrame:
        """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1""")
 def percentile_all(spark: SparkSession, sf: str) -> DataFrame:
     events = W.load(spark, sf, "events")
-    p50 = E.nearest_rank_percentile(events, ["event_type"], "value", 50).withColumnRenamed("percentile", "p50")
-    p95 = E.nearest_rank_percentile(events, ["event_type"], "value", 95).withColumnRenamed("percentile", "p95")
-    return p50.join(p95, "event_type")
+    found = E.nearest_rank_percentiles(events, ["event_type"], "value", [50, 95])
+    return found.groupBy("event_type").agg(F.max(F.when(F.col("p") == 50, F.col("percentile"))).alias("p50"),
+                                           F.max(F.when(F.col("p") == 95, F.col("percentile"))).alias("p95"))
 
 
 def label_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,29 +13,40 @@ from workload import sqltext as Q
 from workload.registry import query
 from workload.text import ALPHABETS
 
-LITERALS = "pats AS (SELECT 'b'||item_id AS pattern_id, lower(regexp_extract(text, '[A-Za-z]+')) AS p FROM benchmark)"
+LITERALS = f"""pats AS (SELECT 'b'||item_id AS pattern_id, translate(text, {ALPHABETS}) AS p FROM benchmark
+  UNION ALL SELECT 'w'||item_id, translate(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1), {ALPHABETS}) FROM benchmark)"""
 FOLDED = f"f AS (SELECT *, translate(text, {ALPHABETS}) AS low FROM docs)"
 
 
 def literal_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """First word of each benchmark text, some of them too short to search."""
+    """Each benchmark text as a whole and its last word, which may be too short to search."""
     items = W.load(spark, sf, "benchmark")
-    return items.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pattern_id"),
-                        F.regexp_extract("text", "[A-Za-z]+", 0).alias("pattern"), F.lit(False).alias("regex"),
-                        F.lit(True).alias("ignore_case"), F.lit(48).alias("context_chars"))
+    number = F.col("item_id").cast("string")
+    last = F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]*$", 1)
+    both = F.array(F.struct(F.concat(F.lit("b"), number).alias("pattern_id"), F.col("text").alias("pattern")),
+                   F.struct(F.concat(F.lit("w"), number).alias("pattern_id"), last.alias("pattern")))
+    return items.select(F.explode(both).alias("p")).select("p.*", F.lit(False).alias("regex"), F.lit(True).alias("ignore_case"),
+                                                           F.lit(48).alias("context_chars"))
+
+
+#: Of the length of a text, its remainder by this many decides the kind of its expression.
+KINDS = 6
 
 
 def regex_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """The same words as a capital or small start with a longer ending; every fifth is refused."""
-    word = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
-    looked_around = F.concat(F.lit("(?="), word, F.lit(")"))
-    ended = F.concat(word, F.lit("[a-z]+"))
-    return literal_patterns(spark, sf).join(
-        W.load(spark, sf, "benchmark").select(
-            F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pattern_id"),
-            F.when(F.char_length("text") % 5 == 0, looked_around).otherwise(ended).alias("expression")),
-        "pattern_id").select("pattern_id", F.col("expression").alias("pattern"), F.lit(True).alias("regex"),
-                             F.lit(False).alias("ignore_case"), F.lit(48).alias("context_chars"))
+    """Expressions made of the first and last words of each benchmark text: refused look-ahead, start
+    and end of the text, word boundaries, alternatives with an anchor, and a word of no fixed length."""
+    items = W.load(spark, sf, "benchmark")
+    first, last = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.lower(F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]*$", 1))
+    kind = F.char_length("text") % KINDS
+    made = (F.when(kind == 0, F.concat(F.lit("(?="), first, F.lit(")")))
+            .when(kind == 1, F.concat(F.lit("^[A-Z][a-z]+|"), first, F.lit("[a-z]+")))
+            .when(kind == 2, F.concat(F.lit(r"\b"), first, F.lit(r"\b")))
+            .when(kind == 3, F.concat(last, F.lit(r"|[a-z]+\W*$")))
+            .when(kind == 4, F.concat(F.lit(r"\b[a-z]"), F.substring(last, 2, 2)))
+            .otherwise(F.concat(first, F.lit("[a-z]+"))))
+    return items.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pattern_id"), made.alias("pattern"),
+                        F.lit(True).alias("regex"), F.lit(False).alias("ignore_case"), F.lit(48).alias("context_chars"))
 
 
 def summary_sql(where: str = "true") -> str:
@@ -63,20 +74,21 @@ SNIPPET_SQL = f"""WITH {Q.DOCS}, {LITERALS}, {FOLDED},
 
 @query("search_summary", summary_sql())
 def search_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return search(literal_patterns(spark, sf), W.document_memories(spark, sf))[0]
+    return search(literal_patterns(spark, sf), W.document_memories(spark, sf), with_snippets=False)[0]
 
 
 @query("search_summary_filtered", summary_sql("list_contains(tags, 'lang:fr') AND NOT list_contains(tags, 'toxic')"))
 def search_summary_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return search(literal_patterns(spark, sf), W.document_memories(spark, sf),
-                  MetaFilter(tags=("lang:fr",), exclude_tags=("toxic",)))[0]
+                  MetaFilter(tags=("lang:fr",), exclude_tags=("toxic",)), with_snippets=False)[0]
 
 
 @query("search_summary_no_candidates",
        f"""WITH {LITERALS} SELECT pattern_id, CASE WHEN length(p) < 3 THEN 'short-query' ELSE 'no-candidates' END AS status,
        CAST(0 AS BIGINT) AS total_matches, CAST(0 AS BIGINT) AS total_memories FROM pats""")
 def search_no_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return search(literal_patterns(spark, sf), W.document_memories(spark, sf), MetaFilter(tags=("nobody",)))[0]
+    return search(literal_patterns(spark, sf), W.document_memories(spark, sf), MetaFilter(tags=("nobody",)),
+                  with_snippets=False)[0]
 
 
 @query("search_snippets", SNIPPET_SQL)
@@ -86,29 +98,25 @@ def search_snippets_all(spark: SparkSession, sf: str) -> DataFrame:
                        F.col("position").cast("bigint").alias("position"), "before", "match", "after")
 
 
-@query("search_trigram", summary_sql())
-def search_trigram(spark: SparkSession, sf: str) -> DataFrame:
-    """The trigram plan must give what the scan gives."""
-    return search(literal_patterns(spark, sf), W.document_memories(spark, sf), searcher="trigram")[0]
-
-
 @query("search_regex",
-       f"""WITH {Q.DOCS}, pats AS (SELECT 'b'||item_id AS pattern_id, lower(regexp_extract(text, '[A-Za-z]+')) AS w,
-         length(text) % 5 = 0 AS refused FROM benchmark),
-       hit AS (SELECT pattern_id, memory_id, len(regexp_extract_all(text, w||'[a-z]+')) AS n FROM pats CROSS JOIN docs
-         WHERE NOT refused AND contains(text, w)),
+       rf"""WITH {Q.DOCS}, words AS (SELECT 'b'||item_id AS pattern_id, lower(regexp_extract(text, '[A-Za-z]+')) AS f,
+         lower(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1)) AS l, length(text) % {KINDS} AS kind FROM benchmark),
+       pats AS (SELECT pattern_id, kind, CASE kind WHEN 1 THEN '^[A-Z][a-z]+|'||f||'[a-z]+' WHEN 2 THEN '\b'||f||'\b'
+         WHEN 3 THEN l||'|[a-z]+\W*$' WHEN 4 THEN '\b[a-z]'||substr(l, 2, 2) ELSE f||'[a-z]+' END AS e FROM words),
+       hit AS (SELECT pattern_id, memory_id, len(regexp_extract_all(text, e)) AS n FROM pats CROSS JOIN docs WHERE kind <> 0),
        tot AS (SELECT pattern_id, CAST(sum(n) AS BIGINT) AS m, count(*) AS c FROM hit WHERE n > 0 GROUP BY 1)
-       SELECT pattern_id, CASE WHEN refused THEN 'bad-regex' WHEN coalesce(m, 0) = 0 THEN 'no-matches' ELSE 'ok' END AS status,
+       SELECT pattern_id, CASE WHEN kind = 0 THEN 'bad-regex' WHEN coalesce(m, 0) = 0 THEN 'no-matches' ELSE 'ok' END AS status,
          coalesce(m, 0) AS total_matches, coalesce(c, 0) AS total_memories FROM pats LEFT JOIN tot USING (pattern_id)""")
 def search_regex(spark: SparkSession, sf: str) -> DataFrame:
-    return search(regex_patterns(spark, sf), W.document_memories(spark, sf))[0]
+    return search(regex_patterns(spark, sf), W.document_memories(spark, sf), with_snippets=False)[0]
 
 
 @query("trigram_join",
        f"""WITH d AS (SELECT {Q.DOC} AS memory_id, translate(text, {ALPHABETS}) AS low FROM documents), {LITERALS},
        g AS (SELECT pattern_id, unnest(list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) AS t FROM pats),
-       need AS (SELECT pattern_id, count(*) AS n FROM g GROUP BY 1)
-       SELECT pattern_id, memory_id FROM g JOIN d ON contains(low, t) JOIN need USING (pattern_id)
+       need AS (SELECT pattern_id, count(*) AS n FROM g GROUP BY 1),
+       held AS (SELECT t, memory_id FROM (SELECT DISTINCT t FROM g) JOIN d ON contains(low, t))
+       SELECT pattern_id, memory_id FROM g JOIN held USING (t) JOIN need USING (pattern_id)
        GROUP BY 1, 2 HAVING count(*) = any_value(n)""")
 def trigram_join_all(spark: SparkSession, sf: str) -> DataFrame:
     return trigram_join(literal_patterns(spark, sf), trigram_index(W.document_memories(spark, sf)))
