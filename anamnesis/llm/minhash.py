@@ -104,12 +104,8 @@ def _sign(width: int, bands: int, rows_per_band: int):
                 for place in range(rows_per_band):
                     keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + signature[:, place * bands:(place + 1) * bands])
                 keys = mix(keys + np.arange(bands, dtype=np.uint64))
-                total, other = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
-                np.add.at(total, row, values)
-                np.add.at(other, row, mix(values + np.uint64(0x2545F4914F6CDD1D)))
                 size = np.diff(own)
-                set_key = [f"{n:x}.{a:016x}{b:016x}" if n else None
-                           for n, a, b in zip(size.tolist(), total.tolist(), other.tolist())]
+                set_key = _set_key(size, *_set_sums(values, row, count))
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays(
@@ -119,12 +115,31 @@ def _sign(width: int, bands: int, rows_per_band: int):
     return run, "doc_id long, n_shingles long, set_key string, bands array<long>"
 
 
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return bool(common) and 100 * common >= percent * (len(one) + len(two) - common)
+
+
+def _set_key(size: np.ndarray, total: np.ndarray, other: np.ndarray) -> list[str | None]:
+    return [f"{n:x}.{a:016x}{b:016x}" if n else None for n, a, b in zip(size.tolist(), total.tolist(), other.tolist())]
+
+
+def _set_sums(values: np.ndarray, row: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free sums that, with its size, name a text's set."""
+    total, other = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
+    np.add.at(total, row, values)
+    np.add.at(other, row, mix(values + np.uint64(0x2545F4914F6CDD1D)))
+    return total, other
+
+
 def _verify(width: int, percent: int):
     """Rows come sorted by (leader, block, kind): the leader's text, then its partners' texts."""
     schema = pa.schema([("first", pa.int64()), ("second", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, leader_set = None, None
+        leader, leader_sets, leading = None, [], False
         for batch in batches:
             heads = batch.column("leader").to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -133,15 +148,15 @@ def _verify(width: int, percent: int):
             for low, high, values, _, own in shingle_sets(batch.column("text"), width):
                 for i in range(low, high):
                     own_set = values[own[i - low]:own[i - low + 1]]
-                    if kinds[i] == 0:
-                        leader, leader_set = heads[i], own_set.copy()
+                    if kinds[i] == 0:  # an id may have several texts
+                        leader_sets = leader_sets if leading and leader == heads[i] else []
+                        leader_sets.append(own_set.copy())
+                        leader, leading = heads[i], True
                         continue
+                    leading = False
                     if leader is None or leader != heads[i]:
                         raise ValueError("a partner came before its leader")
-                    if 100 * min(len(own_set), len(leader_set)) < percent * max(len(own_set), len(leader_set)):
-                        continue
-                    common = len(np.intersect1d(own_set, leader_set, assume_unique=True))
-                    if common and 100 * common >= percent * (len(own_set) + len(leader_set) - common):
+                    if any(_similar(own_set, leader_set, percent) for leader_set in leader_sets):
                         linked.append((leader, ids[i]))
             first, second = (np.array(x, dtype=np.int64) for x in (zip(*linked) if linked else ((), ())))
             yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second)], schema=schema)
@@ -170,8 +185,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id).
 
     One row per row of `docs`. A null or wordless text has an empty set and is linked with nothing.
-    A null id gives a null component and kept = false. Rows that repeat an id are one document.
-    Other columns are ignored. An empty table gives an empty result.
+    A null id gives a null component and kept = false. Rows that repeat an id are one document with
+    several texts, which is linked where any of them is; a row of it without words is linked with
+    nothing. Other columns are ignored. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     run, schema = _sign(width, bands, rows_per_band)
@@ -182,8 +198,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = cut_lineage(banded.join(shared.drop("members"), "bucket").select(
         "bucket", "node", "n"))
-    texts = cut_lineage(source.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-                        .dropDuplicates(["doc_id"]))
+    texts = _class_texts(source, classes, buckets.select(F.col("node").alias("doc_id")).distinct(), width)
     # First round: every member of a bucket and its smallest member.
     close = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
     least = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"))
@@ -206,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = cut_lineage(verified_links(pairs, texts, width, percent))
     large = unsettled.where(F.col("members") > ALL_PAIRS)
     blocked = cut_lineage(_compare_blocks(large, texts, width, percent))
-    components = connected_components(links.union(found).union(blocked), "first", "second")
+    links = links.union(found).union(blocked).union(_same_ids(signed, classes))
+    components = connected_components(links, "first", "second")
     named = classes.select("set_key", "node").join(components, "node", "left") \
         .select("set_key", F.coalesce("component", "node").alias("component_id"))
     placed = signed.join(named, "set_key", "left") \
@@ -216,9 +232,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                          F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _class_texts(source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text): a text of every class that the wanted ids represent. Where rows repeat an id,
+    each is named by its set again, so that the choice does not follow the order of rows."""
+    chosen = source.join(wanted, "doc_id")
+    again = cut_lineage(chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    single = chosen.join(again, "doc_id", "left_anti")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, values, row, own in shingle_sets(batch.column(1), width):
+                keys = _set_key(np.diff(own), *_set_sums(values, row, high - low))
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.string())], ["doc_id", "text", "set_key"])
+
+    several = chosen.join(again, "doc_id").select("doc_id", "text").mapInArrow(named, "doc_id long, text string, set_key string") \
+        .join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi") \
+        .dropDuplicates(["doc_id", "set_key"])
+    return cut_lineage(single.select("doc_id", "text").union(several.select("doc_id", "text")))
+
+
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id that has several different texts."""
+    rows = signed.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
+    several = rows.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high")
+    nodes = rows.join(several.select("doc_id"), "doc_id").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("first"))
+    return nodes.join(least, "doc_id").select("first", F.col("node").alias("second")).where("first <> second")
+
+
 def _compare_blocks(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between the members of large buckets that are not yet in one component."""
-    nodes = large.select("node", "n", "component").distinct()
+    nodes = large.groupBy("node", "component").agg(F.max("n").alias("n"))
     joined = large.select("bucket", "node").join(large.groupBy("bucket").agg(F.min("node").alias("least")), "bucket")
     clusters = connected_components(joined, "node", "least")
     placed = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node", "left") \

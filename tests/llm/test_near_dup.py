@@ -79,6 +79,19 @@ def test_edge_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_texts_is_linked_by_each(spark):
+    rng = random.Random(11)
+    a, b, c = (" ".join(f"w{rng.randrange(10 ** 5)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, edited(rng, a, 1)), (3, edited(rng, b, 1)), (4, c), (4, edited(rng, a, 1)), (5, c), (6, ""),
+            (6, edited(rng, c, 1)), (7, b), (8, "alone at last")]
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 8}
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        got = near_duplicates(frame(spark, rows).repartition(seed), width=3, percent=85).collect()
+        assert {r.doc_id: r.component_id for r in got if r.n_shingles} == want
+        assert [(r.component_id, r.kept) for r in got if not r.n_shingles] == [(6, True)]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     common, left, right = (rng.integers(0, 2 ** 63, n, dtype=np.uint64) for n in (300, 100, 100))
