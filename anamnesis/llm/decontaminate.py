@@ -53,16 +53,42 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, np.concatenate(([0], np.cumsum(counts))).astype(np.int64), place
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The Q bytes from every place on, as one number (Q = 8)."""
-    count = len(data) - Q + 1
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q bytes (8 at most) from every place on, as one number."""
+    count = len(data) - q + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    return np.ndarray((count,), dtype="<u8", buffer=np.ascontiguousarray(data).data, strides=(1,)).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    values = np.ndarray((count,), dtype="<u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
+    return values if q == 8 else values & np.uint64((1 << 8 * q) - 1)
+
+
+class GramIndex:
+    """The q-grams of some items, sorted."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray, q: int):
+        self.q = q
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(len(size)), size)
+        values = grams(data, q)
+        at = np.flatnonzero((row[:len(values)] == row[q - 1:]) & chosen[row[:len(values)]]) if len(values) else np.zeros(0, np.int64)
+        at = at[np.argsort(values[at], kind="stable")]
+        self.values, self.row, self.place = values[at], row[at], at - offsets[row[at]]
+        self.different, self.first, self.count = np.unique(self.values, return_index=True, return_counts=True)
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.filter[self.slot(self.values)] = True
+
+    @staticmethod
+    def slot(values: np.ndarray) -> np.ndarray:
+        return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
 class Items:
-    """One block of benchmark items with their q-grams, sorted."""
+    """One block of benchmark items with their q-grams.
+
+    An item of L bytes may have e = floor(share * L) edits, which change at most e * q of its L - q + 1
+    q-grams. Short items take a smaller q, so that at least one is always left.
+    """
 
     def __init__(self, ids: list[int], texts: list[str], edit_share: float):
         column = pa.array(texts, pa.string())
@@ -70,30 +96,20 @@ class Items:
         self.data, self.offsets, _ = normalise(data, offsets)
         self.ids = np.array(ids, dtype=np.int64)
         self.size = np.diff(self.offsets)
-        self.edits = np.minimum((edit_share * self.size).astype(np.int64), np.maximum((self.size - Q) // Q, 0))
-        self.least = self.size - Q + 1 - self.edits * Q
-        row = np.repeat(np.arange(len(ids)), self.size)
-        values = grams(self.data)
-        at = np.flatnonzero(row[:len(values)] == row[Q - 1:]) if len(values) else np.zeros(0, np.int64)
-        order = np.argsort(values[at], kind="stable")
-        at = at[order]
-        self.values, self.row, self.place = values[at], row[at], at - self.offsets[row[at]]
-        self.different, self.first, self.count = np.unique(self.values, return_index=True, return_counts=True)
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[self._slot(self.values)] = True
-        self.short = [(i, self.data[self.offsets[i]:self.offsets[i + 1]].tobytes())
-                      for i in np.flatnonzero((self.size > 0) & (self.size < Q))]
-
-    @staticmethod
-    def _slot(values: np.ndarray) -> np.ndarray:
-        return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        self.edits = (edit_share * self.size).astype(np.int64)
+        width = np.minimum(Q, self.size // (self.edits + 1))
+        self.least = self.size - width + 1 - self.edits * width
+        exact = (self.edits == 0) & (self.size < Q)
+        self.indexes = [GramIndex(self.data, self.offsets, (width == q) & ~exact, int(q))
+                        for q in np.unique(width[~exact & (self.size > 0)])]
+        self.short = [(i, self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()) for i in np.flatnonzero((self.size > 0) & exact)]
 
     def find(self, text: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text row, item row, start, end, edits) of the best match in each place."""
-        return [*self._long(text, offsets), *self._short(text, offsets)]
+        return [match for index in self.indexes for match in self._long(index, text, offsets)] + self._short(text, offsets)
 
     def _short(self, text, offsets):
-        """Items of fewer than Q bytes allow no edit."""
+        """Items of fewer than Q bytes that allow no edit."""
         found = []
         if self.short:
             for row in range(len(offsets) - 1):
@@ -105,25 +121,25 @@ class Items:
                         at = own.find(wanted, at + len(wanted))
         return found
 
-    def _long(self, text, offsets):
-        values = grams(text)
-        if not len(self.values):
+    def _long(self, index, text, offsets):
+        values = grams(text, index.q)
+        if not len(index.values):
             return []
-        at = np.flatnonzero(self.filter[self._slot(values)])
+        at = np.flatnonzero(index.filter[index.slot(values)])
         if not len(at):
             return []
         values = values[at]
-        slot = np.minimum(np.searchsorted(self.different, values), len(self.different) - 1)
-        known = self.different[slot] == values
+        slot = np.minimum(np.searchsorted(index.different, values), len(index.different) - 1)
+        known = index.different[slot] == values
         at, slot = at[known], slot[known]
-        low, count = self.first[slot], self.count[slot]
+        low, count = index.first[slot], index.count[slot]
         hit = ragged_index(low, count)
         at = np.repeat(at, count)
         row = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + Q <= offsets[row + 1]
+        inside = at + index.q <= offsets[row + 1]
         at, row, hit = at[inside], row[inside], hit[inside]
-        item = self.row[hit]
-        diagonal = at - offsets[row] - self.place[hit]
+        item = index.row[hit]
+        diagonal = at - offsets[row] - index.place[hit]
         step = step_of(self.edits, item)
         found = []
         band = diagonal // step
@@ -138,7 +154,7 @@ class Items:
         # What counts is how many different q-grams of the item a band has, not how often each occurs.
         slot = np.minimum(np.searchsorted(key[wanted], keys), int(wanted.sum()) - 1)
         of_wanted = key[wanted][slot] == keys
-        distinct = np.unique(slot[of_wanted] * (1 << 32) + np.tile(self.place[hit], 2)[of_wanted])
+        distinct = np.unique(slot[of_wanted] * (1 << 32) + np.tile(index.place[hit], 2)[of_wanted])
         key, total = key[wanted], np.bincount(distinct >> 32, minlength=int(wanted.sum()))
         pair, band = key >> np.int64(32), (key & np.int64(0xFFFFFFFF)) - (1 << 30)
         row, item = pair // len(self.ids), pair % len(self.ids)
@@ -239,7 +255,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, edit_share: float =
 
     Overlapping matches of one item count once, the one with the fewest edits. Null or blank
     items and texts match nothing; a null id stays null. Repeated rows give repeated matches.
-    Other columns are ignored. Items of fewer than 8 bytes must occur exactly.
+    Other columns are ignored. An item of L normalised bytes matches with up to
+    floor(edit_share * L) edits, so one of fewer than 1 / edit_share bytes must occur exactly.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")) \
         .where("item_id is not null and trim(text) <> ''").distinct()

@@ -127,13 +127,20 @@ def _project(kept: np.ndarray, terms: tuple[tuple[str, ...], ...]):
                 swapped: list[list[list[int]]] = [[] for _ in own]
                 folded = _FOLD[data].tobytes()
                 if any(mark in folded for mark in marks):
-                    for i in range(high - low):
-                        words = folded[offsets[i]:offsets[i + 1]].decode().split()
-                        groups = {term_of[w][0] for w in words if w in term_of}
-                        for group in groups:
+                    # Terms are words as `row_features` cuts them, and are replaced where they stand.
+                    start, end, row = runs(_WORD[_FOLD[data]], offsets)
+                    for i in np.unique(row).tolist():
+                        own_words = np.flatnonzero(row == i)
+                        found = [(int(start[w]), int(end[w]), *term_of[term]) for w in own_words.tolist()
+                                 if (term := folded[start[w]:end[w]].decode(errors="replace")) in term_of]
+                        for group in {id(g): g for _, _, g, _ in found}.values():
                             for other in group:
-                                text = " ".join(other if w in term_of and term_of[w][0] is group else w for w in words)
-                                raw = np.frombuffer(text.encode(), np.uint8)
+                                pieces, at = [], int(offsets[i])
+                                for a, b, own_group, _ in found:
+                                    if own_group is group:
+                                        pieces += [folded[at:a], other.encode()]
+                                        at = b
+                                raw = np.frombuffer(b"".join([*pieces, folded[at:offsets[i + 1]]]), np.uint8)
                                 swapped[i] += chosen(raw, np.array([0, len(raw)]), 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(low, high - low).cast(pa.int32()),
