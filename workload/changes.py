@@ -277,8 +277,8 @@ def ingest_preview_all(spark: SparkSession, sf: str) -> DataFrame:
 # --- duplicates, cache, indexes -------------------------------------------------------------------
 
 SPLIT_DOCS = f"""{Q.DOCS}, {Q.embedded('docs', 'memory_id', 'text', 'dv')},
-  store AS (SELECT dv.* FROM dv JOIN docs USING (memory_id) WHERE quality IS NOT NULL),
-  arriving AS (SELECT memory_id AS query_id, dv.v FROM dv JOIN docs USING (memory_id) WHERE quality IS NULL)"""
+  store AS MATERIALIZED (SELECT dv.* FROM dv JOIN docs USING (memory_id) WHERE quality IS NOT NULL),
+  arriving AS MATERIALIZED (SELECT memory_id AS query_id, dv.v FROM dv JOIN docs USING (memory_id) WHERE quality IS NULL)"""
 
 
 def arriving_and_stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -299,9 +299,9 @@ def near_stored_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NEAREST = f"""
-  near AS (SELECT b.o, list(DISTINCT a.o) AS earlier FROM pieces a JOIN firsts b ON a.o < b.o AND {Q.distance('a.v', 'b.v')} < 0.08 GROUP BY 1),
-  held AS (SELECT DISTINCT o FROM firsts CROSS JOIN store s WHERE {Q.distance('firsts.v', 's.v')} < 0.08),
-  steps AS (SELECT f.memory_id, f.o, f.claims, f.o IN (SELECT o FROM held) AS stored_near, coalesce(near.earlier, []) AS earlier,
+  near AS MATERIALIZED (SELECT b.o, list(DISTINCT a.o) AS earlier FROM pieces a JOIN firsts b ON a.o < b.o AND {Q.distance('a.v', 'b.v')} < 0.08 GROUP BY 1),
+  held AS MATERIALIZED (SELECT DISTINCT o FROM firsts CROSS JOIN store s WHERE {Q.distance('firsts.v', 's.v')} < 0.08),
+  steps AS MATERIALIZED (SELECT f.memory_id, f.o, f.claims, f.o IN (SELECT o FROM held) AS stored_near, coalesce(near.earlier, []) AS earlier,
       row_number() OVER (ORDER BY f.o) AS i FROM firsts f LEFT JOIN near USING (o)),
   fold AS (
     SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, false AS taken, NULL::BIGINT AS o, NULL::VARCHAR AS outcome
@@ -310,7 +310,7 @@ NEAREST = f"""
       taken OR (s.claims AND NOT s.stored_near AND NOT list_has_any(kept, s.earlier)), s.o,
       CASE WHEN s.claims AND taken THEN 'reserved' WHEN s.stored_near OR list_has_any(kept, s.earlier) THEN 'duplicate' ELSE 'accepted' END
     FROM fold JOIN steps s ON s.i = fold.i + 1),
-  there AS (SELECT s.memory_id, -1 AS o, s.v FROM store s
+  there AS MATERIALIZED (SELECT s.memory_id, -1 AS o, s.v FROM store s
     UNION ALL SELECT p.memory_id, p.o, p.v FROM pieces p JOIN fold USING (o) WHERE outcome = 'accepted'),
   alike AS (SELECT f.o, t.memory_id AS similar_id, round(1 - {Q.distance('f.v', 't.v')}, 6) AS similarity
     FROM firsts f JOIN fold USING (o) JOIN there t ON t.o < f.o WHERE outcome = 'duplicate'
@@ -319,7 +319,7 @@ NEAREST = f"""
 
 @query("near_duplicate_join",
        f"""WITH RECURSIVE {SPLIT_DOCS},
-       firsts AS (SELECT query_id AS memory_id, doc_id AS o, v, false AS claims FROM arriving JOIN docs ON memory_id = query_id),
+       firsts AS MATERIALIZED (SELECT query_id AS memory_id, doc_id AS o, v, false AS claims FROM arriving JOIN docs ON memory_id = query_id),
        pieces AS (SELECT memory_id, o, v FROM firsts), {NEAREST}
        SELECT memory_id, outcome = 'accepted' AS accepted, similar_id, similarity FROM firsts JOIN fold USING (o) LEFT JOIN alike USING (o)""")
 def near_duplicate_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,11 +334,11 @@ ARRIVING_CHUNKS = CHUNK_SQL.replace(
 
 @query("write_batch",
        f"""{ARRIVING_CHUNKS}, {Q.DOCS}, {Q.embedded('docs', 'memory_id', 'text', 'dv')},
-       store AS (SELECT dv.* FROM dv JOIN docs USING (memory_id) WHERE quality IS NOT NULL),
+       store AS MATERIALIZED (SELECT dv.* FROM dv JOIN docs USING (memory_id) WHERE quality IS NOT NULL),
        parts AS (SELECT memory_id||'#'||chunk_index AS part_id, memory_id, chunk_index, text FROM chunked),
        {Q.embedded('parts', 'part_id', 'text', 'pv')},
-       pieces AS (SELECT parts.memory_id, chunk_index, doc_id AS o, pv.v, lang = 'fr' AS claims FROM parts JOIN pv USING (part_id) JOIN docs USING (memory_id)),
-       firsts AS (SELECT memory_id, o, v, claims FROM pieces WHERE chunk_index = 0), {NEAREST}
+       pieces AS MATERIALIZED (SELECT parts.memory_id, chunk_index, doc_id AS o, pv.v, lang = 'fr' AS claims FROM parts JOIN pv USING (part_id) JOIN docs USING (memory_id)),
+       firsts AS MATERIALIZED (SELECT memory_id, o, v, claims FROM pieces WHERE chunk_index = 0), {NEAREST}
        SELECT memory_id, coalesce(outcome, 'empty') AS outcome, similar_id, similarity
        FROM d LEFT JOIN firsts USING (memory_id) LEFT JOIN fold USING (o) LEFT JOIN alike USING (o)""")
 def write_batch_all(spark: SparkSession, sf: str) -> DataFrame:
