@@ -14,8 +14,8 @@ from anamnesis.session import local_session  # noqa: E402
 from workload import all_entries  # noqa: E402
 
 HEADLINE = (
-    "knn_join", "knn_join_filtered", "ann_join_ivf", "bm25_join", "bm25_from_postings", "rrf_fuse", "recall_semantic",
-    "recall_hybrid", "recall_hybrid_filtered", "list_ranked", "search_summary", "search_trigram", "search_regex",
+    "knn_join", "knn_join_filtered", "ann_join_ivf", "bm25_join", "index_build", "bm25_from_postings", "rrf_fuse",
+    "recall_semantic", "recall_hybrid", "recall_hybrid_indexed", "recall_hybrid_filtered", "list_ranked", "search_summary", "search_trigram", "search_regex",
     "chunk_text", "tokenize", "embed_column", "build_postings", "refresh_indexes", "conversation_entries", "tag_counts",
     "snapshot_diff", "apply_updates", "ingest", "near_duplicate_store", "near_duplicate_join", "retrieval_eval",
     "envelope_round_trip", "nearest_rank_percentile",

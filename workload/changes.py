@@ -20,7 +20,7 @@ from workload import frames as W
 from workload import sqltext as Q
 from workload.registry import query
 from workload.retrieval import EMBEDDER, document_rows, embedded_documents
-from workload.text import CHUNK_SQL
+from workload.text import ALPHABETS, CHUNK_SQL
 
 NOW = "2025-06-01T00:00:00.000Z"
 
@@ -418,9 +418,12 @@ def embed_with_cache_all(spark: SparkSession, sf: str) -> DataFrame:
          FROM docs WHERE coalesce(toxic, 0) <> 1),
        t AS (SELECT memory_id, {Q.tokens('text')} AS toks FROM after),
        p AS (SELECT memory_id, unnest(toks) AS term FROM t),
-       tf AS (SELECT term, memory_id, count(*) AS tf FROM p GROUP BY 1, 2)
+       tf AS (SELECT term, memory_id, count(*) AS tf FROM p GROUP BY 1, 2),
+       chars AS (SELECT memory_id, string_split(translate(text, {ALPHABETS}), '') AS c FROM after),
+       grams AS (SELECT memory_id, unnest(list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i]||c[i+1]||c[i+2]))) AS g FROM chars)
        SELECT 'corpus' AS part, '' AS term, count(*) AS a, CAST(sum(len(toks)) AS BIGINT) AS b FROM t
-       UNION ALL SELECT 'term', term, count(*), CAST(sum(tf) AS BIGINT) FROM tf GROUP BY term""")
+       UNION ALL SELECT 'term', term, count(*), CAST(sum(tf) AS BIGINT) FROM tf GROUP BY term
+       UNION ALL SELECT 'trigram', g, count(*), 0 FROM grams GROUP BY g""")
 def refresh_indexes_all(spark: SparkSession, sf: str) -> DataFrame:
     """Toxic documents leave and good ones are rewritten: the moved statistics equal a rebuild."""
     docs, chunks = document_rows(spark, sf), W.document_chunks(spark, sf)
@@ -428,13 +431,14 @@ def refresh_indexes_all(spark: SparkSession, sf: str) -> DataFrame:
     gone = flags.where("toxic = 1 OR quality = 1").select("memory_id")
     back = flags.where("quality = 1 AND toxic <> 1").select("memory_id")
     renewed = chunks.join(back, "memory_id", "left_semi").withColumn("text", F.concat("text", F.lit(" renewed text")))
-    stored = {name: cut_lineage(table) for name, table in build_indexes(chunks, docs).items() if name != "trigrams"}
-    stored["trigrams"] = spark.createDataFrame([], "trigram string, memory_id string")
+    stored = {name: cut_lineage(table) for name, table in build_indexes(chunks, docs).items()}
     after = refresh_indexes(stored, chunks, gone, renewed, renewed)
     terms = after["term_stats"].join(after["postings"].groupBy("term").agg(F.sum("tf").alias("b")), "term").select(
         F.lit("term").alias("part"), "term", F.col("df").alias("a"), "b")
     return after["corpus_stats"].select(F.lit("corpus").alias("part"), F.lit("").alias("term"),
-                                        F.col("n_docs").alias("a"), F.col("total_len").alias("b")).unionByName(terms)
+                                        F.col("n_docs").alias("a"), F.col("total_len").alias("b")).unionByName(terms).unionByName(
+        after["trigrams"].groupBy(F.col("trigram").alias("term")).agg(F.count(F.lit(1)).alias("a")).select(
+            F.lit("trigram").alias("part"), "term", "a", F.lit(0).cast("bigint").alias("b")))
 
 
 @query("dimension_audit", "SELECT bool_and(len(embedding) = 64) AS holds FROM embeddings WHERE vec_id % 4 = 0")
