@@ -120,28 +120,29 @@ def _project(kept: np.ndarray, terms: tuple[tuple[str, ...], ...]):
         return [slot[cut[i]:cut[i + 1]].tolist() for i in range(rows)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = {term.encode() for term in term_of}
+        raw = [np.frombuffer(term.encode(), np.uint8) for term in term_of]
+        cut = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        marks = range_hashes(np.concatenate(raw), cut[:-1], cut[1:]) if raw else np.zeros(0, np.uint64)
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column(0)):
                 own = chosen(data, offsets, high - low)
                 swapped: list[list[list[int]]] = [[] for _ in own]
                 folded = _FOLD[data].tobytes()
-                if any(mark in folded for mark in marks):
-                    # Terms are words as `row_features` cuts them, and are replaced where they stand.
-                    start, end, row = runs(_WORD[_FOLD[data]], offsets)
-                    for i in np.unique(row).tolist():
-                        own_words = np.flatnonzero(row == i)
-                        found = [(int(start[w]), int(end[w]), *term_of[term]) for w in own_words.tolist()
-                                 if (term := folded[start[w]:end[w]].decode(errors="replace")) in term_of]
-                        for group in {id(g): g for _, _, g, _ in found}.values():
-                            for other in group:
-                                pieces, at = [], int(offsets[i])
-                                for a, b, own_group, _ in found:
-                                    if own_group is group:
-                                        pieces += [folded[at:a], other.encode()]
-                                        at = b
-                                raw = np.frombuffer(b"".join([*pieces, folded[at:offsets[i + 1]]]), np.uint8)
-                                swapped[i] += chosen(raw, np.array([0, len(raw)]), 1)
+                # Terms are words as `row_features` cuts them, and are replaced where they stand.
+                start, end, row = runs(_WORD[_FOLD[data]], offsets)
+                held = np.flatnonzero(np.isin(range_hashes(_FOLD[data], start, end), marks))
+                for i in np.unique(row[held]).tolist():
+                    found = [(int(start[w]), int(end[w]), term_of[term][0]) for w in held[row[held] == i].tolist()
+                             if (term := folded[start[w]:end[w]].decode(errors="replace")) in term_of]
+                    for group in {id(g): g for _, _, g in found}.values():
+                        for other in group:
+                            pieces, at = [], int(offsets[i])
+                            for a, b, own_group in found:
+                                if own_group is group:
+                                    pieces += [folded[at:a], other.encode()]
+                                    at = b
+                            raw = np.frombuffer(b"".join([*pieces, folded[at:offsets[i + 1]]]), np.uint8)
+                            swapped[i] += chosen(raw, np.array([0, len(raw)]), 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(low, high - low).cast(pa.int32()),
                      pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], schema=schema)
