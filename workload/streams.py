@@ -24,9 +24,10 @@ def run_folder(spark: SparkSession) -> str:
 
 
 def conversation_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files. A pattern, unlike a path, may name either."""
     pin_utc(spark)
-    raw = (spark.readStream.schema("conv_id bigint, turn bigint, role string, text string")
-           .option("pathGlobFilter", "conversations.parquet").parquet(sf))
+    raw = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").parquet(
+        f"{sf}/conversations.parque[t]")
     return W.turn_rows(raw)
 
 
@@ -62,7 +63,7 @@ def stream_dedup_all(spark: SparkSession, sf: str) -> DataFrame:
     out = stream_dedup(twice).select("memory_id", "text", "created_at")
     (out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/offsets")
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{root}/rows").select("memory_id", F.md5("text").alias("text_md5"))
+    return spark.read.schema(out.schema).parquet(f"{root}/rows").select("memory_id", F.md5("text").alias("text_md5"))
 
 
 @query("stream_reconcile",
