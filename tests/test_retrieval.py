@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,20 @@ def test_recall_end_to_end(spark):
         filtered = plan(queries, memories, chunks, 2, MetaFilter(tags=("fruit",), exclude_tags=()), emb)
         assert {r["memory_id"] for r in filtered.where("query_id = 'q'").collect()} == {"m1", "m3"}
     assert recall_semantic(queries, memories, chunks, 2, embedder=emb).where("query_id = 'cold'").count() == 0
+
+
+def test_queries_with_the_same_known_terms_are_scored_once_and_long_texts_in_pieces(spark, monkeypatch):
+    from anamnesis.operators import bm25 as B
+    weights = [("b", "x", 1.0), ("a", "x", 1.0), ("c", "y", 1.0), ("d", "x", 1.0), ("d", "y", 1.0)]
+    assert B.alike(weights) == {"a": ["a", "b"], "c": ["c"], "d": ["d"]}
+    tokens = pa.array([["w"] * 3, ["w"] * 9, [], ["w"] * 2, ["w"] * 2])
+    monkeypatch.setattr(B, "SCORE_TOKENS", 4)
+    assert list(B._pieces(tokens, 100)) == [(0, 1), (1, 1), (2, 3)]
+    chunks = spark.createDataFrame([("m1", 0, "red rose"), ("m2", 0, "rose"), ("m3", 0, "tulip")],
+                                   "memory_id string, chunk_index int, text string")
+    asked = spark.createDataFrame([("q1", "rose abc"), ("q2", "rose xyz"), ("q3", "tulip")], "query_id string, query_text string")
+    hits = {}
+    for r in B.bm25_join(asked, chunks, 2).collect():
+        hits.setdefault(r["query_id"], []).append((r["rank"], r["memory_id"], r["score"]))
+    assert sorted(hits["q1"]) == sorted(hits["q2"]) and [m for _, m, _ in sorted(hits["q1"])] == ["m2", "m1"]
+    assert [m for _, m, _ in hits["q3"]] == ["m3"]
