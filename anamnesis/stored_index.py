@@ -7,12 +7,18 @@ rows as a new base. Frequencies are differences per change and add up to those o
 
 A change counts once its entry stands in the log; what an interrupted one left is overwritten by
 the next. The number of changes behind a base, and so of folders a reader lists, is bounded by compaction.
+
+A trigram stands in a large part of all texts, so its list is kept in blocks: memories are dealt into blocks
+of bounded size by a hash of their id, and a row holds the places of a trigram in one block. `blocks` names them.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +32,8 @@ from anamnesis.session import cut_lineage
 
 TABLES = {
     "terms": "term string, memory_id string, chunk_index int, tf int, doc_len int",
-    "trigrams": "trigram string, memory_id string",
+    "trigrams": "trigram string, block bigint, places array<int>",
+    "blocks": "block bigint, memory_ids array<string>",
     "term_counts": "term string, n bigint",
     "trigram_counts": "trigram string, n bigint",
     "totals": "n_docs bigint, total_len bigint",
@@ -39,6 +46,28 @@ COMPACT_AFTER = 16
 SMALL_CHANGE_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 256 * 1024 * 1024
 UNPARTED = -1
+#: Texts and memories of a block of the trigram lists, which one task groups.
+BLOCK_BYTES = 8 * 1024 * 1024
+BLOCK_ROWS = 4096
+MOST_PARTITIONS = 4096
+
+
+def block_lists(block: tuple, rows: pa.Table) -> pa.Table:
+    """(trigram, block, places) of one block: places count its distinct memory ids in their order."""
+    ids = pc.unique(rows["memory_id"].combine_chunks())
+    order = pc.sort_indices(ids).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[pc.index_in(rows["memory_id"].combine_chunks(), ids).to_numpy(zero_copy_only=False)]
+    grams = rows["grams"].combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(grams), 0).to_numpy(zero_copy_only=False)
+    names = grams.flatten().dictionary_encode()
+    pairs = np.unique(names.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(ids), 1) + np.repeat(place, lengths))
+    name, place = np.divmod(pairs, max(len(ids), 1))
+    starts = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(name)), pa.int32()), pa.array(place, pa.int32()))
+    return pa.table({"trigram": names.dictionary.take(pa.array(name[starts])).cast(pa.string()),
+                     "block": pa.array(np.full(len(starts), block[0].as_py()), pa.int64()), "places": lists})
 
 
 class StoredIndex:
@@ -87,6 +116,19 @@ class StoredIndex:
         rows.withColumn("part", self._part(KEYS[name])).repartition(self.parts * spread, "part", turn) \
             .sortWithinPartitions("part", KEYS[name]).write.mode("overwrite").partitionBy("part").parquet(path)
 
+    def _write_trigrams(self, memories: DataFrame, number: int, text_bytes: int) -> None:
+        """Texts move once, to the task of their block; what leaves it are places, not ids."""
+        texts = memories.select("memory_id", "text").where("memory_id IS NOT NULL")
+        rows, size = measure(texts)
+        blocks = max(1, math.ceil(rows / BLOCK_ROWS), math.ceil(size / BLOCK_BYTES))
+        dealt = texts.withColumn("block", F.pmod(F.xxhash64("memory_id"), F.lit(blocks)))
+        together = dealt.repartition(min(blocks, MOST_PARTITIONS), "block")
+        lists = together.select("block", "memory_id", trigrams("text").alias("grams")).groupBy("block").applyInArrow(
+            block_lists, TABLES["trigrams"])
+        self._write("trigrams", lists, number, text_bytes)
+        names = dealt.groupBy("block").agg(F.array_sort(F.collect_set("memory_id")).alias("memory_ids"))  # bounded blocks
+        self._write("blocks", names, number, text_bytes)
+
     def build(self, chunks: DataFrame, memories: DataFrame) -> None:
         """A new base from whole tables."""
         nobody = self.spark.createDataFrame([], TABLES["gone"])
@@ -108,7 +150,7 @@ class StoredIndex:
         size = measure(chunks.select("text"))[1] + measure(old_chunks.select("text"))[1]
         new_terms, old_terms = chunk_terms(chunks), chunk_terms(old_chunks)
         self._write("terms", build_postings(new_terms), number, size)
-        self._write("trigrams", trigram_index(memories), number, size)
+        self._write_trigrams(memories, number, size)
         self._write("term_counts", _moves(build_postings(new_terms), build_postings(old_terms), "term"), number, size)
         self._write("trigram_counts", _moves(trigram_index(memories), trigram_index(old_memories), "trigram"), number, size)
         totals = _totals(new_terms, 1).unionByName(_totals(old_terms, -1))
@@ -121,9 +163,10 @@ class StoredIndex:
         """All live rows as a new base; changes before the last base are removed."""
         before, number = self.log(), self._next()
         size = sum(measure(self._rows(name))[1] for name in ("terms",))
-        for name, key in (("terms", None), ("trigrams", None), ("term_counts", "term"), ("trigram_counts", "trigram")):
-            rows = self.live(name) if key is None else self._rows(name).groupBy(key).agg(F.sum("n").alias("n")).where("n <> 0")
-            self._write(name, rows, number, size)
+        self._write("terms", self.live("terms"), number, size)
+        self._compact_trigrams(number, size)
+        for name, key in (("term_counts", "term"), ("trigram_counts", "trigram")):
+            self._write(name, self._rows(name).groupBy(key).agg(F.sum("n").alias("n")).where("n <> 0"), number, size)
         self._write("totals", self.corpus().select("n_docs", "total_len"), number, 0)
         self._write("gone", self.spark.createDataFrame([], TABLES["gone"]), number, 0)
         self.commit(number, base=True)
@@ -133,6 +176,21 @@ class StoredIndex:
                 if int(status.getPath().getName().split("=")[1]) < before[0][0]:
                     fs.delete(status.getPath(), True)
 
+    def _compact_trigrams(self, number: int, text_bytes: int) -> None:
+        """Blocks stay as they are, under numbers of their own, with the places of live memories only."""
+        in_block = Window.partitionBy("change", "block").orderBy("memory_id")
+        named = self._names().withColumn("new_place", F.row_number().over(in_block) - 1)
+        held = sorted((r["change"], r["block"]) for r in self._rows("blocks").select("change", "block").toLocalIterator())
+        numbers = self.spark.createDataFrame([(*key, i) for i, key in enumerate(held)], "change int, block bigint, number bigint")
+        moved = cut_lineage(named.join(F.broadcast(numbers), ["change", "block"]))
+        places = self._rows("trigrams").select("trigram", "change", "block", F.explode("places").alias("place")).join(
+            moved.select("change", "block", "place", "new_place", "number"), ["change", "block", "place"])
+        lists = places.groupBy("trigram", F.col("number").alias("block")).agg(
+            F.array_sort(F.collect_list(F.col("new_place").cast("int"))).alias("places"))
+        self._write("trigrams", lists, number, text_bytes)
+        self._write("blocks", moved.groupBy(F.col("number").alias("block")).agg(
+            F.array_sort(F.collect_set("memory_id")).alias("memory_ids")), number, text_bytes)
+
     def compact_if_due(self, after: int = COMPACT_AFTER) -> None:
         if len(self.log()) > after:
             self.compact()
@@ -149,13 +207,24 @@ class StoredIndex:
         return rows if parts is None else rows.where(F.col("part").isin([*parts, UNPARTED]))
 
     def live(self, name: str, parts: list[int] | None = None) -> DataFrame:
-        """Rows whose memory did not go in a later change."""
+        """Rows whose memory did not go in a later change. Trigrams come as (trigram, memory_id)."""
         rows = self._rows(name, parts)
+        if name == "trigrams":
+            places = rows.select("trigram", "change", "block", F.explode("places").alias("place"))
+            return places.join(self._names(), ["change", "block", "place"]).select("trigram", "memory_id")
+        return self._not_gone(rows).drop("change", "part")
+
+    def _names(self) -> DataFrame:
+        """(change, block, place, memory_id) of the live memories."""
+        rows = self._rows("blocks").select("change", "block", F.posexplode("memory_ids").alias("place", "memory_id"))
+        return self._not_gone(rows)
+
+    def _not_gone(self, rows: DataFrame) -> DataFrame:
         if len(self.log()) < 2:
-            return rows.drop("change", "part")
+            return rows
         gone = self._rows("gone").groupBy("memory_id").agg(F.max("change").alias("went"))
         kept = attach(rows, gone, "memory_id", "left", even=True, computed=True)
-        return kept.where(F.col("went").isNull() | (F.col("change") >= F.col("went"))).drop("change", "part", "went")
+        return kept.where(F.col("went").isNull() | (F.col("change") >= F.col("went"))).drop("went")
 
     def _parts_of(self, keys: DataFrame, key: str) -> list[int]:
         return sorted(r["part"] for r in keys.select(self._part(key).alias("part")).distinct().collect())  # at most `parts`
@@ -201,12 +270,17 @@ class StoredIndex:
         needed = chosen.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("needed"))
         lists = cut_lineage(chosen.select("pattern_id", "trigram"))
         if small:
-            held = self.live("trigrams", self._parts_of(lists.select("trigram").distinct(), "trigram")) \
+            held = self._rows("trigrams", self._parts_of(lists.select("trigram").distinct(), "trigram")) \
                 .join(F.broadcast(lists), "trigram")
         else:
-            held = salted_join(self.live("trigrams"), lists, ["trigram"])
-        found = held.groupBy("pattern_id", "memory_id").agg(F.count(F.lit(1)).alias("held"))
-        return attach(found, needed, "pattern_id", computed=True).where("held = needed").select("pattern_id", "memory_id")
+            held = salted_join(self._rows("trigrams"), lists, ["trigram"])
+        # A block has all lists of its memories, so they are intersected there; only what is left gets a name.
+        met = held.groupBy("pattern_id", "change", "block").agg(F.collect_list("places").alias("lists"))
+        met = attach(met, needed, "pattern_id", computed=True).where(F.size("lists") == F.col("needed"))
+        shared = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.col("lists")[0],
+                             lambda both, one: F.array_intersect(both, one))
+        found = met.select("pattern_id", "change", "block", F.explode(shared).alias("place"))
+        return found.join(self._names(), ["change", "block", "place"]).select("pattern_id", "memory_id")
 
 
 def rarest_first(counted: DataFrame, total: int) -> DataFrame:

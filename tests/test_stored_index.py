@@ -176,3 +176,28 @@ def test_index_of_an_empty_store(spark, tmp_path):
     assert empty.index().corpus().first().n_docs == 0
     empty.apply(ingest(turns(spark, range(5)), empty.read("memories"), now()))
     assert_equals_rebuild(spark, empty)
+
+
+def test_trigram_lists_hold_places_and_not_ids(spark, tmp_path, monkeypatch):
+    import anamnesis.stored_index as S
+    from anamnesis.functions.text import trigrams
+
+    monkeypatch.setattr(S, "BLOCK_ROWS", 8)
+    texts = [(f"id-{i:03d}", f"the rose number {i}" if i % 3 else f"a thorn {i * 7}") for i in range(40)]
+    memories = spark.createDataFrame(texts, "memory_id string, text string")
+    chunks = memories.withColumn("chunk_index", F.lit(0))
+    index = S.StoredIndex(spark, f"{tmp_path}/index")
+    index.build(chunks, memories)
+    rows = index._rows("trigrams")
+    assert "memory_id" not in rows.columns and rows.select("block").distinct().count() > 1
+    exact = memories.select(F.explode(trigrams("text")).alias("trigram"), "memory_id")
+    assert sorted(map(tuple, index.live("trigrams").collect())) == sorted(map(tuple, exact.collect()))
+    patterns = spark.createDataFrame([("p", "rose number 1"), ("q", "thorn"), ("r", "lily")], "pattern_id string, pattern string")
+    wanted = {("p" if "rose number 1" in t else "q", m) for m, t in texts if "rose number 1" in t or "thorn" in t}
+    assert wanted <= {tuple(r) for r in index.candidates(patterns).collect()}
+    index.prepare(memories.where("memory_id < 'id-010'").select("memory_id"), chunks.limit(0), memories.limit(0),
+                  chunks.where("memory_id < 'id-010'"), memories.where("memory_id < 'id-010'"))
+    index.commit(2)
+    index.compact()
+    left = exact.where("memory_id >= 'id-010'")
+    assert sorted(map(tuple, index.live("trigrams").collect())) == sorted(map(tuple, left.collect()))
