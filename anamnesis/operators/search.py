@@ -7,6 +7,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,9 @@ from anamnesis.constants import (
 from anamnesis.functions import linear_regex, many_literals
 from anamnesis.functions import matching as M
 from anamnesis.functions.core import is_row, rows_of
+from anamnesis.functions.grams import listed
 from anamnesis.functions.text import ascii_lower, trigrams
+from anamnesis.operators.kernels import PatternCounts
 from anamnesis.operators.ranking import top_k
 from anamnesis.operators.sizing import attach, fits_broadcast, measure, salt_of, salted_join
 
@@ -105,26 +110,94 @@ def find_hits(memories: DataFrame, patterns: Sequence[Pattern], candidates: Data
 
 
 def trigram_index(memories: DataFrame) -> DataFrame:
-    """(trigram, memory_id), distinct by construction."""
-    return memories.select(rows_of(trigrams("text"), "trigram"), "memory_id").where(is_row("trigram"))
+    """(trigram, memory_id), distinct by construction. Texts are cut in Arrow batches, piece by piece."""
+    kind = memories.schema["memory_id"].dataType.simpleString()
+    grams = memories.select("memory_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        listed, f"memory_id {kind}, grams array<string>")
+    return grams.select(rows_of(F.col("grams"), "trigram"), "memory_id").where(is_row("trigram"))
 
 
 def trigram_join(patterns: DataFrame, index: DataFrame) -> DataFrame:
     """(pattern_id, memory_id) of memories that hold every trigram of a literal pattern.
 
-    A trigram that occurs nowhere leaves the pattern without candidates. The pattern side is
-    broadcast once measured, so a trigram found in a third of all texts is never shuffled by
-    itself; the count is keyed by (pattern, memory), which is even.
+    A trigram that occurs nowhere leaves the pattern without candidates. The pattern side, once measured small,
+    goes to every task: trigrams become numbers, what a memory holds of them meets in one task as lists of numbers, and
+    its patterns are counted there, so no row is made per pattern, trigram and memory. A larger side is joined
+    on salted trigrams; the count is keyed by (pattern, memory), which is even.
     """
     wanted = patterns.select("pattern_id", F.explode(trigrams("pattern")).alias("trigram"))
+    if fits_broadcast(wanted):
+        return _count_in_tasks(wanted, index)
     needed = wanted.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("needed"))
-    found = (index.join(F.broadcast(wanted), "trigram") if fits_broadcast(wanted)
-             else salted_join(index, wanted, ["trigram"]))
-    counted = found.groupBy("pattern_id", "memory_id").agg(F.count(F.lit(1)).alias("held"))
+    counted = salted_join(index, wanted, ["trigram"]).groupBy("pattern_id", "memory_id").agg(F.count(F.lit(1)).alias("held"))
     return (attach(counted, needed, "pattern_id").where(F.col("held") == F.col("needed"))
             .select("pattern_id", "memory_id"))
 
 
+def _count_in_tasks(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    spark = index.sparkSession
+    asked = wanted.where("pattern_id IS NOT NULL").toArrow()
+    ids, names = (asked[c].combine_chunks().dictionary_encode() for c in ("pattern_id", "trigram"))
+    numbers = spark.createDataFrame(pa.table({"trigram": names.dictionary.cast(pa.string()),
+                                              "number": pa.array(np.arange(len(names.dictionary)), pa.int32())}))
+    shared = spark.sparkContext.broadcast((ids.dictionary, PatternCounts(
+        ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), names.indices.to_numpy(zero_copy_only=False).astype(np.int64))))
+    kinds = {"pattern_id": wanted.schema["pattern_id"].dataType.simpleString(), "memory_id": index.schema["memory_id"].dataType.simpleString()}
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern_ids, counts = shared.value
+        for part in whole_groups(batches):
+            starts = run_starts(part.column(0))
+            firsts, ends = np.append(starts, part.num_rows), pc.list_value_length(part.column(1)).to_numpy().astype(np.int64)
+            memory = np.repeat(np.repeat(np.arange(len(starts)), np.diff(firsts)), ends)
+            for found, pattern in counts.complete(memory, part.column(1).flatten().to_numpy().astype(np.int64), len(starts)):
+                yield pa.RecordBatch.from_arrays(
+                    [pattern_ids.take(pa.array(pattern)), part.column(0).take(pa.array(starts[found]))], ["pattern_id", "memory_id"])
+
+    held = index.join(F.broadcast(numbers), "trigram").select("memory_id", "number").mapInArrow(
+        runs, f"memory_id {kinds['memory_id']}, numbers array<int>")
+    return held.repartition("memory_id").sortWithinPartitions("memory_id").mapInArrow(
+        complete, f"pattern_id {kinds['pattern_id']}, memory_id {kinds['memory_id']}")
+
+
+def run_starts(ids: pa.Array) -> np.ndarray:
+    """Where each run of equal ids begins; nulls are equal."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    codes = pc.fill_null(ids.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(memory_id, number) to (memory_id, numbers): a list for each run of one id in a batch."""
+    for batch in batches:
+        starts = run_starts(batch.column(0))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, batch.num_rows), pa.int32()), batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), lists], ["memory_id", "numbers"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column, in batches that part no id from its rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(run_starts(batch.column(0))[-1])  # the last id may go on in the next batch
+        if held and (last or held[-1].column(0)[-1] != batch.column(0)[0]):
+            yield from _one(held + [batch.slice(0, last)])
+            held = []
+        elif last:
+            yield batch.slice(0, last)
+        held.append(batch.slice(last))
+    yield from _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if parts:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        yield from table.to_batches()
+
+
 def search_totals(hits: DataFrame) -> DataFrame:
     """Exhaustive counts per pattern; snippets are capped elsewhere."""
     return hits.groupBy("pattern_id").agg(F.sum("matches").alias("total_matches"),
