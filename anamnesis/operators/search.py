@@ -140,12 +140,13 @@ def _count_in_tasks(wanted: DataFrame, index: DataFrame) -> DataFrame:
     ids, names = (asked[c].combine_chunks().dictionary_encode() for c in ("pattern_id", "trigram"))
     numbers = spark.createDataFrame(pa.table({"trigram": names.dictionary.cast(pa.string()),
                                               "number": pa.array(np.arange(len(names.dictionary)), pa.int32())}))
-    shared = spark.sparkContext.broadcast((ids.dictionary, PatternCounts(
-        ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), names.indices.to_numpy(zero_copy_only=False).astype(np.int64))))
+    shared = spark.sparkContext.broadcast((ids.dictionary, *(
+        c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in (ids, names))))
     kinds = {"pattern_id": wanted.schema["pattern_id"].dataType.simpleString(), "memory_id": index.schema["memory_id"].dataType.simpleString()}
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern_ids, counts = shared.value
+        pattern_ids, pattern_rows, number_rows = shared.value
+        counts = PatternCounts(pattern_rows, number_rows)
         for part in whole_groups(batches):
             starts = run_starts(part.column(0))
             firsts, ends = np.append(starts, part.num_rows), pc.list_value_length(part.column(1)).to_numpy().astype(np.int64)
