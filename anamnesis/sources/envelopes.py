@@ -12,6 +12,7 @@ from anamnesis.functions.blocks import variant_list, variant_string
 from anamnesis.functions.core import is_row, iso_millis, numbered_rows_of
 from anamnesis.functions.crypto import decrypt, encrypt
 from anamnesis.functions.times import from_iso
+from anamnesis.operators.sizing import without_known
 from anamnesis.sources.lines import base_name
 
 ENVELOPE = ("memory_id string, chunks struct<enc: string, iv: string, tag: string>, "
@@ -34,7 +35,8 @@ def write_envelopes(memories: DataFrame, chunks: DataFrame, key: bytes, names: M
     meta = F.to_json(F.struct(
         iso_millis("created_at").alias("created_at"), iso_millis("updated_at").alias("updated_at"),
         F.col("conversation_id").alias(names.conversation), F.col("parent_id").alias(names.parent), "tags"))
-    return memories.join(listed, "memory_id").select(
+    # The short rows are hashed, so that the payloads are not sorted.
+    return listed.join(memories.drop("text").hint("shuffle_hash"), "memory_id").select(
         "memory_id", encrypt(payload, key, "chunks", "memory_id").alias("chunks"),
         encrypt(meta, key, "meta", "memory_id").alias("meta"))
 
@@ -116,7 +118,7 @@ def rotate_key(envelopes: DataFrame, old_key: bytes, new_key: bytes, staged: Dat
     open under the old key stops the job.
     """
     if staged is not None:
-        envelopes = envelopes.join(staged.select("memory_id"), "memory_id", "left_anti")
+        envelopes = without_known(envelopes, staged.select("memory_id"))
 
     def again(name: str) -> Column:
         plain = decrypt(name, old_key, name, "memory_id")

@@ -29,11 +29,12 @@ def envelope_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     sealed = sealed_documents(spark, sf)
     known = W.load(spark, sf, "labels").select(W.document_id().alias("memory_id"))
     staged = cut_lineage(rotate_key(sealed.join(known, "memory_id", "left_semi"), OLD_KEY, NEW_KEY))
-    rotated = staged.unionByName(rotate_key(sealed, OLD_KEY, NEW_KEY, staged))
-    memories, chunks, _ = read_envelopes(cut_lineage(rotated), NEW_KEY)
-    return memories.join(chunks, "memory_id").select(
-        "memory_id", F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("tags"),
-        iso_millis("updated_at").alias("updated_at"), F.size("vector").cast("bigint").alias("dimensions"))
+    rotated = staged.unionByName(cut_lineage(rotate_key(sealed, OLD_KEY, NEW_KEY, staged)))
+    memories, chunks, _ = read_envelopes(rotated, NEW_KEY)
+    texts = chunks.select("memory_id", F.md5("text").alias("text_md5"), F.size("vector").cast("bigint").alias("dimensions"))
+    return memories.join(texts, "memory_id").select(  # what is compared is joined, not the texts themselves
+        "memory_id", "text_md5", F.array_join("tags", ",").alias("tags"),
+        iso_millis("updated_at").alias("updated_at"), "dimensions")
 
 
 @query("integrity_audit",
