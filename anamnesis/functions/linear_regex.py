@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -17,6 +18,10 @@ from pyspark.sql import types as T
 
 # Two noncharacters frame each match while positions are counted.
 OPEN, CLOSE = chr(0xFDD0), chr(0xFDD1)
+#: What may see the text before a match, or a part of a character.
+LOOKS_BACK = re.compile(r"\^|\\[bBAC]")
+#: If more than this share of a batch matches, all of it is counted, for a copy of the matching texts costs more.
+MOST = 0.9
 
 
 def problem(pattern: str) -> str | None:
@@ -31,36 +36,67 @@ def problem(pattern: str) -> str | None:
 def hits_of(patterns: Sequence[tuple[str, str, bool]], restricted: bool):
     """A task function: (memory_id, updated_at, text[, pattern_ids]) to the pairs that match, with counts.
 
-    `patterns` holds (pattern_id, expression, ignore case).
+    `patterns` holds (pattern_id, expression, ignore case). Patterns with one expression are matched once.
     """
+    alike: dict[tuple[str, bool], list[str]] = {}
+    for pattern_id, expression, fold in patterns:
+        alike.setdefault((expression, fold), []).append(pattern_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, text = (batch.column(i) for i in range(3))
-            wanted = batch.column(3) if restricted else None
-            for pattern_id, expression, fold in patterns:
+            wanted = [set(w or ()) for w in batch.column(3).to_pylist()] if restricted else None
+            clean = without_marks(text)
+            for (expression, fold), pattern_ids in alike.items():
                 held = pc.match_substring_regex(text, expression, ignore_case=fold)
                 if wanted is not None:
-                    own = pa.array([pattern_id in (w or ()) for w in wanted.to_pylist()], pa.bool_())
-                    held = pc.and_(held, own)
+                    held = pc.and_(held, pa.array([not w.isdisjoint(pattern_ids) for w in wanted], pa.bool_()))
                 if not pc.any(held).as_py():
                     continue
-                counts = match_counts(text.filter(held), expression, fold)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([pattern_id] * len(counts), pa.string()), ids.filter(held), at.filter(held), counts],
-                    ["pattern_id", "memory_id", "updated_at", "matches"])
+                if held.true_count > len(held) * MOST:
+                    counts = _counted(clean, expression, fold).filter(held)
+                else:
+                    counts = _counted(clean.filter(held), expression, fold)
+                own_ids, own_at = ids.filter(held), at.filter(held)
+                asked = None if wanted is None else [w for w, h in zip(wanted, held.to_pylist()) if h]
+                for pattern_id in pattern_ids:
+                    columns = [pa.array([pattern_id] * len(counts), pa.string()), own_ids, own_at, counts]
+                    rows = pa.RecordBatch.from_arrays(columns, ["pattern_id", "memory_id", "updated_at", "matches"])
+                    yield rows if asked is None else rows.filter(pa.array([pattern_id in w for w in asked], pa.bool_()))
 
     return run
 
 
-def match_counts(texts: pa.Array, expression: str, fold: bool) -> pa.Array:
-    """How many matches each text has: as many as `ranges` gives places.
+def without_marks(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring(texts, OPEN, "�")
 
-    Each match is replaced by a mark and the marks are counted, in one walk from match to match, so that `^`
-    and `\\b` see what stands before a match. (The counting call starts anew behind each match.)
-    """
-    clean = pc.replace_substring(texts, OPEN, "�")
-    marked = pc.replace_substring_regex(clean, f"{'(?i)' if fold else ''}({expression})", OPEN)
-    return pc.count_substring(marked, OPEN).cast(pa.int64())
+
+def match_counts(texts: pa.Array, expression: str, fold: bool) -> pa.Array:
+    """How many matches each text has: as many as `ranges` gives places."""
+    return _counted(without_marks(texts), expression, fold)
+
+
+def _counted(clean: pa.Array, expression: str, fold: bool) -> pa.Array:
+    """The counting call starts anew behind each match. An expression that could see what stands before a
+    match (`^`, `\\b`), or could match nothing, has each match replaced by a mark instead, in one walk from
+    match to match, and the marks are counted."""
+    if not LOOKS_BACK.search(expression) and not pc.match_substring_regex(pa.array([""]), expression, ignore_case=fold)[0].as_py():
+        return pc.count_substring_regex(clean, expression, ignore_case=fold).cast(pa.int64())
+    return _marks(pc.replace_substring_regex(clean, f"{'(?i)' if fold else ''}({expression})", OPEN))
+
+
+def _marks(marked: pa.Array) -> pa.Array:
+    """How many marks each text has, from the places of the mark's bytes in all of them."""
+    marked = marked.cast(pa.large_string())
+    ends = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset:marked.offset + len(marked) + 1]
+    data = marked.buffers()[2]
+    text = np.frombuffer(data, np.uint8)[:ends[-1]] if data is not None and len(ends) else np.zeros(0, np.uint8)
+    first, *others = OPEN.encode()
+    at = np.flatnonzero(text[:max(len(text) - len(others), 0)] == first)
+    for step, byte in enumerate(others, 1):
+        at = at[text[at + step] == byte]
+    counts = np.diff(np.searchsorted(at, ends)) if len(marked) else np.zeros(0, np.int64)
+    return pa.array(counts, pa.int64(), mask=marked.is_null().to_numpy(zero_copy_only=False))
 
 
 def ranges(text: str | None, expression: str, fold: bool, limit: int | None = None) -> list[dict[str, int]] | None:

@@ -6,6 +6,7 @@ import datetime as dt
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions import text as T
 from anamnesis.functions.chunking import chunk_text, split_long
 from anamnesis.functions.ids import is_valid_id, to_uuid
-from anamnesis.functions import many_literals
+from anamnesis.functions import linear_regex, many_literals
 from anamnesis.functions.linear_regex import match_counts, ranges
 from anamnesis.functions.many_literals import fold
 from anamnesis.functions.matching import literal_count, match_ranges, quote_literal, snippet
@@ -108,6 +109,29 @@ def test_regex_counts_are_the_number_of_ranges(pattern, fold):
                                                                          ("abb", "a|^b"))] == [1, 1, 2, 1]
 
 
+def test_equal_expressions_are_matched_once(monkeypatch):
+    texts = pa.array(["foo food", None, "", "xfoo", "foo" + chr(0xFDD0)])
+    asked = [("a", "foo[a-z]*", False), ("b", "foo[a-z]*", False), ("c", r"\bfoo", False), ("d", "FOO", True), ("e", "FOO", False)]
+    calls = []
+    monkeypatch.setattr(linear_regex.pc, "match_substring_regex", lambda *a, real=pc.match_substring_regex, **k: calls.append(a) or real(*a, **k))
+    for restricted in (False, True):
+        ids, wanted = pa.array(list("01234")), pa.array([["a", "c"], ["a"], None, ["b"], ["b", "d", "x"]])
+        batch = pa.RecordBatch.from_arrays([ids, ids, texts, wanted][:3 + restricted], ["m", "u", "t", "p"][:3 + restricted])
+        calls.clear()
+        made = [(r["pattern_id"], int(r["memory_id"]), r["matches"]) for out in linear_regex.hits_of(asked, restricted)(iter([batch]))
+                for r in out.to_pylist()]
+        want = [(p, i, len(ranges(t, e, f))) for p, e, f in asked for i, t in enumerate(texts.to_pylist())
+                if t and (not restricted or p in (wanted[i].as_py() or ()))]
+        assert sorted(made) == sorted(w for w in want if w[2])
+        assert len([c for c in calls if len(c[0]) == len(texts) and c[1] == "foo[a-z]*"]) == 1
+
+
+@pytest.mark.parametrize("size", [1, 4])
+def test_marks_are_counted_in_slices_with_nulls(size):
+    texts = pa.array(["aa b", None, "﶐ a﷏", "", "a\u4e00a", None, "aaa"]).slice(size)
+    assert match_counts(texts, r"\ba", False).to_pylist() == [None if t is None else len(ranges(t, r"\ba", False)) for t in texts.to_pylist()]
+
+
 def test_many_literals_in_one_walk():
     texts = ["The cat, the THE", None, "", "aaaa", "éthe É", "abcabcab"]
     asked = [("a", "the", True), ("b", "THE", False), ("c", "aa", True), ("d", "abcab", True), ("e", "É", True), ("f", "the", True),
