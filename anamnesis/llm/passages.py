@@ -137,13 +137,16 @@ def _signed(width: int, run_tokens: int):
     return run, "doc_id long, copy string, n int, seeds array<struct<key:long,place:int>>"
 
 
-def _region(places: np.ndarray, at: int) -> tuple[int, int]:
+def _gaps(places: np.ndarray) -> np.ndarray:
+    """Which of the places has more than GAP unmatched ones behind it."""
+    return np.flatnonzero(places[1:] - places[:-1] > GAP + 1)
+
+
+def _region(places: np.ndarray, gaps: np.ndarray, at: int) -> tuple[int, int]:
     """[low, high): around `at`, the matched places with gaps of at most GAP unmatched ones."""
-    slot = int(np.searchsorted(places, at))
-    wide = np.diff(places) > GAP + 1
-    before, after = np.flatnonzero(wide[:slot]), np.flatnonzero(wide[slot:])
-    low = places[before[-1] + 1] if len(before) else places[0]
-    high = places[slot + after[0]] if len(after) else places[-1]
+    gap = int(gaps.searchsorted(places.searchsorted(at)))
+    low = places[gaps[gap - 1] + 1] if gap else places[0]
+    high = places[gaps[gap]] if gap < len(gaps) else places[-1]
     return int(low), int(high) + 1
 
 
@@ -165,12 +168,34 @@ def _texts(column: pa.Array, width: int, run_tokens: int) -> Iterator[tuple[int,
 
 
 class Pair:
-    """Two texts; finds their similar passages."""
+    """Two texts; finds their similar passages.
+
+    Their tokens are numbered once, so that what two ranges share is looked up and counted without a sort.
+    """
 
     def __init__(self, one: Text, two: Text, least: int, percent: int):
         self.one, self.two = one, two
         self.a, self.b, self.least, self.percent = one.tokens, two.tokens, least, percent
-        self.places: tuple[np.ndarray, np.ndarray] | None = None
+        both = np.concatenate([self.a, self.b])
+        order = np.argsort(both, kind="stable")
+        fresh = np.append(True, both[order[1:]] != both[order[:-1]])[:len(both)]
+        number, before, size = np.empty(len(both), np.int64), np.full(len(both), -1), len(self.a)
+        number[order] = np.cumsum(fresh) - 1
+        again = np.flatnonzero(~fresh[1:] & ((order[1:] < size) == (order[:-1] < size)))
+        before[order[again + 1]] = order[again] - np.where(order[again] < size, 0, size)
+        self.one_number, self.two_number = number[:size], number[size:]
+        self.one_before, self.two_before = before[:size], before[size:]  # the place before with the same token
+        self.one_list, self.two_list = self.one_number.tolist(), self.two_number.tolist()
+        self.found = np.zeros(len(both), dtype=bool)
+        self.after: dict[tuple[int, int, bool], tuple[int, int, int] | None] = {}
+        self.places: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def _held(self, numbers: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Which of the numbers are among the others."""
+        self.found[others] = True
+        held = self.found[numbers]
+        self.found[others] = False
+        return held
 
     def passages(self) -> list[tuple[int, int, int, int]]:
         """(start and end in a, start and end in b) of all of them."""
@@ -223,16 +248,27 @@ class Pair:
             at, step = at + size, step * 4
 
     def _next(self, x: int, y: int, forward: bool) -> tuple[int, int, int] | None:
-        """(start in a, start in b, length) of the nearest equal run over a small gap after the ends x and y."""
+        """(start in a, start in b, length) of the nearest equal run over a small gap after the ends x and y.
+
+        Runs of many diagonals lead to the same ends, so what follows an end is kept."""
+        if (x, y, forward) not in self.after:
+            self.after[x, y, forward] = self._search(x, y, forward)
+        return self.after[x, y, forward]
+
+    def _search(self, x: int, y: int, forward: bool) -> tuple[int, int, int] | None:
         if forward:
-            one, two = self.a[x:x + GAP + 1], self.b[y:y + GAP + 1]
+            one, two = self.one_list[x:x + GAP + 1], self.two_list[y:y + GAP + 1]
         else:
-            one, two = self.a[max(x - GAP - 1, 0):x][::-1], self.b[max(y - GAP - 1, 0):y][::-1]
-        i, j = np.nonzero(one[:, None] == two[None, :])
-        if not len(i):
+            one, two = self.one_list[max(x - GAP - 1, 0):x][::-1], self.two_list[max(y - GAP - 1, 0):y][::-1]
+        near = 2 * GAP + 1
+        for at, token in enumerate(one):
+            if at >= near:
+                break
+            if token in two and at + two.index(token) < near:
+                i, j = at, two.index(token)
+                near = i + j
+        if near > 2 * GAP:
             return None
-        best = int((i + j).argmin())
-        i, j = int(i[best]), int(j[best])
         if forward:
             return x + i, y + j, self._run(x + i, y + j)
         size = self._back(x - i, y - j)
@@ -241,9 +277,10 @@ class Pair:
     def similar(self, s: int, e: int, t: int, f: int) -> bool:
         if min(e - s, f - t) < self.least:
             return False
-        one, two = np.unique(self.a[s:e]), np.unique(self.b[t:f])
-        common = len(np.intersect1d(one, two, assume_unique=True))
-        return 100 * common >= self.percent * (len(one) + len(two) - common)
+        first = self.one_before[s:e] < s  # each token once
+        common = int(np.count_nonzero(self._held(self.one_number[s:e], self.two_number[t:f]) & first))
+        sizes = int(np.count_nonzero(first)) + int(np.count_nonzero(self.two_before[t:f] < t))
+        return 100 * common >= self.percent * (sizes - common)
 
     def _padded(self, s: int, e: int, size: int) -> tuple[int, int]:
         """The range, brought to the least length with the tokens after it, or before it at the text's end."""
@@ -285,17 +322,20 @@ class Pair:
 
     def _whole(self, x: int, y: int) -> tuple[int, int, int, int] | None:
         """The region of matched tokens, in any order, narrowed to what the other side holds."""
-        a, b = self.a, self.b
+        a, b = self.one_number, self.two_number
         if self.places is None:
-            self.places = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-        (low_a, high_a), (low_b, high_b) = _region(self.places[0], x), _region(self.places[1], y)
+            held = np.flatnonzero(self._held(a, b)), np.flatnonzero(self._held(b, a))
+            self.places = [(places, _gaps(places)) for places in held]
+        (low_a, high_a), (low_b, high_b) = _region(*self.places[0], x), _region(*self.places[1], y)
         while min(high_a - low_a, high_b - low_b) >= self.least:
             if self.similar(low_a, high_a, low_b, high_b):
                 return low_a, high_a, low_b, high_b
             before = low_a, high_a, low_b, high_b
-            s, e = _region(np.flatnonzero(np.isin(a[low_a:high_a], b[low_b:high_b])), x - low_a)
+            held = np.flatnonzero(self._held(a[low_a:high_a], b[low_b:high_b]))
+            s, e = _region(held, _gaps(held), x - low_a)
             low_a, high_a = low_a + s, low_a + e
-            s, e = _region(np.flatnonzero(np.isin(b[low_b:high_b], a[low_a:high_a])), y - low_b)
+            held = np.flatnonzero(self._held(b[low_b:high_b], a[low_a:high_a]))
+            s, e = _region(held, _gaps(held), y - low_b)
             low_b, high_b = low_b + s, low_b + e
             if before == (low_a, high_a, low_b, high_b):
                 break

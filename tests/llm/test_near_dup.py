@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from anamnesis.llm.minhash import near_duplicates, superminhash
+from anamnesis.llm import passages as P
 from anamnesis.llm.passages import repeated_passages
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -211,3 +212,54 @@ def test_similar_passage_in_a_loosely_edited_copy_is_found(spark):
     got = repeated_passages(frame(spark, rows)).collect()
     assert {(r.doc_id, r.class_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
     assert all(r.start_word <= 85 and r.end_word >= 135 for r in got)
+
+
+def pair(a, b, seeds=((), ())):
+    texts = [P.Text(np.array(t, np.uint64), np.array([p for p, _ in x], np.int64), np.array([k for _, k in x], np.uint64))
+             for t, x in zip((a, b), seeds)]
+    return P.Pair(*texts, 4, 60)
+
+
+def test_ranges_are_compared_on_sets_of_tokens(monkeypatch):
+    """Numbered once: no sort for each range, as a text of short period has very many of them."""
+    rng = random.Random(11)
+    for _ in range(60):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        with monkeypatch.context() as m:
+            for name in ("unique", "intersect1d", "isin"):
+                m.setattr(P.np, name, None)
+            two = pair(a, b)
+            for _ in range(20):
+                s, t = rng.randrange(len(a)), rng.randrange(len(b))
+                e, f = rng.randint(s, len(a)), rng.randint(t, len(b))
+                one, other = set(a[s:e]), set(b[t:f])
+                want = min(e - s, f - t) >= 4 and 100 * len(one & other) >= 60 * len(one | other)
+                assert two.similar(s, e, t, f) == want
+                assert two._held(two.one_number[s:e], two.two_number[t:f]).tolist() == [x in other for x in a[s:e]]
+
+
+def test_the_nearest_run_over_a_gap_is_found_once(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(100):
+        a, b = ([rng.randrange(30) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        two = pair(a, b)
+        x, y = rng.randint(0, len(a)), rng.randint(0, len(b))
+        ahead = [(i + j, i, j) for i, p in enumerate(a[x:x + P.GAP + 1]) for j, q in enumerate(b[y:y + P.GAP + 1]) if p == q]
+        got = two._next(x, y, True)
+        if ahead:
+            _, i, j = min(ahead)
+            assert got == (x + i, y + j, two._run(x + i, y + j))
+        else:
+            assert got is None
+        monkeypatch.setattr(two, "_run", None)
+        assert two._next(x, y, True) == got
+
+
+def test_texts_of_short_period_without_similar_ranges():
+    a, b = [1, 2, 3, 4, 5, 6, 7, 8] * 30, ([1, 2, 3, 4] + [90, 91, 92, 93, 94, 95]) * 25
+    seeds = [[(p, t) for p, t in enumerate(x) if t == 1] for x in (a, b)]
+    two = pair(a, b, seeds)
+    calls, real = [], two._search
+    two._search = lambda *at: calls.append(at) or real(*at)
+    two.passages()
+    assert len(calls) == len(set(calls))
