@@ -9,14 +9,15 @@ from anamnesis.operators.bm25 import build_postings, chunk_terms, corpus_stats,
 from anamnesis.operators.changes import without_ids
 from anamnesis.operators.search import trigram_index
 from anamnesis.operators.sizing import attach
+from anamnesis.session import cut_lineage
 
 
 def build_indexes(chunks: DataFrame, memories: DataFrame) -> dict[str, DataFrame]:
-    """Every derived table from scratch."""
+    """Every derived table from scratch, each written once; what is summed up comes from written tables."""
     terms = chunk_terms(chunks)
-    postings = build_postings(terms)
-    return {"postings": postings, "term_stats": term_stats(postings), "corpus_stats": corpus_stats(terms),
-            "trigrams": trigram_index(memories)}
+    postings = cut_lineage(build_postings(terms))
+    return {"postings": postings, "term_stats": cut_lineage(term_stats(postings)),
+            "corpus_stats": cut_lineage(corpus_stats(terms)), "trigrams": cut_lineage(trigram_index(memories))}
 
 
 def refresh_indexes(indexes: dict[str, DataFrame], old_chunks: DataFrame, gone: DataFrame,

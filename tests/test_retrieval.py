@@ -260,3 +260,13 @@ def test_queries_with_the_same_known_terms_are_scored_once_and_long_texts_in_pie
         hits.setdefault(r["query_id"], []).append((r["rank"], r["memory_id"], r["score"]))
     assert sorted(hits["q1"]) == sorted(hits["q2"]) and [m for _, m, _ in sorted(hits["q1"])] == ["m2", "m1"]
     assert [m for _, m, _ in hits["q3"]] == ["m3"]
+
+
+def test_indexes_are_summed_up_from_written_tables(spark):
+    from anamnesis.operators.indexes import build_indexes
+
+    chunks = spark.createDataFrame([("a", 0, "red fox red"), ("b", 0, ""), ("b", 1, "fox"), ("c", 0, None)], "memory_id string, chunk_index int, text string")
+    tables = build_indexes(chunks, chunks.select("memory_id", "text"))
+    assert all(table.inputFiles() for table in tables.values())
+    assert {(r.term, r.df) for r in tables["term_stats"].collect()} == {("red", 1), ("fox", 2)}
+    assert tables["corpus_stats"].select("n_docs").first()[0] == 4
