@@ -40,7 +40,8 @@ SHORTEST = 50
 GAP = 10
 PARTNERS_PER_BLOCK = 256
 ALL_PAIRS = 32
-BLOCK_TEXTS = 128
+BLOCK_TEXTS = 256
+BLOCK_BYTES = 1 << 20
 
 
 def token_hashes(column: pa.Array, width: int, most: int = 1 << 20):
@@ -167,6 +168,53 @@ def _texts(column: pa.Array, width: int, run_tokens: int) -> Iterator[tuple[int,
             yield low + i, Text(value[first[i]:first[i + 1]].copy(), place[at] - first[i], key[at])
 
 
+def _earlier(numbers: np.ndarray) -> np.ndarray:
+    """Which places hold a token that stands before them, too."""
+    again = np.ones(len(numbers), dtype=bool)
+    again[np.unique(numbers, return_index=True)[1]] = False
+    return again
+
+
+def _scores(held: np.ndarray, again: np.ndarray, at: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """How similar a range through each of the places `at` (rows) can be, for each of several other texts (columns).
+
+    held: which tokens (rows) the other texts have; again: tokens that stand before, too. Similar ranges with c common of m
+    and n distinct tokens have (100 + percent) * 2c >= 2 * percent * (m + n), so the scores of their places in both texts
+    add up to 0 or more: each is the largest sum over a long enough range, of 100 - percent for a token that is held and
+    -2 * percent for one that is not; a repeated one that is not held counts nothing. No similar ranges are lost.
+    """
+    size, others = held.shape
+    low = np.iinfo(np.int32).min // 4
+    if size < least or not len(at):
+        return np.full((len(at), others), low, np.int32)
+    sums = np.zeros((size + 1, others), np.int32)
+    np.cumsum(held * np.int32(100 - percent) - (~held & ~again[:, None]) * np.int32(2 * percent), axis=0, out=sums[1:])
+    best = np.maximum.accumulate(sums[::-1], axis=0)[::-1]  # the largest sum from here on
+    most = np.full((size + least, others), low, np.int32)  # of the least length and more, by start
+    np.subtract(best[least:], sums[:size + 1 - least], out=most[least:size + 1])
+    wide = 1
+    while wide < least:  # the largest of the last `least` starts
+        step = min(wide, least - wide)
+        most[step:] = np.maximum(most[step:], most[:-step])
+        wide += step
+    far = best[at + 1] - np.minimum.accumulate(sums, axis=0)[np.maximum(at - least, 0)]
+    return np.maximum(most[at + least], np.where(at[:, None] >= least, far, low))
+
+
+def _back(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
+    """Equal tokens before (x, y)."""
+    step, at = 64, 0
+    while True:
+        size = min(x - at, y - at, step)
+        if size <= 0:
+            return at
+        other = (a[x - at - size:x - at] != b[y - at - size:y - at])[::-1]
+        first = int(other.argmax())
+        if other[first]:
+            return at + first
+        at, step = at + size, step * 4
+
+
 class Pair:
     """Two texts; finds their similar passages.
 
@@ -204,8 +252,16 @@ class Pair:
         done: list[tuple[int, int, int, int]] = []
         tried: dict[int, list[tuple[int, int]]] = {}  # by diagonal: exact runs that were looked at
         hits = np.flatnonzero(high > low)
+        if not len(hits):
+            return done
+        one, two = self._held(self.one_number, self.two_number), self._held(self.two_number, self.one_number)
+        score = _scores(one[:, None], self.one_before >= 0, self.one.place[hits], self.least, self.percent)[:, 0]
+        other = _scores(two[:, None], self.two_before >= 0, self.two.place, self.least, self.percent)[:, 0]
+        able = score + other.max() >= 0
+        score, hits = dict(zip(hits[able].tolist(), score[able].tolist())), hits[able]
         for at in hits[np.argsort(self.one.place[hits], kind="stable")].tolist():
             x, others = int(self.one.place[at]), self.two.place[low[at]:high[at]]
+            others = others[other[low[at]:high[at]] + score[at] >= 0]
             inside = [span for span in done if span[0] <= x < span[1]]
             for span in inside:
                 others = others[(others < span[2]) | (others >= span[3])]
@@ -221,6 +277,11 @@ class Pair:
                     done.append(span)
         return done
 
+    def through(self, x: int, y: int) -> bool:
+        """Whether a passage goes through the exact run at (x, y)."""
+        left, right = self._back(x, y), self._run(x, y)
+        return self._passage(x - left, y - left, left + right) is not None
+
     def _run(self, x: int, y: int) -> int:
         """Equal tokens from (x, y) on."""
         step, at = 64, 0
@@ -235,17 +296,7 @@ class Pair:
             at, step = at + size, step * 4
 
     def _back(self, x: int, y: int) -> int:
-        """Equal tokens before (x, y)."""
-        step, at = 64, 0
-        while True:
-            size = min(x - at, y - at, step)
-            if size <= 0:
-                return at
-            other = (self.a[x - at - size:x - at] != self.b[y - at - size:y - at])[::-1]
-            first = int(other.argmax())
-            if other[first]:
-                return at + first
-            at, step = at + size, step * 4
+        return _back(self.a, self.b, x, y)
 
     def _next(self, x: int, y: int, forward: bool) -> tuple[int, int, int] | None:
         """(start in a, start in b, length) of the nearest equal run over a small gap after the ends x and y.
@@ -408,11 +459,38 @@ def _near(held: list[Text], doc: np.ndarray, place: np.ndarray, reach: int) -> n
     return common
 
 
+class Others:
+    """How similar ranges through the places of a text can be to each other text of a meeting."""
+
+    def __init__(self, held: list[Text], places: list[np.ndarray], least: int, percent: int):
+        sizes = np.array([len(text.tokens) for text in held])
+        _, number, spread = np.unique(np.concatenate([text.tokens for text in held]), return_inverse=True, return_counts=True)
+        number = number.ravel()
+        column = np.where(spread > 1, np.cumsum(spread > 1), 0)[number]  # a token that stands once is held by no other text
+        self.has = np.zeros((int(column.max(initial=0)) + 1, len(held)), dtype=bool)
+        self.has[column, np.repeat(np.arange(len(held)), sizes)] = True
+        self.has[0] = False
+        edges = np.cumsum(sizes)[:-1]
+        self.column, self.again = np.split(column, edges), [_earlier(x) for x in np.split(number, edges)]
+        self.places, self.least, self.percent = places, least, percent
+        self.known: dict[int, np.ndarray] = {}
+
+    def scores(self, text: int) -> np.ndarray:
+        """Places of the text x other texts."""
+        if text not in self.known:
+            column = self.column[text]
+            step = max((1 << 19) // max(len(column), 1), 1)
+            self.known[text] = np.concatenate([
+                _scores(self.has[column, low:low + step], self.again[text], self.places[text], self.least, self.percent)
+                for low in range(0, self.has.shape[1], step)], axis=1)
+        return self.known[text]
+
+
 def _block_links(width: int, least: int, percent: int):
     """Rows sorted by meeting of two blocks; links between places that are not in one component."""
     run_tokens, fewest = shared_run(width, least, percent)
 
-    def links(meeting, ids, sides, spans, held) -> pa.RecordBatch:
+    def links(meeting, ids, sides, spans, opened, held) -> pa.RecordBatch:
         parent: list[int] = []
         named: dict[int, int] = {}
 
@@ -434,13 +512,17 @@ def _block_links(width: int, least: int, percent: int):
             name[bare] = np.arange(len(parent), len(parent) + len(bare))
             parent += name[bare].tolist()
             node.append(name)
-        key = np.concatenate([text.key for text in held])
-        doc = np.repeat(np.arange(len(held)), [len(text.key) for text in held])
-        place, flat = np.concatenate([text.place for text in held]), np.concatenate(node)
+        own = [np.isin(text.key, keys) for text, keys in zip(held, opened)]
+        key = np.concatenate([text.key[at] for text, at in zip(held, own)])
+        doc = np.repeat(np.arange(len(held)), [np.count_nonzero(at) for at in own])
+        place = np.concatenate([text.place[at] for text, at in zip(held, own)])
+        flat = np.concatenate([name[at] for name, at in zip(node, own)])
         order = np.argsort(key, kind="stable")
         key, doc, place, flat = key[order], doc[order], place[order], flat[order]
+        index = np.concatenate([np.arange(np.count_nonzero(at)) for at in own])[order]  # among the places of its text
+        others = Others(held, [text.place[at] for text, at in zip(held, own)], least, percent)
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, int)
-        side, out, compared = np.array(sides), [], set()
+        side, out, compared, failed = np.array(sides), [], set(), set()
         for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if high - low < 2 or doc[low] == doc[high - 1]:
                 continue
@@ -464,26 +546,38 @@ def _block_links(width: int, least: int, percent: int):
                         x, y = int(own[i]), int(own[j])
                         if (x, y) in compared or find(int(names[i])) == find(int(names[j])):
                             continue
+                        if int(others.scores(x)[index[at[i]], y]) + int(others.scores(y)[index[at[j]], x]) < 0:
+                            continue
+                        s, t = int(place[at[i]]), int(place[at[j]])
+                        run = x, y, t - s, s - _back(held[x].tokens, held[y].tokens, s, t)
+                        if run in failed:
+                            continue
+                        pair = Pair(held[x], held[y], least, percent)
+                        if not pair.through(s, t):  # alike elsewhere at most, which is found from the seeds there
+                            failed.add(run)
+                            continue
                         compared.add((x, y))
-                        for s, e, t, f in Pair(held[x], held[y], least, percent).passages():
+                        for s, e, t, f in pair.passages():
                             out.append((ids[x], ids[y], s, e + width - 1, t, f + width - 1))
                             joined = np.concatenate([node[x][(held[x].place >= s) & (held[x].place < e)],
                                                      node[y][(held[y].place >= t) & (held[y].place < f)]]).tolist()
-                            for other in joined[1:]:
-                                parent[find(other)] = find(joined[0])
+                            for name in joined[1:]:
+                                parent[find(name)] = find(joined[0])
         return _links(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting, rows = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high"))))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("leader", "low", "high"))))
             ids, sides, spans = (batch.column(c).to_pylist() for c in ("doc_id", "block", "spans"))
+            seeds_of = batch.column("keys")
             for i, text in _texts(batch.column("text"), width, run_tokens):
                 if keys[i] != meeting:
                     if rows:
                         yield links(meeting, *zip(*rows))
                     meeting, rows = keys[i], []
-                rows.append((ids[i], sides[i], spans[i], text))
+                opened = seeds_of[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                rows.append((ids[i], sides[i], spans[i], opened, text))
         if rows:
             yield links(meeting, *zip(*rows))
 
@@ -491,21 +585,23 @@ def _block_links(width: int, least: int, percent: int):
 
 
 def _compare_blocks(large: DataFrame, texts: DataFrame, named: DataFrame, width: int, least: int, percent: int) -> DataFrame:
-    """Links between the texts of the large seeds (`large`: key, doc_id)."""
-    joined = large.join(large.groupBy("key").agg(F.min("doc_id").alias("first")), "key").select("doc_id", "first").distinct()
-    clusters = connected_components(joined, "doc_id", "first").toDF("doc_id", "cluster")
-    placed = large.select("doc_id").distinct().join(clusters, "doc_id", "left") \
-        .withColumn("cluster", F.coalesce("cluster", "doc_id"))
-    need = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("blocks"))
-    placed = placed.join(need, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    """Links between the texts of the large seeds (`large`: key, leader, doc_id).
+
+    The seeds of one leader are looked at together: a repeated passage has several of them, and nearly the same texts.
+    """
+    placed = large.groupBy("leader", "doc_id").agg(F.collect_set("key").alias("keys")).join(
+        texts.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id")
+    need = placed.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS),
+                                                   F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = placed.drop("bytes").join(need, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least("block", x).alias("low"), F.greatest("block", x).alias("high")))
     spans = named.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "node")).alias("spans"))
     rows = texts.join(placed, "doc_id").join(spans, "doc_id", "left") \
-        .select("doc_id", "text", "spans", "cluster", "block", F.explode(meets).alias("meeting")) \
-        .select("doc_id", "text", "spans", "cluster", "block", "meeting.*")
+        .select("doc_id", "text", "keys", "spans", "leader", "block", F.explode(meets).alias("meeting")) \
+        .select("doc_id", "text", "keys", "spans", "leader", "block", "meeting.*")
     run, schema = _block_links(width, least, percent)
-    key = ["cluster", "low", "high"]
+    key = ["leader", "low", "high"]
     return rows.repartition(*key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, schema)
 
 
@@ -562,7 +658,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         .select(F.col("first").alias("leader"), F.col("doc_id").alias("partner")).distinct() \
         .join(pairs, ["leader", "partner"], "left_anti")
     found = cut_lineage(_verified(cut_lineage(left), texts, width, least, percent))
-    large = cut_lineage(open_rows.where(F.col("texts") > ALL_PAIRS).select("key", "doc_id").distinct())
+    large = cut_lineage(open_rows.where(F.col("texts") > ALL_PAIRS).select("key", "leader", "doc_id").distinct())
     nodes = named.select("doc_id", "start", "end", F.col("name").alias("node"))
     blocked = cut_lineage(_compare_blocks(large, texts, nodes, width, least, percent))
     links = cut_lineage(links.union(found).union(blocked).distinct())

@@ -263,3 +263,51 @@ def test_texts_of_short_period_without_similar_ranges():
     two._search = lambda *at: calls.append(at) or real(*at)
     two.passages()
     assert len(calls) == len(set(calls))
+
+
+def test_scores_rule_out_no_passage(monkeypatch):
+    rng = random.Random(15)
+    found = 0
+    for n in range(150):
+        base = [rng.randrange(12 if n % 3 == 0 else 400) for _ in range(rng.randrange(10, 60))]
+        other = [rng.randrange(400) if rng.random() < 0.08 else x for x in base if rng.random() > 0.03]
+        a, b = base + [rng.randrange(400) for _ in range(9)], [rng.randrange(400) for _ in range(9)] + other
+        common = set(a) & set(b)
+        seeds = [[(p, t) for p, t in enumerate(x) if t in common] for x in (a, b)]
+        got = pair(a, b, seeds).passages()
+        with monkeypatch.context() as m:
+            m.setattr(P, "_scores", lambda held, again, at, least, percent: np.zeros((len(at), held.shape[1]), np.int32))
+            assert pair(a, b, seeds).passages() == got
+        found += len(got)
+    assert found > 50
+
+
+def test_texts_alike_in_short_stretches_are_not_compared_in_whole(monkeypatch):
+    """Many texts with one line in common and half of the words around it, but no similar passage."""
+    rng = random.Random(16)
+    base = [f"v{k}" for k in range(400)]
+    texts = [" ".join(w if k // 20 % 2 == 0 or 200 <= k < 226 else f"c{n}x{k}" for k, w in enumerate(base)) for n in range(40)]
+    run_tokens, _ = P.shared_run(5, 46, 80)
+    keys = [sorted(set(text.key.view(np.int64).tolist())) for _, text in P._texts(P.pa.array(texts), 5, run_tokens)]
+    assert set(keys[0]) & set(keys[1])
+    rows = P.pa.RecordBatch.from_pylist([{"leader": 0, "cluster": 0, "low": 0, "high": 0, "doc_id": n, "block": 0, "spans": None,
+                                          "keys": own, "text": text} for n, (own, text) in enumerate(zip(keys, texts))])
+    made, real = [], P.Pair
+    monkeypatch.setattr(P, "Pair", lambda *at: made.append(at) or real(*at))
+    run, _ = P._block_links(5, 46, 80)
+    assert sum(batch.num_rows for batch in run(iter([rows]))) == 0
+    assert len(made) == 0
+
+
+def test_large_groups_of_one_seed_are_joined(spark, monkeypatch):
+    """Texts with a line of 30 words; within three groups of 20 they share 70 words round it, but not with the first text."""
+    monkeypatch.setattr(P, "BLOCK_TEXTS", 16)
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    line, rows = text(30), []
+    rows.append((0, f"{text(60)} {line} {text(60)}"))
+    for group in range(3):
+        before, after = text(20), text(20)
+        rows += [(1 + 20 * group + n, f"{text(50)} {before} {line} {after} {text(50)}") for n in range(20)]
+    got = {r.doc_id: r.class_id for r in repeated_passages(frame(spark, rows)).collect()}
+    assert got == {i: 1 + (i - 1) // 20 * 20 for i, _ in rows if i}
