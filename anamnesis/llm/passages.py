@@ -252,16 +252,8 @@ class Pair:
         done: list[tuple[int, int, int, int]] = []
         tried: dict[int, list[tuple[int, int]]] = {}  # by diagonal: exact runs that were looked at
         hits = np.flatnonzero(high > low)
-        if not len(hits):
-            return done
-        one, two = self._held(self.one_number, self.two_number), self._held(self.two_number, self.one_number)
-        score = _scores(one[:, None], self.one_before >= 0, self.one.place[hits], self.least, self.percent)[:, 0]
-        other = _scores(two[:, None], self.two_before >= 0, self.two.place, self.least, self.percent)[:, 0]
-        able = score + other.max() >= 0
-        score, hits = dict(zip(hits[able].tolist(), score[able].tolist())), hits[able]
         for at in hits[np.argsort(self.one.place[hits], kind="stable")].tolist():
             x, others = int(self.one.place[at]), self.two.place[low[at]:high[at]]
-            others = others[other[low[at]:high[at]] + score[at] >= 0]
             inside = [span for span in done if span[0] <= x < span[1]]
             for span in inside:
                 others = others[(others < span[2]) | (others >= span[3])]
