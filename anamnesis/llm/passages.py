@@ -11,8 +11,9 @@ its minimum as a seed, so the two passages always have a seed in common. Every p
 Texts with the same tokens are one text. Texts that share a seed are compared in whole: all their
 common seeds, each exact run once. First the smallest text of a seed leads. Where a seed then
 still holds several components, or places in no passage, its texts meet each other: pairwise where
-they are few, else in blocks, where texts with too few tokens in common around the seed are told
-apart by matrix products. So each open place is compared with every other component of its seed.
+they are few, else in blocks by leader, where texts with too few tokens in common around the seed
+are told apart by matrix products, and places by a bound on what a range through them can reach. So
+each open place is compared with every other component of its seed.
 
 A passage is the widest stretch through an exact run, of matched tokens and small gaps, that is
 similar enough on the full shingle sets; it is not rejected for looser surroundings.
