@@ -209,8 +209,9 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     b = words.mapInArrow(_signed(part_of, parts, True), schema).alias("b")
     near = (F.col("a.key") == F.col("b.key")) & _once(F.col("a.word"), F.col("b.word")) \
         & (F.levenshtein("a.word", "b.word", 1) == 1)
-    pairs = a.join(b, near).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"),
-                                   F.col("b.n").alias("other_n"))
+    # Spark takes a side to be as small as the words it is made of, and would send 24 rows per word through the driver.
+    pairs = a.hint("merge").join(b, near).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"),
+                                                 F.col("b.n").alias("other_n"))
     pairs = cut_lineage(pairs.dropDuplicates(["word", "other"]))
     return pairs.union(pairs.select("other", "other_n", "word", "n"))
 
@@ -243,6 +244,7 @@ def spelling_variants(docs: DataFrame, shortest: int = SHORTEST, least: int = LE
     best = cut_lineage(best.select("word", "n_near", F.when(found, F.col("best.other")).alias("form"),
                                    F.when(found, -F.col("best.less")).alias("form_n")))
     ends = roots(best.where("form is not null"))
-    return words.join(best, "word", "left").join(ends, "word", "left").select(
+    # Files of short words are a small part of the rows in memory: nothing is broadcast by their size.
+    return words.join(best.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n",
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

@@ -244,3 +244,17 @@ def test_crc_counts_and_roots(spark):
     assert {(r.word, r.n) for r in count_words(df, 4, 2, 1 << 30).collect()} == {("word", 3), ("wörd", 2)}
     chain = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(9)], "word string, form string")
     assert {r.root for r in roots(chain).collect()} == {"w9"}
+
+
+def test_no_side_of_the_variants_is_broadcast_by_the_size_of_its_words(spark, monkeypatch):
+    from anamnesis.llm import variants as V
+
+    plans = []
+    monkeypatch.setattr(V, "cut_lineage", lambda df, real=V.cut_lineage: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    docs = spark.createDataFrame([(1, "abcde abcde abcde abcdef abcdef abcdef abcdef abcdef abcdef abcdef")], "doc_id long, text string")
+    found = spelling_variants(docs)
+    assert {(r.word, r.form) for r in found.collect()} == {("abcde", "abcdef"), ("abcdef", None)}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    met = [p for p in plans if "levenshtein" in p] + plans[-1:]
+    assert len(met) == 2 and not any("BroadcastHashJoin" in p for p in met)
