@@ -270,3 +270,52 @@ def test_indexes_are_summed_up_from_written_tables(spark):
     assert all(table.inputFiles() for table in tables.values())
     assert {(r.term, r.df) for r in tables["term_stats"].collect()} == {("red", 1), ("fox", 2)}
     assert tables["corpus_stats"].select("n_docs").first()[0] == 4
+
+
+def test_a_large_lexical_query_side_is_taken_in_blocks_of_queries(spark, texts, rows, monkeypatch):
+    chunks, queries = texts
+    monkeypatch.setattr(B, "BROADCAST_MAX_ROWS", 3)
+    monkeypatch.setattr(B, "fits_broadcast", lambda side, asked=[]: asked.append(side) or len(asked) > 1)  # noqa: B006
+    monkeypatch.setattr(B, "salted_join", None)  # no row is made per query and posting
+    assert rows(B.bm25_join(queries, chunks, 3)) == bm25(ASKED, DOCS, 3)
+
+
+def test_query_blocks_meet_the_corpus_in_rounds_and_leave_no_copies(spark, rows, vectors, monkeypatch):
+    from anamnesis import session as S
+
+    queries, chunks = vectors
+    twice = [("q0", queries[1][1]), ("q1", queries[0][1])]  # ids that are there twice, maybe in two rounds
+    q, c = spark.createDataFrame(queries + twice, QUERIES), spark.createDataFrame(chunks, CHUNKS)
+    expected = rows(knn_join(q, c, 5))
+    met, written = [], []
+    monkeypatch.setattr(K, "QUERY_BLOCK_ROWS", 2)
+    monkeypatch.setattr(K, "CORPUS_BLOCK_BYTES", 4000)
+    monkeypatch.setattr(K, "rounds_of", lambda spark, left, right: [range(i, min(i + 2, left)) for i in range(0, left, 2)])
+    monkeypatch.setattr(K, "write_table", lambda df, real=S.write_table: met.append(df) or real(df))
+    monkeypatch.setattr(S, "write_table", lambda df, real=S.write_table: written.append(real(df)) or written[-1])
+    assert rows(knn_join(q, c, 5)) == expected
+    assert len(met) > 1 and len(written) == 2
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    assert not any(path(one).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(one)) for one in written)
+
+
+def test_shuffle_files_go_with_the_write_and_scratch_tables_with_their_scope(spark):
+    from anamnesis.session import cut_lineage, scratch, settled
+
+    def shuffled() -> int:
+        return sum(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+                   .getAllBlocks().apply(i).name().startswith("shuffle_") for i in range(
+                       spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()))
+
+    before = shuffled()
+    kept = cut_lineage(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert shuffled() <= before and kept.count() == 1000
+    inner = []
+    made = settled(spark, lambda: inner.append(cut_lineage(kept.where("id < 10"))) or inner[0].join(kept.select("id"), "id"))
+    assert made.count() == 10 and made.inputFiles()
+    with scratch(spark):
+        path = spark._jvm.org.apache.hadoop.fs.Path(inner[0].inputFiles()[0])
+        gone = settled(spark, lambda: made.select("id")).inputFiles()[0]
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(gone)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
