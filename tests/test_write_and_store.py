@@ -355,3 +355,38 @@ def test_an_accepted_claimant_blocks_rows_behind_it(spark, store):
     assert {r.memory_id: (r.outcome, r.similar_id, r.similarity) for r in report} == {
         "a": ("accepted", None, None), "w": ("accepted", None, None), "v": ("reserved", None, None),
         "y": ("duplicate", "w", 1.0), "z": ("duplicate", "w", 1.0), **{f"c{i}": ("duplicate", "a", 1.0) for i in range(4)}}
+
+
+def test_texts_of_a_change_are_split_once(spark, store):
+    turns = spark.createDataFrame([turn(1, "one. Two " * 400), turn(2, "two"), turn(3, " ")], TURNS)
+    change = P.ingest(turns, store.read("memories"), now())
+    updated = P.update_batch(spark.createDataFrame([(uid(1), "new. Text " * 400, None, "x", 1)],
+                                                   "memory_id string, text string, tags array<string>, etag string, update_order bigint"),
+                             store.read("memories"), now())
+    for rows in (change.memories, change.chunks, change.report, updated.memories, updated.chunks):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and "aggregate(" not in plan
+    assert {(r["added"], r["skipped"]) for r in change.report.collect()} == {(2, 1)}
+    assert change.chunks.count() > 2 and change.memories.count() == 2
+
+
+def test_a_batch_keeps_its_texts_once(spark, store, monkeypatch):
+    made = []
+    monkeypatch.setattr(P, "cut_lineage", lambda df: made.append(cut_lineage(df)) or made[-1])
+    rows = spark.createDataFrame([(uid(11), "pears. Apples " * 300, None, 1), (uid(12), "steam engines", None, 2)],
+                                 "memory_id string, text string, tags array<string>, input_order bigint")
+    change = P.write_batch(rows, store.read("memories"), store.read("chunks"), EMB, now())
+    assert sum("text" in df.columns or "pieces" in df.columns for df in made) == 1
+    stored = {(r["memory_id"], r["chunk_index"]): r for r in change.chunks.collect()}
+    assert len(stored) > 2 and all(r["vector"] and r["text_sha256"] for r in stored.values())
+    assert change.chunks.columns == ["memory_id", "chunk_index", "text", "text_sha256", "vector"]
+
+
+def test_what_a_shared_store_is_made_of_goes(spark):
+    from workload.stored import shared_store
+
+    made = []
+    kept = shared_store(spark, "nowhere", uid(1), lambda store: made.append(cut_lineage(spark.range(3))))
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.org.apache.hadoop.fs.Path(made[0]._jdf.inputFiles()[0]).getParent().toString()) \
+        if made[0].inputFiles() else None
+    assert kept.root and path is not None and not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
