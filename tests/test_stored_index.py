@@ -201,3 +201,21 @@ def test_trigram_lists_hold_places_and_not_ids(spark, tmp_path, monkeypatch):
     index.compact()
     left = exact.where("memory_id >= 'id-010'")
     assert sorted(map(tuple, index.live("trigrams").collect())) == sorted(map(tuple, left.collect()))
+
+
+def test_lists_meet_in_their_blocks_as_they_do_by_counts(spark, tmp_path, monkeypatch):
+    from anamnesis import stored_index as S
+
+    monkeypatch.setattr(S, "BLOCK_ROWS", 8)
+    texts = [f"{'alpha' if i % 2 else 'beta'} gamma {'delta' if i % 3 else 'epsilon'} {i}" for i in range(60)]
+    rows = spark.createDataFrame([(f"m{i:02d}", t) for i, t in enumerate(texts)] + [("m01", "beta gamma")], "memory_id string, text string")
+    index = S.StoredIndex(spark, str(tmp_path / "index"))
+    index.build(rows.selectExpr("memory_id", "0 AS chunk_index", "text"), rows)
+    patterns = spark.createDataFrame([("a", "alpha gamma"), ("b", "beta gamma delta"), ("c", "epsilon"), ("d", "nowhere"), ("c", "epsilon"),
+                                      (None, "gamma")], "pattern_id string, pattern string")
+    fast = index.candidates(patterns)
+    assert "explode(places" not in fast._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(S.StoredIndex, "_places_repeat", lambda self: True)
+    assert {tuple(r) for r in fast.collect()} == {tuple(r) for r in index.candidates(patterns).collect()}
+    got = {tuple(r) for r in fast.collect()}
+    assert got >= {("a", f"m{i:02d}") for i in range(3, 60, 2)} and not any(p in ("d", None) for p, _ in got)
