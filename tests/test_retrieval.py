@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import re
 
 import numpy as np
@@ -302,14 +303,16 @@ def test_query_blocks_meet_the_corpus_in_rounds_and_leave_no_copies(spark, rows,
 def test_shuffle_files_go_with_the_write_and_scratch_tables_with_their_scope(spark):
     from anamnesis.session import cut_lineage, scratch, settled
 
-    def shuffled() -> int:
-        return sum(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-                   .getAllBlocks().apply(i).name().startswith("shuffle_") for i in range(
-                       spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()))
+    def shuffled() -> set[str]:
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in blocks.mkString(" ").split() if name.startswith("shuffle_")}
 
     before = shuffled()
     kept = cut_lineage(spark.range(1000).repartition(3, "id").groupBy("id").count())
-    assert shuffled() <= before and kept.count() == 1000
+    until = time.time() + 10  # files go in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and kept.count() == 1000
     inner = []
     made = settled(spark, lambda: inner.append(cut_lineage(kept.where("id < 10"))) or inner[0].join(kept.select("id"), "id"))
     assert made.count() == 10 and made.inputFiles()
