@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import time
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
